@@ -91,7 +91,7 @@ def without_tracking(url: Column) -> Column:
 def shortcode_number(code: Column) -> Column:
     """A shortcode as the number its digits to base 64 make; null if a character is no digit."""
     digits = F.split(code, "")
-    number = F.aggregate(digits, F.lit(0).cast("decimal(38,0)"), lambda n, c: (n * 64 + F.locate(c, F.lit(SHORTCODE_DIGITS)) - 1).cast("decimal(38,0)"))
+    number = F.aggregate(digits, F.lit(0).cast("decimal(38,0)"), lambda n, c: (n * 64 + F.position(c, F.lit(SHORTCODE_DIGITS)) - 1).cast("decimal(38,0)"))
     return F.when(code.rlike("^[A-Za-z0-9_-]{5,20}$"), number)
 
 
