@@ -33,28 +33,42 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
+def _even(ends: list[int], begin: int, end: int, shards: int, capacity: int) -> list[int]:
+    """Where shards of the atoms begin..end-1 start, each cut as near as it can to an even share of what is left, among
+    the places from which the rest still fits. ends[i] is the size before atom i."""
+    earliest = [end]  # earliest[k]: the first place from which k shards hold all the rest
+    for _ in range(shards - 1):
+        earliest.append(max(begin, min(earliest[-1] - 1, bisect_left(ends, ends[earliest[-1]] - capacity))))
+    starts, at = [begin], begin
+    for left in range(shards - 1, 0, -1):
+        goal = ends[at] + (ends[end] - ends[at]) / (left + 1)
+        near = bisect_left(ends, goal)
+        if goal - ends[near - 1] < ends[near] - goal:
+            near -= 1
+        at = max(at + 1, earliest[left], min(near, bisect_right(ends, ends[at] + capacity) - 1, end - left))
+        starts.append(at)
+    return starts
+
+
 def cuts(sizes: list[int], shards: int) -> list[int]:
-    """The place of the first atom of each shard but the first.
+    """The place of the first atom of each shard but the first, after binary search for the smallest feasible capacity.
 
-    The capacity is the smallest feasible one. A plain greedy pass at that capacity can leave its last shard short, so
-    each cut goes as near as it can to an even share of what is left, among the places from which the rest still fits.
+    A plain greedy pass at that capacity can leave a shard short where the atoms end, or before one that stands alone.
+    So each run of other atoms gets the shards that the pass gives it, shards to spare go to the runs with the fullest
+    ones, and each run is then cut evenly within the capacity.
     """
     n, ends = len(sizes), [0, *accumulate(sizes)]
     capacity = smallest_capacity(sizes, shards)
-    earliest = [n] * (shards + 1)  # earliest[k]: the first place from which k shards hold all the rest
-    for k in range(1, shards + 1):
-        at = earliest[k - 1]
-        earliest[k] = min(max(at - 1, 0), bisect_left(ends, ends[at] - capacity))
-    found, at = [], 0
-    for left in range(shards - 1, 0, -1):
-        most = max(at + 1, bisect_right(ends, ends[at] + capacity) - 1)
-        goal = ends[at] + (ends[n] - ends[at]) / (left + 1)
-        near = bisect_left(ends, goal)
-        if near and goal - ends[near - 1] < ends[min(near, n)] - goal:
-            near -= 1
-        at = min(n, max(earliest[left], min(most, max(near, at + 1))))
-        found.append(at)
-    return found
+    edges = [-1, *(i for i, size in enumerate(sizes) if size > capacity), n]
+    runs = [(a + 1, b) for a, b in zip(edges, edges[1:]) if b > a + 1]
+    given = [_greedy([e - ends[a] for e in ends[a + 1 : b + 1]], capacity, shards) for a, b in runs]
+    for _ in range(shards - sum(given) - (len(edges) - 2)):
+        fullest = max((i for i, (a, b) in enumerate(runs) if given[i] < b - a), key=lambda i: (ends[runs[i][1]] - ends[runs[i][0]]) / given[i], default=None)
+        if fullest is None:
+            break
+        given[fullest] += 1
+    starts = sorted([*edges[1:-1], *(at for (a, b), k in zip(runs, given) for at in _even(ends, a, b, k, capacity))])
+    return [*starts[1:], *[n] * (shards - len(starts))][: shards - 1]
 
 
 def shard(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", overhead: int = 16) -> DataFrame:
