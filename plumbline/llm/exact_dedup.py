@@ -142,8 +142,9 @@ def dedup_batch(earlier: DataFrame, batch: DataFrame, text: str = "text", key: s
     incoming = store(groups(new, key), "dedup-incoming")
     positives = screen(incoming, filters, buckets).select("text_sha256", "n_bytes", F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
     met = store(positives.join(frozen, ["text_sha256", "n_bytes"]), "dedup-met")
-    # one text of each side, found by its key, is compared byte by byte
-    wanted = lambda ids, docs: ids.join(docs.select(F.col(key).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")), F.col("_id").eqNullSafe(F.col("_want"))).select("text_sha256", "n_bytes", "_text")
+    # One text of each side, found by its key, is compared byte by byte. The merge hint keeps one plan at every size: the
+    # ids grow with the input, and a broadcast would only serve small tables.
+    wanted = lambda ids, docs: ids.hint("merge").join(docs.select(F.col(key).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")), F.col("_id").eqNullSafe(F.col("_want"))).select("text_sha256", "n_bytes", "_text")
     texts = wanted(met.select("text_sha256", "n_bytes", F.col("keep_id").alias("_want")), earlier).withColumn("_side", F.lit(0)).unionByName(wanted(met.select("text_sha256", "n_bytes", F.col("new_id").alias("_want")), batch).withColumn("_side", F.lit(1)))
     same = texts.groupBy("text_sha256", "n_bytes").agg(F.max(F.when(F.col("_side") == 0, F.col("_text"))).alias("old_text"), F.max(F.when(F.col("_side") == 1, F.col("_text"))).alias("new_text")).where("old_text = new_text").select("text_sha256", "n_bytes", F.lit(True).alias("same"))
     merged = met.join(same, ["text_sha256", "n_bytes"]).select("text_sha256", "n_bytes", F.greatest("keep_id", "new_id").alias("both_id"), (F.col("n") + F.col("new_n")).alias("both_n"))
