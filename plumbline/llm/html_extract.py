@@ -25,6 +25,8 @@ SKIPPED_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments reply replies respond disqus discussion share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar skip search form".split()
 )
+#: Parts that name the same wherever they stand in a class or id.
+SKIPPED_PARTS = re.compile("comment|cookie|advert|sidebar|newsletter|sponsor|breadcrumb|disqus|navbar|popup|footer|masthead")
 COMMENT_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td blockquote center details".split())
@@ -51,6 +53,15 @@ class Node:
             node = node.parent
         return node
 
+    def article(self) -> Node | None:
+        """The outermost article around, else the outermost main element."""
+        found, node = None, self
+        while node:
+            if node.tag == "article" or node.tag == "main" and (found is None or found.tag == "main"):
+                found = node
+            node = node.parent
+        return found
+
     def path(self) -> str:
         labels, node = [], self
         while node:
@@ -79,7 +90,7 @@ def _opened(tag: str, attributes: str, parent: Node | None) -> Node:
         skipped = False
     if tag not in ("html", "body", "main"):
         named = words & (COMMENT_WORDS if tag == "article" else SKIPPED_WORDS)
-        skipped |= bool(named - ({"header"} if inside else set()))
+        skipped |= bool(named - ({"header"} if inside else set())) or tag != "article" and any(map(SKIPPED_PARTS.search, words))
     return Node(tag, f"{tag}.{classes}" if classes else tag, parent, skipped)
 
 
@@ -153,10 +164,13 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
 
 
 def scores(found: list[tuple[Node, str, int]]) -> dict[str, int]:
-    """The score of each container path of the page: text outside links, in full where it stands, less further up."""
+    """The score of each container path of the page: text outside links, in full where it stands, less further up.
+
+    What stands inside an article or main element counts for that element, title and parts together.
+    """
     total: dict[Node, float] = {}
     for owner, text, linked in found:
-        node, weight = owner.container(), float(max(0, len(text) - 2 * linked))
+        node, weight = owner.article() or owner.container(), float(max(0, len(text) - 2 * linked))
         while node:
             total[node] = total.get(node, 0.0) + weight * NAMED.get(node.tag, 1.0)
             node, weight = node.parent and node.parent.container(), weight * UPWARD
