@@ -1,38 +1,21 @@
-"""Helpers that the training-data operators share: the shared working folder, table reading and text basics."""
+"""Helpers that the training-data operators share: table reading, text basics and numbering."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.workspace import store
+
 #: Upper-case and lower-case ASCII letters, for the folding that touches nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is made only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def store(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Cut the lineage of df: write it as Parquet in the shared folder and read it back, so a lost executor costs a re-read only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -44,8 +27,6 @@ def numbered(df: DataFrame, group: list[str], spread: Column, tag: str, buckets:
     sum of the bucket counts (at most groups * buckets rows) gives each its first number. `df` must be stored, as it
     is read twice. The order within a group is arbitrary but fixed for given rows.
     """
-    from pyspark.sql import Window
-
     keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
     keys = [*group, "_bucket"]
     counts = store(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), f"{tag}-counts")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import ascii_lower, store
+from plumbline.llm._common import ascii_lower
+from plumbline.workspace import store
 
 #: Digests a bucket holds on average; the number of buckets follows the snapshot.
 BUCKET_KEYS = 50_000

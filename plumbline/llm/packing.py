@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm._common import numbered, store
+from plumbline.llm._common import numbered
+from plumbline.workspace import store
 from plumbline.llm.tokens import default_vocabulary, encode_whole
 
 PIECES = "piece int, start long, length long, ids_crc32 long"

@@ -8,7 +8,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import numbered, store
+from plumbline.llm._common import numbered
+from plumbline.workspace import store
 
 #: Atoms: groups of equal texts, ordered by hash and gathered in so many hash ranges, whatever the size of the table.
 ATOMS = 1 << 16
