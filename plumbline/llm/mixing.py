@@ -39,9 +39,8 @@ def features(docs: DataFrame, toxic_words: list[str], text: str = "text") -> Dat
     whole = F.coalesce(F.col(text), F.lit(""))
     chars = F.greatest(F.char_length(whole), F.lit(1))
     bin_of = lambda part, *bounds: sum(((part > b).cast("int") for b in bounds), F.lit(0))
-    marks = (chars - F.char_length(F.translate(whole, "#*$%&|<>!=@_~", ""))) / chars
-    upper = (chars - F.char_length(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / chars
-    digits = (chars - F.char_length(F.translate(whole, "0123456789", ""))) / chars
+    share = lambda signs: F.regexp_count(whole, F.lit(signs)) / chars
+    marks, upper, digits = share("[#*$%&|<>!=@_~]"), share("[A-Z]"), share("[0-9]")
     words = docs.withColumn("_words", _words(F.col(text)))
     hits = F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in toxic_words]))) if toxic_words else F.lit(0)
     n = F.greatest(F.size("_words"), F.lit(1))
@@ -79,19 +78,22 @@ def fit_rates(mass: DataFrame, targets: list[float], rounds: int = 40, tolerance
     Minimises the squared gaps between the expected tokens of the domains, sum of rate * tokens * p, and their targets,
     each weighted by one over the domain's tokens, over nonnegative rates that begin at 1. With these weights the
     curvature is at most 1, so each step has full length. A document's rate depends only on the steps so far and its own
-    p: a round is one aggregation of a few sums, and no rates are kept between rounds.
+    p: a round is one aggregation of a few sums, and no rates are kept between rounds. It ends when the targets are met,
+    or when a round no longer moves what is met (targets need not be reachable without negative rates).
     """
     p = lambda d: F.col("p")[d]
     natural = mass.agg(*[F.sum(F.col("tokens") * p(d)) for d in range(len(targets))]).first()
     if not sum(filter(None, natural)):
         return []
     steps: list[list[float]] = []
+    before: list[float] = []
     for _ in range(rounds):
         met = mass.agg(*[F.sum(rate_of(steps) * F.col("tokens") * p(d)) for d in range(len(targets))]).first()
         gaps = [(m - t) / n if n else 0.0 for m, t, n in zip(met, targets, natural)]
-        if max(map(abs, gaps)) < tolerance:
+        if max(map(abs, gaps)) < tolerance or before and max(abs(g - b) for g, b in zip(gaps, before)) < tolerance / 10:
             break
         steps.append(gaps)
+        before = gaps
     return steps
 
 
@@ -114,7 +116,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     wanted = {"good": 1.0, "poor": 1.0, "toxic": 0.0} | (weights or {})
     scored = store(posteriors(docs, labels, most_labelled, text, key), "mix-posteriors")
-    mass = store(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "mix-mass")
+    # one row per posterior that occurs: at most one for each combination of feature bins, so one file holds them all
+    mass = store(store(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "mix-mass-parts").coalesce(1), "mix-mass")
     natural = mass.agg(*[F.sum(F.col("tokens") * F.col("p")[d]).alias(f"x{d}") for d in range(len(DOMAINS))]).first()
     targets = [wanted[name] * (natural[f"x{d}"] or 0.0) for d, name in enumerate(DOMAINS)]
     rate = rate_of(fit_rates(mass, targets))
