@@ -36,16 +36,15 @@ def lexicon(labelled: DataFrame, size: int = LEXICON, least: int = LEAST_DOCUMEN
 
 def features(docs: DataFrame, toxic_words: list[str], text: str = "text") -> DataFrame:
     """Add n_tokens (words, at least one) and `f`, a few small integer features of the whole text."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    chars = F.greatest(F.char_length(whole), F.lit(1))
     bin_of = lambda part, *bounds: sum(((part > b).cast("int") for b in bounds), F.lit(0))
-    share = lambda signs: F.regexp_count(whole, F.lit(signs)) / chars
-    marks, upper, digits = share("[#*$%&|<>!=@_~]"), share("[A-Z]"), share("[0-9]")
+    chars = F.greatest(F.char_length(F.coalesce(F.col(text), F.lit(""))), F.lit(1))
     words = docs.withColumn("_words", _words(F.col(text)))
     hits = F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in toxic_words]))) if toxic_words else F.lit(0)
-    n = F.greatest(F.size("_words"), F.lit(1))
-    f = F.array(bin_of(marks, 0.01, 0.03, 0.08), bin_of(upper, 0.05, 0.2), bin_of(digits, 0.02, 0.1), bin_of(hits, 0, 1, 2, 4), bin_of(n, 20, 100))
-    return words.withColumn("f", f).withColumn("n_tokens", n.cast("long")).drop("_words")
+    counted = words.select("*", chars.alias("_chars"), F.greatest(F.size("_words"), F.lit(1)).alias("_n"), F.char_length(F.array_join("_words", "")).alias("_letters"), hits.alias("_hits"))
+    # what is neither a letter nor one sign between two words: runs of signs, digits, bars
+    other = (F.col("_chars") - F.col("_letters") - F.col("_n") + 1) / F.col("_chars")
+    f = F.array(bin_of(other, 0.02, 0.04, 0.08, 0.16), bin_of(F.col("_letters") / F.col("_n"), 3, 4, 5, 7), bin_of(F.col("_hits"), 0, 1, 2, 4), bin_of(F.col("_n"), 20, 100))
+    return counted.withColumn("f", f).withColumn("n_tokens", F.col("_n").cast("long")).drop("_words", "_chars", "_n", "_letters", "_hits")
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -55,10 +54,13 @@ def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
     labelled = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(chosen, F.col("_key") == F.col("_id")).select("text", _domain().alias("domain"))
     labelled = store(labelled, "mix-labelled")
     toxic_words = lexicon(labelled)
-    fitted = features(labelled, toxic_words).select("domain", F.posexplode("f").alias("i", "v")).groupBy("i", "v", "domain").agg(F.count(F.lit(1)).alias("n")).collect()  # a few dozen rows
-    count = {(r["i"], r["v"], r["domain"]): r["n"] for r in fitted}
-    total = {d: sum(n for (i, _, k), n in count.items() if i == 0 and k == d) for d in range(len(DOMAINS))}
-    values = (4, 3, 3, 5, 3)
+    patterns = features(labelled, toxic_words).groupBy("domain", "f").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the combinations of bins
+    count: dict[tuple[int, int, int], int] = {}
+    for r in patterns:
+        for i, v in enumerate(r["f"]):
+            count[i, v, r["domain"]] = count.get((i, v, r["domain"]), 0) + r["n"]
+    total = {d: sum(r["n"] for r in patterns if r["domain"] == d) for d in range(len(DOMAINS))}
+    values = (5, 5, 5, 3)
 
     def score(d: int) -> Column:
         prior = F.log(F.lit((total[d] + 1) / (sum(total.values()) + len(DOMAINS))))
