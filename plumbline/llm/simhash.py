@@ -23,11 +23,14 @@ def covering_masks(radius: int = 3, bits: int = 64) -> list[int]:
 
     Each position i gets a vector m(i) of radius+1 bits; the mask of a vector v > 0 holds the positions with an odd
     number of ones in m(i) & v. Any `radius` vectors have a common v > 0 with an even number in each, so two
-    fingerprints that differ in those positions agree under that mask. Each mask holds about half of the positions.
+    fingerprints that differ in those positions agree under that mask. Each mask holds about half of the positions: the
+    positions take all vectors in turn, or, where there are fewer positions than that, vectors with the highest bit set
+    (the first few vectors alone would leave the masks of the higher bits with hardly a position).
     """
     size = 1 << (radius + 1)
+    half = size // 2
     order = sorted(range(bits), key=lambda i: (i + 1) * SCATTER % 2**64)
-    vector = {i: k % (size - 1) + 1 for k, i in enumerate(order)}
+    vector = {i: k % (size - 1) + 1 if bits > half else half + k * (SCATTER % half) % half for k, i in enumerate(order)}
     return [sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() % 2) for v in range(1, size)]
 
 
@@ -35,8 +38,8 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and `fp` (the 64 bits as a signed long) of each whole text."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key and `fp` (the 64 bits as a signed long) of each whole text. Without `repeats` each shingle counts once."""
 
     def batch_of(batches: Iterator) -> Iterator:
         import numpy as np
@@ -50,6 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "t
             shingles = map(b" ".join, zip(*(split[i:] for i in range(words)))) if len(split) >= words else [b" ".join(split)]
             ones, n, part = np.zeros(64, np.int64), 0, 1 << 16
             hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+            hashes = hashes if repeats else np.unique(hashes)
             for i in range(0, len(hashes), part):  # a very long text unpacks part by part
                 block = hashes[i : i + part].astype("<u8").view(np.uint8).reshape(-1, 8)
                 ones += np.unpackbits(block, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -82,24 +86,30 @@ def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, block: int =
     """Links (a, b), a < b, between distinct fingerprints `fp`, with the components of all pairs within `radius` bits.
 
     Every such pair shares a bucket of some covering mask. A bucket of up to `small` fingerprints is compared within
-    a row; of a larger one, each pair of blocks is compared in a task of its own and gives a spanning forest instead
-    of all its pairs, so that neither a task nor the number of links grows with the square of a bucket.
+    a row, and gives a pair only if no earlier mask joins it: close pairs share most masks, and each link is needed once.
+    A larger bucket gives a spanning forest instead of all its pairs; beyond `block` fingerprints, each pair of its
+    blocks is compared in a task of its own. So neither a task nor the number of links grows with the square of a bucket.
     """
     masks = covering_masks(radius)
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
-    keyed = distinct.select("fp", tables.alias("k")).select("fp", "k.t", "k.key")
+    # few bytes, but each row becomes one for every mask: dealt over all tasks first
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.select("fp", tables.alias("k")).select("fp", "k.t", "k.key")
     counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = store(keyed.join(counts, ["t", "key"]), "simhash-buckets")
+    earlier = f"slice(array({', '.join(f'{_signed(m)}L' for m in masks)}), 1, t)"
     pairs = (
         shared.where(F.col("n") <= small)
         .groupBy("t", "key")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .select(F.posexplode("fps").alias("i", "a"), "fps")
-        .select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, {small}), b -> bit_count(a ^ b) <= {radius})")).alias("b"))
+        .select("t", F.posexplode("fps").alias("i", "a"), "fps")
+        .select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, {small}), b -> bit_count(a ^ b) <= {radius} AND NOT exists({earlier}, m -> ((a ^ b) & m) = 0))")).alias("b"))
     )
     blocks = F.ceil(F.col("n") / block).cast("int")
     large = shared.where(F.col("n") > small).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    units = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    whole = large.where(F.col("n") <= block).select("t", "key", "own", F.col("own").alias("other"), "fp")
+    parted = large.where(F.col("n") > block).select("t", "key", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "fp")
+    units = whole.union(parted).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def compare(pdf):
         import numpy as np
@@ -113,7 +123,7 @@ def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, block: int =
     return pairs.union(forest).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, repeats: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: key, fingerprint (16 lowercase hex digits), component_id (smallest key reachable over links of at
     most `radius` differing bits, itself included).
 
@@ -121,7 +131,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     shingle make one shingle. Repeated rows keep a row each. A null key is carried, but never names a component
     unless it is alone in it (component_id null then). No rows give no rows; other columns are not read.
     """
-    prints = store(fingerprints(docs, words, seed, text, key), "simhash")
+    prints = store(fingerprints(docs, words, seed, repeats, text, key), "simhash")
     classes = store(prints.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-classes")
     found = components(links(classes.select("fp"), radius))
     # a component's name is the least fingerprint in it; its least key follows from the classes

@@ -331,11 +331,18 @@ def test_simhash(spark, odd, which):
 
 def test_covering_masks_cover():
     rnd = random.Random(5)
-    masks = simhash.covering_masks(3)
-    assert len(masks) == 15
-    for _ in range(3000):
-        bits = sum(1 << b for b in rnd.sample(range(64), 3))
-        assert any(not bits & m for m in masks)
+    for radius in (1, 2, 3, 4, 5, 6, 7):
+        masks = simhash.covering_masks(radius)
+        assert len(masks) == 2 ** (radius + 1) - 1 and all(m.bit_count() >= 16 for m in masks)
+        for _ in range(2000):
+            bits = sum(1 << b for b in rnd.sample(range(64), radius))
+            assert any(not bits & m for m in masks)
+
+
+def test_simhash_without_repeats(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a a a b c d e f g h h h"), (3, "other words here")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, radius=3, repeats=False).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
 
 
 def test_large_buckets_keep_every_link(spark):
@@ -345,8 +352,6 @@ def test_large_buckets_keep_every_link(spark):
         fps.add(rnd.choice(sorted(fps)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))
     fps |= {rnd.getrandbits(63) for _ in range(50)}
     fps = sorted(simhash._signed(f) for f in fps)
-    found = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), small=4, block=16)).collect()
-    got = {r["id"]: r["component"] for r in found}
     parent = {f: f for f in fps}
 
     def root(f):
@@ -358,7 +363,10 @@ def test_large_buckets_keep_every_link(spark):
         for b in fps:
             if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3 and root(a) != root(b):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert {f: got.get(f, f) for f in fps} == {f: root(f) for f in fps}
+    for small, block in ((4, 16), (4, 4096), (1000, 4096)):
+        found = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), small=small, block=block)).collect()
+        got = {r["id"]: r["component"] for r in found}
+        assert {f: got.get(f, f) for f in fps} == {f: root(f) for f in fps}
 
 
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
