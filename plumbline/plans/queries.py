@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from plumbline.functions import dates, ids, rules, scores, text, urls
 from plumbline.operators import contracts, dedup, joins, rank, stats, validity
 from plumbline.plans.offers import AS_OF, OFFERS_SQL, as_of, offers, table
 from plumbline.sources import landed, sinks
+from plumbline.workspace import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -160,13 +162,15 @@ def q_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.district(address).alias("district"))
 
 
-@query(rf"""WITH b AS (SELECT item_id, list_distinct([w for w in string_split({_words('text')}, ' ') if length(w) >= 4]) AS ws FROM benchmark),
-pairs AS (SELECT d.doc_id, b.item_id, len([w for w in b.ws if contains(lower(d.text), w)]) AS shared, len(b.ws) AS n FROM documents d JOIN b ON d.doc_id % 40 = b.item_id % 40)
-SELECT doc_id, item_id, shared, n FROM pairs""")
+@query(rf"""WITH b AS (SELECT item_id, unnest(list_distinct([w for w in string_split({_words('text')}, ' ') if length(w) >= 4])) AS w FROM benchmark),
+d AS (SELECT doc_id, unnest(list_distinct([w for w in string_split({_words('text')}, ' ') if length(w) >= 4])) AS w FROM documents),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS n FROM d JOIN b USING (w) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 2 * count(*) >= any_value(n)""")
 def q_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("ws"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    return docs.join(items, F.col("doc_id") % 40 == F.col("item_id") % 40).select("doc_id", "item_id", text.overlap(F.col("ws"), F.col("t")).cast("long").alias("shared"), F.size("ws").cast("long").alias("n"))
+    """Documents and items that share at least half of the item's words, joined on the words."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("ws")).select("item_id", F.size("ws").cast("long").alias("n"), F.explode("ws").alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
+    return docs.join(items, "w").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared")).where(2 * F.col("shared") >= F.col("n"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(substr(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), 1, 60), '^-+|-+$', '', 'g'), '') AS slug, regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') AS brand_key FROM part")
@@ -218,7 +222,7 @@ def q_digest_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def q_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seed = F.substring("text", 1, 60)
+    seed = F.concat_ws("|", "source", "lang", "doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", ids.xor33(seed).alias("xor33"), ids.polynomial(seed).alias("poly31"), ids.polynomial(seed, 33).alias("poly33"), ids.fnv1a(seed).alias("fnv1a"))
 
 
@@ -517,7 +521,7 @@ def _clamp_sql(x: str) -> str:
     return f"CAST(greatest(0, least(100, floor({x} + 0.5))) AS DOUBLE)"
 
 
-_HEALTH_SQL = f"""WITH {OFFERS_SQL}, o AS (SELECT *, substr(description, 1, 60) AS sig FROM offers), spread AS (SELECT sig, count(*) AS n_all FROM o GROUP BY sig),
+_HEALTH_SQL = f"""WITH {OFFERS_SQL}, o AS (SELECT *, md5(description) AS sig FROM offers), spread AS (SELECT sig, count(*) AS n_all FROM o GROUP BY sig),
 sh AS (SELECT sig, source, count(*) AS n, count(*) FILTER (category = 'de') AS vienna, count(*) FILTER (type IN ('view', 'click')) AS food, count(*) FILTER (type = 'purchase') AS promo, count(*) FILTER (pub_date >= TIMESTAMP '2024-01-24') AS fresh, count(*) FILTER (url IS NULL OR url = '') AS no_url, sum(quality_score) AS quality FROM o GROUP BY sig, source),
 st AS (SELECT source, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_distinct, CAST(sum(CASE WHEN n_all = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_unique, CAST(sum(n - 1) AS BIGINT) AS n_repeated, CAST(sum(vienna) AS BIGINT) AS vienna, CAST(sum(food) AS BIGINT) AS food, CAST(sum(promo) AS BIGINT) AS promo, CAST(sum(fresh) AS BIGINT) AS fresh, CAST(sum(no_url) AS BIGINT) AS no_url, sum(quality) AS quality FROM sh JOIN spread USING (sig) GROUP BY source),
 ra AS (SELECT *, {_rate_sql('n_unique')} AS unique_rate, {_rate_sql('vienna')} AS vienna_rate, {_rate_sql('food')} AS food_rate, {_rate_sql('promo')} AS promo_rate, {_rate_sql('fresh')} AS fresh_rate, {_rate_sql('no_url')} AS missing_url_rate, {_rate_sql('n_repeated')} AS duplicate_rate, round(quality / total, 4) AS avg_quality FROM st),
@@ -532,7 +536,7 @@ SELECT * EXCLUDE (quality), {_clamp_sql('health * 0.28 + mission * 0.32 + covera
 @query(_HEALTH_SQL)
 def q_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: per-source statistics and scores."""
-    rows = offers(spark, sf_dir).withColumn("sig", F.substring("description", 1, 60))
+    rows = offers(spark, sf_dir).withColumn("sig", F.md5(F.col("description").cast("binary")))
     return stats.source_health(rows, "source", "sig", F.col("category") == "de", F.col("type").isin("view", "click"), F.col("type") == "purchase", F.col("pub_date") >= F.lit("2024-01-24").cast("timestamp"), F.col("url"), F.col("quality_score"))
 
 
@@ -633,6 +637,49 @@ def q_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+# --- state, in streams ------------------------------------------------------------------------------------------------
+
+
+def _drained(stream: DataFrame, tag: str) -> DataFrame:
+    """What a stream over landed files emits until it has read them all, written to the shared folder batch by batch."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(land).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def q_stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.streaming.state import first_seen
+
+    return _drained(first_seen(_event_stream(spark, sf_dir), ["user_id", "event_type"], "ts").select("user_id", "event_type"), "stream-seen")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def q_stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.streaming.state import windowed_counts
+
+    counted = windowed_counts(_event_stream(spark, sf_dir), "ts", "event_type", "6 hours", "7 days")
+    return _drained(counted, "stream-windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH a AS (SELECT user_id, round(value, 0) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS age FROM events)
+SELECT user_id, count(*) AS runs, round(sum(value * pow(0.75, age)), 3) AS recent FROM a GROUP BY user_id""")
+def q_stream_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.streaming.state import decayed_counters
+
+    runs = _event_stream(spark, sf_dir).select("user_id", "event_id", F.round("value", 0).alias("value"))
+    return _drained(decayed_counters(runs, "user_id", "event_id", "value"), "stream-decayed").withColumn("recent", F.round("recent", 3))
+
+
 # --- contracts --------------------------------------------------------------------------------------------------------
 
 

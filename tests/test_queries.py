@@ -60,7 +60,7 @@ def test_hash_ids(spark):
         return base36(h)
 
     rows = QUERIES["q_hash_ids"](spark, SF).collect()
-    seeds = {r["doc_id"]: r["text"][:60] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    seeds = {r["doc_id"]: f"{r['source']}|{r['lang']}|{r['doc_id']}" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in rows:
         seed = seeds[r["doc_id"]]
         assert r["xor33"] == fold(seed, 5381, lambda h, c: (h * 33) ^ c)
