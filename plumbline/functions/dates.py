@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,16 +30,28 @@ def make_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where f may use its argument often: the value is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dmy(value: Column) -> Column:
     """The first day.month.year (or day/month/year) in the text as a date; two-digit years are of this century."""
-    pattern = r"(?:^|[^0-9])([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4}|[0-9]{2})(?:[^0-9]|$)"
-    part = lambda i: F.nullif(F.regexp_extract(collapse(value), pattern, i), F.lit("")).cast("int")
-    year = part(3)
-    return make_date(F.when(year < 100, year + 2000).otherwise(year), part(2), part(1))
+    return _dmy(collapse(value))
+
+
+def _dmy(text: Column) -> Column:
+    found = F.regexp_extract(text, r"(?:^|[^0-9])([0-9]{1,2}[./][0-9]{1,2}[./](?:[0-9]{4}|[0-9]{2}))(?:[^0-9]|$)", 1)
+    parts = F.transform(F.split(F.nullif(found, F.lit("")), "[./]"), lambda p: p.cast("int"))
+    return bound(parts, lambda p: make_date(p[2] + F.when(p[2] < 100, 2000).otherwise(0), p[1], p[0]))
 
 
 def iso_date(value: Column) -> Column:
-    return F.try_to_date(F.nullif(F.regexp_extract(collapse(value), "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd")
+    return _iso(collapse(value))
+
+
+def _iso(text: Column) -> Column:
+    return F.try_to_date(F.nullif(F.regexp_extract(text, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd")
 
 
 def month_number(value: Column) -> Column:
@@ -59,9 +73,13 @@ def month_year(month: Column, today: Column) -> Column:
 
 def day_month(value: Column, today: Column) -> Column:
     """A day.month without a year, by single_year."""
-    pattern = r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:\.?(?:[^0-9]|$))"
-    part = lambda i: F.nullif(F.regexp_extract(collapse(value), pattern, i), F.lit("")).cast("int")
-    return make_date(single_year(part(2), part(1), today), part(2), part(1))
+    return _day_month(collapse(value), today)
+
+
+def _day_month(text: Column, today: Column) -> Column:
+    found = F.regexp_extract(text, r"(?:^|[^0-9.])([0-9]{1,2}\.[0-9]{1,2})(?:\.?(?:[^0-9]|$))", 1)
+    parts = F.transform(F.split(F.nullif(found, F.lit("")), r"\."), lambda p: p.cast("int"))
+    return bound(parts, lambda p: make_date(single_year(p[1], p[0], today), p[1], p[0]))
 
 
 def plausible(day: Column, today: Column) -> Column:
@@ -79,19 +97,18 @@ def is_vague(value: Column) -> Column:
 
 def shape(value: Column, today: Column) -> Column:
     """What kind of validity a text states: (kind, valid_on, valid_from, valid_until, confidence)."""
-    text = F.lower(collapse(value))
-    month = month_number(value)
-    read = F.struct(
-        text.alias("text"),
-        F.coalesce(dmy(value), iso_date(value), day_month(value, today)).alias("first"),
-        dmy(F.regexp_extract(text, r"(?:bis|-|–|to|until) *([0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4})", 1)).alias("last"),
-        make_date(month_year(month, today), month, F.lit(1)).alias("month"),
-    )
-    return F.transform(F.array(read), _shape)[0]  # the dates are parsed once, whatever the branches ask of them
+    until = r"(?:bis|-|–|to|until) *([0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4})"
+
+    def read(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.coalesce(_dmy(text), _iso(text), _day_month(text, today)).alias("first"), _dmy(F.regexp_extract(text, until, 1)).alias("last"))
+
+    return bound(F.lower(collapse(value)), lambda text: bound(read(text), lambda parts: _shape(parts, today)))
 
 
-def _shape(parts: Column) -> Column:
-    text, first, last, month = (parts[name] for name in ("text", "first", "last", "month"))
+def _shape(parts: Column, today: Column) -> Column:
+    text, first, last = (parts[name] for name in ("text", "first", "last"))
+    number = month_number(text)  # reached only where no date is found
+    month = make_date(month_year(number, today), number, F.lit(1))
     none = F.lit(None).cast("date")
 
     def of(kind: str, on: Column = none, begin: Column = none, end: Column = none, confidence: str = "high") -> Column:
