@@ -44,9 +44,7 @@ def clean_text(value: Column) -> Column:
 
 def clean_ui_noise(value: Column) -> Column:
     """clean_text without page-furniture words, starred runs and outer punctuation."""
-    text = clean_text(value)
-    for word in UI_WORDS:
-        text = F.regexp_replace(text, rf"(?i)\b{word}\b", " ")
+    text = F.regexp_replace(clean_text(value), rf"(?i)\b(?:{'|'.join(UI_WORDS)})\b", " ")
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)\bBestellunge\b", "Bestellung"), r"\*{3,}", " ")
     return F.trim(F.regexp_replace(collapse(text), r"^[,:\-–\s]+|[,:\-–\s]+$", ""))
 
