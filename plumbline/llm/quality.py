@@ -17,8 +17,8 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """Per document: key, host, the base measures, doc_print and its lines as (hash of the normalised line, place, words).
 
-    A normalised line is lower-case, with single spaces, and each run of digits as one 0. doc_print is the least hash
-    of the text's 3-word windows: copies and most near copies share it, so that they count as one document.
+    A normalised line is lower-case, with single spaces, and each run of digits as one 0. doc_print is the hash of the
+    whole text, lower-case and with single spaces: copies count as one document, and no others do, whatever they share.
     """
 
     def batch_of(batches: Iterator) -> Iterator:
@@ -48,8 +48,8 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
                     n_dup += line in lines
                     lines.add(line)
                     kept.append({"hash": signed(xxh3_64_intdigest(digits.sub(b"0", b" ".join(own).decode("utf-8").lower().encode("utf-8")))), "at": at, "words": len(own)})
-            least = min(map(xxh3_64_intdigest, map(b" ".join, seen)), default=0) if seen else xxh3_64_intdigest(b" ".join(words))
-            return {"n_words": len(words), "word_chars": len(b"".join(words).decode("utf-8")), "n_symbols": len(symbols.findall(raw)), "n_dup_lines": n_dup, "n_repeat_words": repeated, "doc_print": signed(least), "lines": kept}
+            whole = xxh3_64_intdigest(b" ".join(words).decode("utf-8").lower().encode("utf-8"))
+            return {"n_words": len(words), "word_chars": len(b"".join(words).decode("utf-8")), "n_symbols": len(symbols.findall(raw)), "n_dup_lines": n_dup, "n_repeat_words": repeated, "doc_print": signed(whole), "lines": kept}
 
         kinds = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "doc_print": pa.int64(), "lines": pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("words", pa.int32())]))}
         for batch in batches:

@@ -282,6 +282,17 @@ def test_quality_lines(spark):
     assert got[101]["removed_lines"] == [] and all(got[200 + i]["removed_lines"] == [] and got[200 + i]["kept"] for i in range(60))
 
 
+@pytest.mark.parametrize("own_words", [10, 40])
+def test_quality_counts_documents_that_share_most_of_their_lines(spark, own_words):
+    shared = "\n".join(" ".join(f"menu{i}x{k}" for k in range(10)) for i in range(16))
+    spell = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    text_of = lambda i, n: " ".join(f"{spell(i)}q{spell(k)}" for k in range(n))
+    rows = [(i, f"{shared}\n{text_of(i, own_words)}", "h") for i in range(60)] + [(100 + i, text_of(100 + i, 60), "h") for i in range(400)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["removed_lines"] == list(range(16)) and got[i]["n_removed_words"] == 160 and not got[i]["kept"] for i in range(60))
+    assert all(got[100 + i]["removed_lines"] == [] and got[100 + i]["kept"] for i in range(400))
+
+
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_token_counts(spark, odd, which):
     docs = odd if which == "odd" else read(spark, "/root/testdata/sf0.01", "documents")
