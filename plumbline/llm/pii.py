@@ -19,12 +19,27 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: Generators of further spans: mail addresses written around the sign, and grouped digits of any kind.
 GENERATORS = (
-    ("email", r"[A-Za-z0-9._%+-]++ ?(?:@|\((?:at|AT)\)|\[(?:at|AT)\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]) ?[A-Za-z0-9-]++)*+"),
+    ("email", r"[A-Za-z0-9._%+-]++ ?(?:@|\((?:at|AT)\)|\[(?:at|AT)\]) ?[A-Za-z0-9-]++(?:(?:\.| \. | ?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]) ?)[A-Za-z0-9-]++)*+"),
     ("phone", r"[+(]?[0-9][0-9\x20()./-]{5,40}[0-9]"),
 )
 #: Characters before a candidate that are read as its context.
 CONTEXT = 24
+NOT_CUES = r"(?i)(?:order|invoice|version|isbn|issn|issue|ticket|item|page|article|serial|section|chapter|doi|\bv|\bid|\bref)[^\p{L}]*$"
 CUES = r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|write|reach)[^\p{L}]*$"
+#: Signs written out, as (pattern, sign): features are those of the mail address behind them.
+WRITTEN_OUT = ((r" ?[(\[](?:at|AT)[)\]] ?", "@"), (r" ?[(\[](?:dot|DOT)[)\]] ?| \. ", "."), (r" @ ", "@"))
+MAIL = r"^[A-Za-z0-9._%+-]+@(?!www\.)(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
+#: Grouped digits that are no phone number: dates, spans of years, versions and thousands, book numbers, digits in one run.
+_DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:[12][0-9])?[0-9]{2}"
+NOT_PHONES = (
+    rf"^[12][0-9]{{3}}[-./]{_MONTH}[-./]{_DAY}(?![0-9])|^(?:{_DAY}[-./]{_MONTH}|{_MONTH}[-./]{_DAY})[-./]{_YEAR}(?![0-9])",
+    r"^[12][0-9]{3} ?[-/] ?[12][0-9]{3}$",
+    r"^[0-9]+(?:\.[0-9]{1,2})+(?:\.[0-9]+)*$|^[0-9]{1,3}(?:\.[0-9]{3})+$",
+    r"^97[89][ -][0-9 -]+$",
+    r"^[0-9]+$",
+)
+#: The features that make a candidate's form; the others are its context.
+FORM = (0, 1, 3, 4, 7, 8)
 #: Boosting: trees, their step, and the precision that a threshold must reach on the corpus's own candidates.
 TREES, STEP, PRECISION, LEAST = 24, 0.4, 0.98, 20
 
@@ -79,7 +94,8 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """What the generators propose: array of (start, end, kind, known, f). `known`: overlaps a base span; `f`: format and context features."""
+    """What the generators propose: array of (start, end, kind, known, other, f). `known`: overlaps a base span; `other`:
+    does not, and has a form or context that is known not to be personal; `f`: format and context features."""
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
     likely = (text.rlike(r"@|[(\[](?:at|AT)[)\]]"), text.rlike(r"[0-9][0-9\x20()./-]{5}"))
     parts = []
@@ -90,25 +106,37 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def _described(text: Column, base: Column, generator: int, kind: str):
-    """The candidate of a match, with its features."""
+    """The candidate of a match, with its features. The features of a mail address are those of its plain form, and those of
+    a phone number leave its plus out, so that what the base rules miss looks like what they find."""
     bin_of = lambda x, *bounds: sum(((x > b).cast("int") for b in bounds), F.lit(0))
     flags = lambda s, *signs: sum((s.contains(sign).cast("int") * 2**i for i, sign in enumerate(signs)), F.lit(0))
 
+    def mail(s: Column) -> tuple[list[Column], Column]:
+        plain = s
+        for pattern, sign in WRITTEN_OUT:
+            plain = F.regexp_replace(plain, pattern, sign)
+        mention = s.rlike(" @[^ ]|[^ ]@ ")
+        whole = plain.rlike(MAIL)
+        return [whole.cast("int"), bin_of(F.size(F.split(plain, r"\.")), 1, 2), mention.cast("int"), plain.contains("@www.").cast("int")], ~whole | mention
+
+    def phone(s: Column) -> tuple[list[Column], Column]:
+        parts = F.split(F.regexp_replace(s, r"^[^0-9]+|[^0-9]+$", ""), r"[^0-9]+")
+        n = F.char_length(_digits(s))
+        other = ~n.between(7, 15)
+        for pattern in NOT_PHONES:
+            other = other | s.rlike(pattern)
+        return [bin_of(n, 0, 6, 9, 12, 13, 15, 19), bin_of(F.size(parts), 1, 2, 3, 4, 5), flags(F.regexp_extract(s, r"([^0-9]+)[0-9]+$", 1), " ", "-", "."), flags(s, "/")], other
+
     def described(m: Column) -> Column:
         s, before = m["s"], F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
         after = F.substring(text, m["end"] + 1, F.lit(1))
-        parts = F.split(s, r"[^A-Za-z0-9]+") if generator == 0 else F.split(F.regexp_replace(s, r"^[^0-9]+|[^0-9]+$", ""), r"[^0-9]+")
-        f = F.array(
-            F.lit(generator),
-            bin_of(F.char_length(_digits(s)), 0, 6, 9, 12, 13, 15, 19),
-            bin_of(F.size(parts), 1, 2, 3, 4, 5),
-            flags(s, " ", "-", "."),
-            flags(s, "(", "/"),
-            before.rlike(r"[A-Za-z0-9=\"'.,:-]$").cast("int") + 2 * after.rlike(r"^[A-Za-z0-9\"']").cast("int"),
-            before.rlike(CUES).cast("int"),
-        )
+        own, other = phone(s) if generator else mail(s)
+        size = lambda i: bin_of(F.char_length(F.regexp_extract(s, r"([0-9]+)[^0-9]+([0-9]+)$", i)), 0, 1, 2, 3, 4) if generator else F.lit(0)
+        no_cue = before.rlike(NOT_CUES) if generator else F.lit(False)
+        inside = before.rlike(r"[A-Za-z0-9=\"'.,:-]$").cast("int") + 2 * after.rlike(r"^[A-Za-z0-9\"']").cast("int")
+        f = F.array(F.lit(generator), *own, inside, F.when(before.rlike(CUES), 1).when(no_cue, 2).otherwise(0), size(1), size(2))
         known = F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), known.alias("known"), f.alias("f"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), known.alias("known"), (~known & (other | no_cue)).alias("other"), f.alias("f"))
 
     return described
 
@@ -156,7 +184,7 @@ def predict(tree, features: tuple[int, ...]) -> float:
 
 
 def threshold(model: list, patterns: list[tuple[tuple[int, ...], int, int]], precision: float = PRECISION, least: int = LEAST) -> float:
-    """The least score such that, of all candidates scored as high or higher, `precision` are known to be personal
+    """The least score such that, of all labelled candidates scored as high or higher, `precision` are known to be personal
     data, with `least` of them known at least; infinite if there is none."""
     by_score: dict[float, list[int]] = {}
     for f, n, good in patterns:
@@ -171,30 +199,44 @@ def threshold(model: list, patterns: list[tuple[tuple[int, ...], int, int]], pre
     return chosen
 
 
-def _column(tree, f: Column) -> Column:
-    return F.when(f[tree[0]] <= tree[1], _column(tree[2], f)).otherwise(_column(tree[3], f)) if isinstance(tree, tuple) else F.lit(float(tree))
+def accepted(patterns: list[tuple[tuple[int, ...], int, int]], every: list[tuple[int, ...]], least: int = LEAST) -> list[tuple[int, ...]]:
+    """Those of the patterns `every` that score as high as the threshold, and whose form the base rules confirm `least` times.
+
+    patterns are (features, n, n_positive) of the labelled candidates only. What the base rules miss is no negative, and
+    takes nothing from the precision, however much of it there is."""
+    model = boost(patterns)
+    limit = threshold(model, patterns)
+    seen: dict[tuple[int, ...], int] = {}
+    for f, _, good in patterns:
+        seen[form] = seen.get(form := tuple(f[i] for i in FORM), 0) + good
+    score = lambda f: round(sum((predict(t, f) for t in model[1:]), model[0]), 9)
+    return [f for f in every if score(f) >= limit and seen.get(tuple(f[i] for i in FORM), 0) >= least]
+
+
+def _code(f):
+    return sum(f[i] * 16**i for i in range(9))
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans.
 
-    Base spans always stay. The candidates of the whole corpus, counted by their small integer features (a few hundred
-    patterns at most reach the driver), train boosted trees to tell those that a base rule confirms, from format and
-    context alone; the calibrated threshold then adds candidates that look the same and overlap no base span, nor an
-    added one that begins before. all_spans is an array of (start, ord, end, kind); spans joins it as kind:start:end.
+    Base spans always stay. The candidates of the whole corpus, counted by their small integer features (a few thousand
+    patterns at most reach the driver), train boosted trees to tell those that a base rule confirms from those of forms
+    known not to be personal (order numbers, dates, versions, failed Luhn), by format and context alone. The rest is
+    unlabelled: it neither trains nor calibrates, and is added where it scores above the calibrated threshold in a form that
+    the base rules confirm, and overlaps no added one that begins before. all_spans is an array of (start, ord, end, kind); spans joins it as kind:start:end.
     A null or empty text has no spans (the digest is that of the empty string); null keys and repeated rows are
     treated like others; no rows give no rows; other columns are not read. The texts are read once, without a shuffle.
     """
     whole = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("base", base_spans(F.col("_t")))
     found = store(whole.select(key, "base", candidates(F.col("_t"), F.col("base")).alias("cands")), "pii")
-    counted = found.select(F.explode("cands").alias("c")).groupBy("c.f").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.known").cast("long")).alias("good")).collect()
-    patterns = sorted((tuple(r["f"]), r["n"], r["good"]) for r in counted)
-    model = boost(patterns)
-    least = threshold(model, patterns)
+    total = lambda c: F.sum(F.col(f"c.{c}").cast("long")).alias(c)
+    counted = found.select(F.explode("cands").alias("c")).groupBy("c.f").agg(F.count(F.lit(1)).alias("n"), total("known"), total("other")).collect()
+    patterns = sorted((tuple(r["f"]), r["known"] + r["other"], r["known"]) for r in counted if r["known"] + r["other"])
+    codes = [_code(f) for f in accepted(patterns, sorted(tuple(r["f"]) for r in counted if r["n"] > r["known"] + r["other"]))]
     added = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    if least < math.inf:
-        score = lambda c: F.round(sum((_column(t, c["f"]) for t in model[1:]), F.lit(model[0])), 9)
-        picked = F.filter("cands", lambda c: ~c["known"] & (score(c) >= least))
+    if codes:
+        picked = F.filter("cands", lambda c: ~c["known"] & ~c["other"] & _code([c["f"][i].cast("long") for i in range(9)]).isin(codes))
         added = F.transform(picked, lambda c: F.struct(c["start"], F.when(c["kind"] == "email", 0).otherwise(3).alias("ord"), c["end"], c["kind"]))
     mine = found.withColumn("_added", added)
     apart = F.filter("_added", lambda c: ~F.exists("_added", lambda o: ((o["start"] < c["start"]) | (o["start"] == c["start"]) & (o["ord"] < c["ord"])) & (c["start"] < o["end"])))

@@ -419,6 +419,22 @@ def test_pii_adds_what_looks_alike(spark):
     assert got[500] == "phone:19:35" and not any(got[100 + i] for i in range(80))
 
 
+def test_pii_adds_what_the_base_rules_miss_however_much_it_is(spark):
+    rnd = random.Random(5)
+    three, four = lambda: rnd.randint(200, 999), lambda: rnd.randint(1000, 9999)
+    no_card = lambda: next(c for c in iter(lambda: f"4{three()} {four()} {four()} {four()}", None) if not luhn(c.replace(" ", "")))
+    said = [f"please phone me at +1 ({three()}) 555-{four()} today" for _ in range(60)] + [f"write to bob{i}.x@mail{i}.example.org soon" for i in range(60)]
+    missed = [("please phone me at ", f"1 ({three()}) 555-{four()}", "phone") for _ in range(40)] + [("please phone me at ", f"({three()}) 555-{four()}", "phone") for _ in range(20)]
+    missed += [("write to ", mail, "email") for mail in ["jan.doe (at) mail.example (dot) com", "ann[at]corp[dot]org", "li (AT) a (DOT) b (DOT) net", "eve @ shop.example.com", "max (at) site . example . org"] * 8]
+    other = [f"order {rnd.randint(10**8, 10**9)} came" for _ in range(40)] + [f"order ({three()}) 555-{four()} came" for _ in range(40)] + [f"on 2024-05-{i % 28 + 1:02} 10 and 3.12.{i}.20241 or {no_card()}" for i in range(40)]
+    other += ["we meet (at) noon. Then we go", "follow us @shop.example.com today", "see it (at) www.example.com now", "rows 12 15 18 22 30 41"] * 10
+    texts = [*said, *[a + b + " today" for a, b, _ in missed], *other]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = len(said)
+    assert [got[at + i] for i in range(len(missed))] == [f"{kind}:{len(a)}:{len(a) + len(b)}" for a, b, kind in missed]
+    assert not [(t, got[at + len(missed) + i]) for i, t in enumerate(other) if got[at + len(missed) + i]]
+
+
 def test_readers_of_documents_take_no_rows(empty):
     for f in (packing.pack, quality.judge, tokens.token_counts, simhash.near_duplicates, pii.find):
         assert f(empty).count() == 0
