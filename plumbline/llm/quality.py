@@ -13,6 +13,9 @@ from plumbline.workspace import store
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, doc_print long, lines array<struct<hash:long,at:int,words:int>>"
 
+#: Distinct documents of a host that make a line frequent whatever their share: a host of any size loses such lines.
+MANY_DOCUMENTS = 1000
+
 
 def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
     """Per document: key, host, the base measures, doc_print and its lines as (hash of the normalised line, place, words).
@@ -60,16 +63,17 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
     return docs.select(key, host, text).mapInArrow(batch_of, schema)
 
 
-def frequent_lines(measured: DataFrame, host: str = "source", least_documents: int = 20, share: float = 0.05) -> DataFrame:
-    """(host, hash, n_documents) of the lines found in more than `share` of a host's distinct documents, and in at least `least_documents`."""
+def frequent_lines(measured: DataFrame, host: str = "source", least_documents: int = 20, share: float = 0.05, many: int = MANY_DOCUMENTS) -> DataFrame:
+    """(host, hash, n_documents) of the lines found in more than `share` of a host's distinct documents, and in at least
+    `least_documents`; or in at least `many`, whatever their share."""
     seen = measured.select(host, "doc_print", F.explode("lines.hash").alias("hash")).groupBy(host, "hash", "doc_print").agg(F.lit(1).alias("one"))
     counts = seen.groupBy(host, "hash").agg(F.count("one").alias("n_documents")).where(F.col("n_documents") >= least_documents)
     totals = measured.groupBy(host, "doc_print").agg(F.lit(1).alias("one")).groupBy(host).agg(F.count("one").alias("n_host"))
     totals = totals.withColumnRenamed(host, "_host")
-    return counts.join(totals, counts[host].eqNullSafe(totals["_host"])).where(F.col("n_documents") > share * F.col("n_host")).select(host, "hash", "n_documents")
+    return counts.join(totals, counts[host].eqNullSafe(totals["_host"])).where((F.col("n_documents") > share * F.col("n_host")) | (F.col("n_documents") >= many)).select(host, "hash", "n_documents")
 
 
-def judge(docs: DataFrame, least_documents: int = 20, share: float = 0.05, depleted: float = 0.3, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, least_documents: int = 20, share: float = 0.05, depleted: float = 0.3, text: str = "text", key: str = "doc_id", host: str = "source", many: int = MANY_DOCUMENTS) -> DataFrame:
     """Per document: key, the five base measures, base_failed, n_removed_words, removed_lines (places), kept.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. Lines above the limits of
@@ -78,8 +82,8 @@ def judge(docs: DataFrame, least_documents: int = 20, share: float = 0.05, deple
     judged each but count as one document; no rows give no rows; other columns are not read.
     """
     measured = store(measures(docs, text, key, host).withColumn("_row", F.expr("uuid()")), "quality")
-    # at most lines-of-a-document / share rows a host: Spark broadcasts the stored table while it is small, and shuffles beyond
-    frequent = store(frequent_lines(measured, host, least_documents, share), "quality-lines").withColumnRenamed(host, "_host")
+    # at most lines-of-a-document / share rows a host, and one for each `many` lines of the corpus: Spark broadcasts the stored table while it is small, and shuffles beyond
+    frequent = store(frequent_lines(measured, host, least_documents, share, many), "quality-lines").withColumnRenamed(host, "_host")
     lines = measured.select("_row", host, F.explode("lines").alias("line")).select("_row", host, "line.*")
     hits = lines.join(frequent, (lines["hash"] == frequent["hash"]) & lines[host].eqNullSafe(frequent["_host"])).groupBy("_row").agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("at")).alias("removed_lines"))
     joined = measured.drop("lines", "doc_print").join(hits, "_row", "left")

@@ -293,6 +293,15 @@ def test_quality_counts_documents_that_share_most_of_their_lines(spark, own_word
     assert all(got[100 + i]["removed_lines"] == [] and got[100 + i]["kept"] for i in range(400))
 
 
+def test_quality_lines_of_many_documents_go_from_a_hot_source(spark):
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id"))
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.translate(F.concat(F.col("doc_id").cast("string"), F.lit("q"), k.cast("string")), "0123456789", "abcdefghij")), " ")
+    line = F.when(F.col("doc_id") < 1000, "licence line of many\n").when(F.col("doc_id") < 1900, "line of fewer documents\n").otherwise("")
+    docs = ids.select("doc_id", F.concat(line, own).alias("text"), F.lit("hot").alias("source"))
+    got = quality.judge(docs).where(F.size("removed_lines") > 0).select("doc_id", "removed_lines", "kept").collect()
+    assert {r["doc_id"] for r in got} == set(range(1000)) and all(r["removed_lines"] == [0] and r["kept"] for r in got)
+
+
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_token_counts(spark, odd, which):
     docs = odd if which == "odd" else read(spark, "/root/testdata/sf0.01", "documents")
