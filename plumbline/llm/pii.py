@@ -16,19 +16,26 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-KINDS = ("email", "ip", "card", "phone")
-#: Generators of further spans: mail addresses written around the sign, and grouped digits of any kind.
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of spans that begin together; only the generators know secrets.
+KINDS = (*BASE_KINDS, "secret")
+#: Generators: a kind, what a text must hold to be searched, and a wide pattern. They overlap the base rules and each other.
 GENERATORS = (
-    ("email", r"[A-Za-z0-9._%+-]++ ?(?:@|\((?:at|AT)\)|\[(?:at|AT)\]) ?[A-Za-z0-9-]++(?:(?:\.| \. | ?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]) ?)[A-Za-z0-9-]++)*+"),
-    ("phone", r"[+(]?[0-9][0-9\x20()./-]{5,40}[0-9]"),
+    ("email", r"@|[(\[](?:at|AT)[)\]]", r"[A-Za-z0-9._%+-]++ ?(?:@|\((?:at|AT)\)|\[(?:at|AT)\]) ?[A-Za-z0-9-]++(?:(?:\.| \. | ?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]) ?)[A-Za-z0-9-]++)*+"),
+    ("phone", r"[0-9][0-9\x20()./-]{5}", r"[+(]?[0-9][0-9\x20()./-]{5,40}[0-9]"),
+    ("ip", r"[0-9] ?[.(\[]", r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}+){3}(?![0-9])"),
+    ("card", r"[0-9]{4}[^0-9]{0,2}[0-9]", r"(?<![0-9])[0-9]{4}(?:[\x20._/–—-]{1,2}[0-9]{2,6}|[0-9]{2,6}){2,4}(?![0-9])"),
+    ("secret", r"[:=].{0,4}[A-Za-z0-9_+/=-]{16}", r"[A-Za-z0-9_+/=-]{16,}+"),
 )
 #: Characters before a candidate that are read as its context.
 CONTEXT = 24
 NOT_CUES = r"(?i)(?:order|invoice|version|isbn|issn|issue|ticket|item|page|article|serial|section|chapter|doi|\bv|\bid|\bref)[^\p{L}]*$"
 CUES = r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|write|reach)[^\p{L}]*$"
-#: Signs written out, as (pattern, sign): features are those of the mail address behind them.
-WRITTEN_OUT = ((r" ?[(\[](?:at|AT)[)\]] ?", "@"), (r" ?[(\[](?:dot|DOT)[)\]] ?| \. ", "."), (r" @ ", "@"))
+SECRET_CUES = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth)[\"']?[\x20]{0,3}[:=][\x20]{0,3}[\"']?$"
+#: Signs written out, as (pattern, sign): features are those of the mail address or number behind them.
+WRITTEN_OUT = ((r" ?[(\[](?:at|AT)[)\]] ?", "@"), (r" ?[(\[](?:dot|DOT|\.)[)\]] ?| \. ", "."), (r" @ ", "@"))
 MAIL = r"^[A-Za-z0-9._%+-]+@(?!www\.)(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Grouped digits that are no phone number: dates, spans of years, versions and thousands, book numbers, digits in one run.
 _DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:[12][0-9])?[0-9]{2}"
 NOT_PHONES = (
@@ -38,25 +45,51 @@ NOT_PHONES = (
     r"^97[89][ -][0-9 -]+$",
     r"^[0-9]+$",
 )
-#: The features that make a candidate's form; the others are its context.
-FORM = (0, 1, 3, 4, 7, 8)
-#: Boosting: trees, their step, and the precision that a threshold must reach on the corpus's own candidates.
+#: Positions of a candidate's features: 0 generator, 1 to 4 its form, 5 what it touches, 6 cue, 7 and 8 sizes of the last
+#: two groups of digits, 9 whether the form alone could be something else.
+N_FEATURES, CUE, BARE = 10, 6, 9
+FORM = (0, 1, 3, 4, 7, 8, BARE)
+#: Boosting: trees, their step, and the precision that a threshold must reach on labelled candidates held out from the trees.
 TREES, STEP, PRECISION, LEAST = 24, 0.4, 0.98, 20
+#: Elements that a running value is computed over at once; longer arrays go block by block.
+BLOCK = 256
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Leftmost, non-overlapping matches as an array of (start, end, s) in code points; end is exclusive."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
+def bound(body: str, name: str, **values: str) -> str:
+    """SQL for `body`, in which the struct `name` holds these values, each computed once: a lambda that names an expression
+    again would compute it again for every element."""
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"get(transform(array(named_struct({fields})), {name} -> {body}), 0)"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["end"] + x["gap"]
-        end = start + F.char_length(x["s"])
-        return F.struct(end.alias("end"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("out"))
 
-    pairs = F.transform(found, lambda s, i: F.struct(F.get(gaps, i).alias("gap"), s.alias("s")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def running(values: str, op: str, zero: int, name: str) -> str:
+    """SQL for the running `op` ('{a} + {b}', associative, `zero` neutral) over an array of ints, inclusive; block by block,
+    so that a long array does not cost its square. `name` begins the names that its lambdas use."""
+    n = name
+    last = lambda a: f"coalesce(get({a}, size({a}) - 1), {zero})"
+    scan = lambda a: f"aggregate({a}, cast(array() AS array<int>), ({n}s, {n}x) -> concat({n}s, array({op.format(a=last(f'{n}s'), b=f'{n}x')})))"
+    starts = f"sequence(0, cast(floor((greatest(size({n}v.v), 1) - 1) / {BLOCK}) AS int))"
+    blocks = f"transform({starts}, {n}i -> {scan(f'slice({n}v.v, {n}i * {BLOCK} + 1, {BLOCK})')})"
+    before = f"concat(array({zero}), slice({n}e.ends, 1, size({n}e.ends) - 1))"
+    shifted = f"flatten(zip_with({n}e.blocks, {before}, ({n}k, {n}o) -> transform({n}k, {n}y -> {op.format(a=f'{n}o', b=f'{n}y')})))"
+    ends = scan(f"transform({n}b.blocks, {n}t -> {last(f'{n}t')})")
+    return bound(bound(bound(shifted, f"{n}e", blocks=f"{n}b.blocks", ends=ends), f"{n}b", blocks=blocks), f"{n}v", v=values)
+
+
+def spans(text: str, pattern: str, likely: str) -> Column:
+    """Leftmost, non-overlapping matches in the column `text`, if `likely` is found, as an array of (start, end, s, before,
+    after): code points, end exclusive, and the texts up to the match before and after. Linear in the text and, but for
+    blocks, in its matches."""
+    n = "size(p.found)"
+    ends = running("zip_with(p.found, slice(p.gaps, 1, size(p.found)), (s, g) -> char_length(s) + char_length(g))", "{a} + {b}", 0, "r")
+    around = f"zip_with(slice(p.gaps, 1, {n}), slice(p.gaps, 2, {n}), (x, y) -> named_struct('before', x, 'after', y))"
+    matches = f"zip_with(p.found, {ends}, (s, e) -> named_struct('s', s, 'end', e))"
+    placed = f"zip_with({matches}, {around}, (m, w) -> named_struct('start', m.end - char_length(m.s), 'end', m.end, 's', m.s, 'before', w.before, 'after', w.after))"
+    found = bound(placed, "p", found=f"regexp_extract_all({text}, r'{pattern}', 0)", gaps=f"split({text}, r'{pattern}', -1)")
+    return F.expr(f"CASE WHEN {text} RLIKE r'{likely}' THEN {found} ELSE cast(array() AS {NO_MATCHES}) END")
+
+
+NO_MATCHES = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
 
 
 def _digits(s: Column) -> Column:
@@ -73,75 +106,167 @@ def _as_span(place: int, kind: str):
     return lambda m: F.struct(m["start"].alias("start"), F.lit(place).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans in order of start, then kind: array of (start, ord, end, kind)."""
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+def base_spans(text: str) -> Column:
+    """All base spans of the column `text` in order of start, then kind: array of (start, ord, end, kind)."""
     n = lambda m: F.char_length(_digits(m["s"]))
-    tests = {
-        "email": (text.contains("@"), EMAIL, None),
-        "ip": (text.rlike(r"[0-9]\.[0-9]"), IP, lambda m: m["s"].rlike(rf"^{octet}(?:\.{octet}){{3}}$")),
-        "card": (text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), CARD, lambda m: n(m).between(14, 19) & _luhn(_digits(m["s"]))),
-        "phone": (text.contains("+"), PHONE, lambda m: n(m).between(10, 15)),
-    }
+    rules = (
+        ("email", "@", EMAIL, None),
+        ("ip", r"[0-9]\.[0-9]", IP, lambda m: m["s"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
+        ("card", r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", CARD, lambda m: n(m).between(14, 19) & _luhn(_digits(m["s"]))),
+        ("phone", r"\+[0-9]", PHONE, lambda m: n(m).between(10, 15)),
+    )
     parts = []
-    for i, kind in enumerate(KINDS):
-        likely, pattern, test = tests[kind]
-        found = F.when(likely, spans(text, pattern)).otherwise(none)
-        kept = F.filter(found, test) if test else found
-        parts.append(F.transform(kept, _as_span(i, kind)))
+    for i, (kind, likely, pattern, test) in enumerate(rules):
+        found = spans(text, pattern, likely)
+        parts.append(F.transform(F.filter(found, test) if test else found, _as_span(i, kind)))
     return F.sort_array(F.concat(*parts))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """What the generators propose: array of (start, end, kind, known, other, f). `known`: overlaps a base span; `other`:
-    does not, and has a form or context that is known not to be personal; `f`: format and context features."""
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    likely = (text.rlike(r"@|[(\[](?:at|AT)[)\]]"), text.rlike(r"[0-9][0-9\x20()./-]{5}"))
-    parts = []
-    for g, (kind, pattern) in enumerate(GENERATORS):
-        found = F.when(likely[g], spans(text, pattern)).otherwise(none)
-        parts.append(F.transform(found, _described(text, base, g, kind)))
-    return F.concat(*parts)
-
-
-def _described(text: Column, base: Column, generator: int, kind: str):
-    """The candidate of a match, with its features. The features of a mail address are those of its plain form, and those of
-    a phone number leave its plus out, so that what the base rules miss looks like what they find."""
-    bin_of = lambda x, *bounds: sum(((x > b).cast("int") for b in bounds), F.lit(0))
-    flags = lambda s, *signs: sum((s.contains(sign).cast("int") * 2**i for i, sign in enumerate(signs)), F.lit(0))
-
-    def mail(s: Column) -> tuple[list[Column], Column]:
-        plain = s
-        for pattern, sign in WRITTEN_OUT:
-            plain = F.regexp_replace(plain, pattern, sign)
-        mention = s.rlike(" @[^ ]|[^ ]@ ")
-        whole = plain.rlike(MAIL)
-        return [whole.cast("int"), bin_of(F.size(F.split(plain, r"\.")), 1, 2), mention.cast("int"), plain.contains("@www.").cast("int")], ~whole | mention
-
-    def phone(s: Column) -> tuple[list[Column], Column]:
-        parts = F.split(F.regexp_replace(s, r"^[^0-9]+|[^0-9]+$", ""), r"[^0-9]+")
-        n = F.char_length(_digits(s))
-        other = ~n.between(7, 15)
-        for pattern in NOT_PHONES:
-            other = other | s.rlike(pattern)
-        return [bin_of(n, 0, 6, 9, 12, 13, 15, 19), bin_of(F.size(parts), 1, 2, 3, 4, 5), flags(F.regexp_extract(s, r"([^0-9]+)[0-9]+$", 1), " ", "-", "."), flags(s, "/")], other
-
-    def described(m: Column) -> Column:
-        s, before = m["s"], F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
-        after = F.substring(text, m["end"] + 1, F.lit(1))
-        own, other = phone(s) if generator else mail(s)
-        size = lambda i: bin_of(F.char_length(F.regexp_extract(s, r"([0-9]+)[^0-9]+([0-9]+)$", i)), 0, 1, 2, 3, 4) if generator else F.lit(0)
-        no_cue = before.rlike(NOT_CUES) if generator else F.lit(False)
-        inside = before.rlike(r"[A-Za-z0-9=\"'.,:-]$").cast("int") + 2 * after.rlike(r"^[A-Za-z0-9\"']").cast("int")
-        f = F.array(F.lit(generator), *own, inside, F.when(before.rlike(CUES), 1).when(no_cue, 2).otherwise(0), size(1), size(2))
-        known = F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), known.alias("known"), (~known & (other | no_cue)).alias("other"), f.alias("f"))
-
-    return described
-
-
-def boost(patterns: list[tuple[tuple[int, ...], int, int]], trees: int = TREES, step: float = STEP) -> list[tuple]:
+def _bin(x: Column, *bounds: int) -> Column:
+    return sum(((x > b).cast("int") for b in bounds), F.lit(0))
+
+
+def _flags(s: Column, *signs: str) -> Column:
+    return sum((s.contains(sign).cast("int") * 2**i for i, sign in enumerate(signs)), F.lit(0))
+
+
+def _plain(s: Column) -> Column:
+    for pattern, sign in WRITTEN_OUT:
+        s = F.regexp_replace(s, pattern, sign)
+    return s
+
+
+def _mail(s: Column) -> tuple[list[Column], Column, Column]:
+    plain, mention = _plain(s), s.rlike(" @[^ ]|[^ ]@ ")
+    whole = plain.rlike(MAIL)
+    return [whole.cast("int"), _bin(F.size(F.split(plain, r"\.")), 1, 2), mention.cast("int"), plain.contains("@www.").cast("int")], ~whole | mention, F.lit(0)
+
+
+def _phone(s: Column) -> tuple[list[Column], Column, Column]:
+    # a leading 00 stands for the plus sign, and neither counts: what the base rules miss looks like what they find
+    bare = (~s.rlike(r"^\+|^00[1-9]|^\(?[0-9 ]{0,3}\(?[0-9]{2,4}\)")).cast("int")
+    plain = F.regexp_replace(s, "^00(?=[1-9])", "+")
+    n = F.char_length(_digits(plain))
+    other = ~n.between(7, 15)
+    for pattern in NOT_PHONES:
+        other = other | plain.rlike(pattern)
+    parts = F.split(F.regexp_replace(plain, r"^[^0-9]+|[^0-9]+$", ""), r"[^0-9]+")
+    return [_bin(n, 0, 6, 9, 12, 13, 15, 19), _bin(F.size(parts), 1, 2, 3, 4, 5), _flags(F.regexp_extract(plain, r"([^0-9]+)[0-9]+$", 1), " ", "-", "."), _flags(plain, "/")], other, bare
+
+
+def _ip(s: Column) -> tuple[list[Column], Column, Column]:
+    plain = _plain(s)
+    valid = plain.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
+    small = plain.rlike(r"^[0-9](?:\.[0-9]{1,2}){3}$")
+    return [valid.cast("int"), small.cast("int"), plain.rlike(r"(?:^|\.)0[0-9]").cast("int"), F.lit(0)], ~valid | small, F.lit(0)
+
+
+def _card(s: Column) -> tuple[list[Column], Column, Column]:
+    digits = _digits(s)
+    n = F.char_length(digits)
+    passes = n.between(14, 19) & _luhn(digits)
+    grouped = s.rlike(r"^[0-9]{4}(?:([^0-9]{0,2})[0-9]{4}){3}$|^[0-9]{4}([^0-9]{0,2})[0-9]{6}([^0-9]{0,2})[0-9]{4,5}$")
+    return [passes.cast("int"), _bin(n, 13, 14, 15, 16, 18), grouped.cast("int"), F.lit(0)], ~passes, (~grouped).cast("int")
+
+
+def _secret(s: Column) -> tuple[list[Column], Column, Column]:
+    digits = F.char_length(_digits(s))
+    n = F.char_length(s)
+    kinds = s.rlike("[a-z]").cast("int") + s.rlike("[A-Z]").cast("int") + s.rlike("[0-9]").cast("int")
+    word = (digits * 16 < n) | s.rlike(r"^[0-9/=_+-]+$|[_=+/-]{4}") | (kinds < 2)
+    return [_bin(n, 19, 31, 47, 63), kinds, s.rlike("^[0-9a-fA-F]+$").cast("int"), F.lit(0)], word, F.lit(1)
+
+
+FORMS = (_mail, _phone, _ip, _card, _secret)
+
+
+def described(generator: int, s: Column, before: Column, after: Column) -> tuple[Column, Column]:
+    """The features of a candidate of this generator, and whether form or context say that it is not personal. The features
+    of a written-out form are those of the plain one."""
+    own, other, bare = FORMS[generator](s)
+    before = F.substring(before, -CONTEXT, CONTEXT)
+    digits = generator == 1
+    size = lambda i: _bin(F.char_length(F.regexp_extract(s, r"([0-9]+)[^0-9]+([0-9]+)$", i)), 0, 1, 2, 3, 4) if digits else F.lit(0)
+    no_cue = before.rlike(NOT_CUES) if digits or generator == 2 else F.lit(False)
+    inside = before.rlike(r"[A-Za-z0-9=\"'.,:-]$").cast("int") + 2 * F.substring(after, 1, 1).rlike(r"^[A-Za-z0-9\"']").cast("int")
+    cue = before.rlike(SECRET_CUES if generator == 4 else CUES)
+    f = F.array(F.lit(generator), *own, F.lit(0) if generator == 4 else inside, F.when(cue, 1).when(no_cue, 2).otherwise(0), size(1), size(2), bare)
+    return f, other | no_cue | (~cue if generator == 4 else F.lit(False))
+
+
+def candidates(matches: list[str], plant: str, base: str) -> Column:
+    """What the generators propose, by start: array of (start, end, ord, known, other, f). `matches` are the columns of the
+    generators' spans. `known`: overlaps a base span; `other`: does not, and has a form or context that is known not to
+    be personal; `f`: format and context features. The first one is the planted one (start and end -1), which is known."""
+
+    def of(generator: int, kind: str):
+        def one(m: Column) -> Column:
+            f, other = described(generator, m["s"], m["before"], m["after"])
+            return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS.index(kind)).alias("ord"), other.alias("other"), f.alias("f"))
+
+        return one
+
+    mine = lambda g: F.expr(f"transform(filter(array({plant}), p -> p.g = {g}), p -> named_struct('start', -1, 'end', -1, 's', p.s, 'before', p.before, 'after', p.after))")
+    parts = [F.transform(F.concat(mine(g), m), of(g, kind)) for g, ((kind, _, _), m) in enumerate(zip(GENERATORS, matches))]
+    return F.sort_array(F.concat(*parts))
+
+
+def _held_against(cands: str, base: str) -> Column:
+    """Whether candidates overlap base spans (both by start), in one sweep: does the farthest end of the base spans that
+    begin no later reach into a candidate, or does the next one begin inside it?"""
+    far = 2**31 - 1
+    row = lambda side: f"x -> named_struct('start', x.start, 'side', {side}, 'end', x.end)"
+    ends = running("transform(m.every, x -> if(x.side = 0, x.end, 0))", "greatest({a}, {b})", 0, "r")
+    nexts = running(f"reverse(transform(m.every, x -> if(x.side = 0, x.start, {far})))", "least({a}, {b})", far, "q")
+    reach = f"zip_with({ends}, reverse({nexts}), (e, n) -> named_struct('e', e, 'n', n))"
+    held = f"filter(zip_with(m.every, {reach}, (x, r) -> named_struct('side', x.side, 'known', r.e > x.start OR r.n < x.end)), x -> x.side = 1)"
+    swept = f"zip_with(m.c, {held}, (c, h) -> named_struct('start', c.start, 'end', c.end, 'ord', c.ord, 'known', h.known OR c.start < 0, 'other', NOT h.known AND c.start >= 0 AND c.other, 'f', c.f))"
+    every = f"array_sort(concat(transform(v.b, {row(0)}), transform(v.c, {row(1)})))"
+    return F.expr(bound(bound(swept, "m", every=every, c="v.c"), "v", c=cands, b=base))
+
+
+def planted(text: Column) -> Column:
+    """One synthetic candidate for each text, set into a place of the text: (g, s, before, after). Its generator and form go by
+    the text's hash. Forms that could be something else stand behind a cue, as in life."""
+    draw = lambda i: F.xxhash64(text, F.lit(i))
+    number = lambda i, n: F.lpad(F.pmod(draw(i), F.lit(10**n)).cast("string"), n, "0")
+    octet = lambda i: F.pmod(draw(i), F.lit(256)).cast("string")
+    word = lambda i: F.translate(F.substring(F.sha2(draw(i).cast("string").cast("binary"), 256), 1, 7), "0123456789", "ghijklmnop")
+    stem = F.concat(F.lit("4"), number(1, 14))
+    card = F.concat(stem, F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: _luhn(F.concat(stem, d.cast("string")))), F.lit(0)).cast("string"))
+    quarters = lambda sign: F.concat_ws(sign, *[F.substring(card, at, 4) for at in (1, 5, 9, 13)])
+    digest = F.sha2(draw(2).cast("string").cast("binary"), 256)
+    call, key, none = "call ", 'token = "', ""
+    forms = (
+        (0, none, F.concat(word(1), F.lit("."), word(2), F.lit(" (at) "), word(3), F.lit(".example (dot) com"))),
+        (0, none, F.concat(word(1), F.lit("[at]"), word(3), F.lit("[dot]org"))),
+        (1, none, F.concat(F.lit("1 ("), number(3, 3), F.lit(") "), number(4, 3), F.lit("-"), number(5, 4))),
+        (1, none, F.concat(F.lit("("), number(3, 3), F.lit(") "), number(4, 3), F.lit("-"), number(5, 4))),
+        (1, none, F.concat(F.lit("0043 660 "), number(3, 7))),
+        (1, none, F.concat(F.lit("0049 "), number(4, 3), F.lit(" "), number(3, 7))),
+        (1, call, F.concat(F.lit("0660 1"), number(3, 6))),
+        (1, call, F.concat(F.lit("01/"), number(3, 7))),
+        (1, call, F.concat(number(3, 3), F.lit("-"), number(4, 3), F.lit("-"), number(5, 4))),
+        (2, none, F.concat_ws("[.]", F.lit("203"), *map(octet, (3, 4, 5)))),
+        (2, none, F.concat_ws(" . ", F.lit("198"), *map(octet, (3, 4, 5)))),
+        (3, none, quarters(".")),
+        (3, none, quarters("  ")),
+        (4, key, F.substring(digest, 1, 40)),
+        (4, key, F.substring(digest, 1, 32)),
+        (4, key, F.regexp_replace(F.base64(F.unhex(digest)), "=", "")),
+    )
+    n = F.char_length(text)
+    context = F.rtrim(F.substring(text, F.pmod(draw(0), F.greatest(n.cast("long"), F.lit(1))).cast("int") + 1, F.lit(CONTEXT)))
+    drawn = F.array(*[F.struct(F.lit(g).alias("g"), s.alias("s"), F.lit(cue).alias("cue")) for g, cue, s in forms])
+    after = F.array(*map(F.lit, (" ", ". ", ", ", ")", '"')))
+    one = F.get(drawn, F.pmod(draw(6), F.lit(len(forms))).cast("int"))
+    return F.struct(one["g"].alias("g"), one["s"].alias("s"), F.concat(context, F.lit(" "), one["cue"]).alias("before"), F.get(after, F.pmod(draw(8), F.lit(5)).cast("int")).alias("after"))
+
+
+Pattern = tuple[tuple[int, ...], int, int]
+
+
+def boost(patterns: list[Pattern], trees: int = TREES, step: float = STEP) -> list:
     """Gradient-boosted trees of depth two, on logistic loss, over (features, n, n_positive).
 
     Returns a bias and trees; a tree is (feature, most, left, right), where left and right are a value or such a tree.
@@ -150,28 +275,29 @@ def boost(patterns: list[tuple[tuple[int, ...], int, int]], trees: int = TREES,
     bias = math.log((good + 0.5) / (n - good + 0.5))
     score = [bias] * len(patterns)
 
-    def leaf(rows: list[int]) -> tuple[float, float]:
-        """The Newton step of these rows, and what it gains."""
-        g = sum(patterns[i][2] - patterns[i][1] / (1 + math.exp(-score[i])) for i in rows)
-        h = sum(patterns[i][1] * (q := 1 / (1 + math.exp(-score[i]))) * (1 - q) for i in rows)
-        return g / (h + 1), g * g / (h + 1)
-
-    def grow(rows: list[int], depth: int):
-        value, gain = leaf(rows)
-        best = None
-        for f in range(len(patterns[0][0])) if depth else ():
-            for most in sorted({patterns[i][0][f] for i in rows})[:-1]:
-                low, high = [i for i in rows if patterns[i][0][f] <= most], [i for i in rows if patterns[i][0][f] > most]
-                found = leaf(low)[1] + leaf(high)[1]
-                if found > gain + 1e-9 and (best is None or found > best[0]):
-                    best = (found, f, most, low, high)
-        if best is None:
-            return step * value
-        return best[1], best[2], grow(best[3], depth - 1), grow(best[4], depth - 1)
+    def grow(rows: list[int], slope: list[float], bend: list[float], depth: int):
+        gain = lambda g, h: g * g / (h + 1)
+        g, h = sum(slope[i] for i in rows), sum(bend[i] for i in rows)
+        best = (gain(g, h) + 1e-9, None, None)
+        for f in range(N_FEATURES) if depth else ():
+            sums: dict[int, list[float]] = {}
+            for i in rows:
+                cell = sums.setdefault(patterns[i][0][f], [0.0, 0.0])
+                cell[0], cell[1] = cell[0] + slope[i], cell[1] + bend[i]
+            low_g = low_h = 0.0
+            for most in sorted(sums)[:-1]:
+                low_g, low_h = low_g + sums[most][0], low_h + sums[most][1]
+                if (found := gain(low_g, low_h) + gain(g - low_g, h - low_h)) > best[0]:
+                    best = (found, f, most)
+        _, f, most = best
+        if f is None:
+            return step * g / (h + 1)
+        return f, most, grow([i for i in rows if patterns[i][0][f] <= most], slope, bend, depth - 1), grow([i for i in rows if patterns[i][0][f] > most], slope, bend, depth - 1)
 
     grown: list = []
     for _ in range(trees if patterns and 0 < good < n else 0):
-        tree = grow(list(range(len(patterns))), 2)
+        odds = [1 / (1 + math.exp(-s)) for s in score]
+        tree = grow(list(range(len(patterns))), [p[2] - p[1] * q for p, q in zip(patterns, odds)], [p[1] * q * (1 - q) for p, q in zip(patterns, odds)], 2)
         grown.append(tree)
         score = [s + predict(tree, p[0]) for s, p in zip(score, patterns)]
     return [bias, *grown]
@@ -183,12 +309,16 @@ def predict(tree, features: tuple[int, ...]) -> float:
     return tree
 
 
-def threshold(model: list, patterns: list[tuple[tuple[int, ...], int, int]], precision: float = PRECISION, least: int = LEAST) -> float:
+def score_of(model: list, features: tuple[int, ...]) -> float:
+    return round(sum((predict(t, features) for t in model[1:]), model[0]), 9)
+
+
+def threshold(model: list, patterns: list[Pattern], precision: float = PRECISION, least: int = LEAST) -> float:
     """The least score such that, of all labelled candidates scored as high or higher, `precision` are known to be personal
     data, with `least` of them known at least; infinite if there is none."""
     by_score: dict[float, list[int]] = {}
     for f, n, good in patterns:
-        row = by_score.setdefault(round(sum((predict(t, f) for t in model[1:]), model[0]), 9), [0, 0])
+        row = by_score.setdefault(score_of(model, f), [0, 0])
         row[0], row[1] = row[0] + n, row[1] + good
     all_n = all_good = 0
     chosen = math.inf
@@ -199,49 +329,65 @@ def threshold(model: list, patterns: list[tuple[tuple[int, ...], int, int]], pre
     return chosen
 
 
-def accepted(patterns: list[tuple[tuple[int, ...], int, int]], every: list[tuple[int, ...]], least: int = LEAST) -> list[tuple[int, ...]]:
-    """Those of the patterns `every` that score as high as the threshold, and whose form the base rules confirm `least` times.
+def _support(f: tuple[int, ...]) -> tuple[int, ...]:
+    """What must have been seen to be personal: the form, with its cue where the form alone could be something else."""
+    return (*(f[i] for i in FORM), f[CUE] if f[BARE] else 0)
+
 
-    patterns are (features, n, n_positive) of the labelled candidates only. What the base rules miss is no negative, and
-    takes nothing from the precision, however much of it there is."""
-    model = boost(patterns)
-    limit = threshold(model, patterns)
+def accepted(fitting: list[Pattern], held_out: list[Pattern], every: list[tuple[int, ...]], least: int = LEAST) -> list[tuple[int, ...]]:
+    """Those of the patterns `every` that score as high as the threshold, in a form known to be personal `least` times.
+
+    fitting and held_out are (features, n, n_positive) of labelled candidates, of two halves of the texts: the trees are
+    fitted on one, the threshold is calibrated on the other. What the base rules miss is no negative, and takes nothing
+    from the precision, however much of it there is.
+    """
+    model = boost(fitting)
+    limit = threshold(model, held_out, least=max(1, least // 2))
     seen: dict[tuple[int, ...], int] = {}
-    for f, _, good in patterns:
-        seen[form] = seen.get(form := tuple(f[i] for i in FORM), 0) + good
-    score = lambda f: round(sum((predict(t, f) for t in model[1:]), model[0]), 9)
-    return [f for f in every if score(f) >= limit and seen.get(tuple(f[i] for i in FORM), 0) >= least]
+    for f, _, good in [*fitting, *held_out]:
+        seen[form] = seen.get(form := _support(f), 0) + good
+    return [f for f in every if score_of(model, f) >= limit and seen.get(_support(f), 0) >= least]
 
 
 def _code(f):
-    return sum(f[i] * 16**i for i in range(9))
+    return sum(f[i] * 16**i for i in range(N_FEATURES))
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, all_spans.
 
-    Base spans always stay. The candidates of the whole corpus, counted by their small integer features (a few thousand
-    patterns at most reach the driver), train boosted trees to tell those that a base rule confirms from those of forms
-    known not to be personal (order numbers, dates, versions, failed Luhn), by format and context alone. The rest is
-    unlabelled: it neither trains nor calibrates, and is added where it scores above the calibrated threshold in a form that
-    the base rules confirm, and overlaps no added one that begins before. all_spans is an array of (start, ord, end, kind); spans joins it as kind:start:end.
-    A null or empty text has no spans (the digest is that of the empty string); null keys and repeated rows are
-    treated like others; no rows give no rows; other columns are not read. The texts are read once, without a shuffle.
+    Base spans always stay. Generators propose further spans of the base kinds in forms that no base rule takes, and
+    secrets (long tokens behind a word for them). Boosted trees learn to select from labels of three sources: candidates
+    that a base rule confirms; synthetic ones in the missed forms, one planted into a place of each text; and, as
+    negatives, forms and contexts known not to be personal (order numbers, dates, versions, failed Luhn, mentions, plain
+    words). The rest is unlabelled. Half of the texts fit the trees, the other half calibrates the threshold. A candidate
+    is added above it, in a form seen often enough, if it overlaps no base span and no added one that begins before.
+    all_spans is an array of (start, ord, end, kind); spans joins it as kind:start:end.
+
+    A null or empty text has no spans (the digest is that of the empty string); null keys and repeated rows are treated
+    like others; no rows give no rows; other columns are not read. The texts are read once, without a shuffle; a text's
+    work is linear in its length and matches. Counts of features (a few thousand patterns at most) reach the driver.
     """
-    whole = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("base", base_spans(F.col("_t")))
-    found = store(whole.select(key, "base", candidates(F.col("_t"), F.col("base")).alias("cands")), "pii")
+    whole = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    matches = [spans("_t", pattern, likely).alias(f"_m{g}") for g, (_, likely, pattern) in enumerate(GENERATORS)]
+    half = F.pmod(F.xxhash64("_t", F.lit(7)), F.lit(2)).cast("int").alias("half")
+    read = whole.select(key, base_spans("_t").alias("base"), *matches, planted(F.col("_t")).alias("_p"), half)
+    proposed = read.select(key, "base", candidates([f"_m{g}" for g in range(len(GENERATORS))], "_p", "base").alias("_c"), "half")
+    found = store(proposed.select(key, "base", _held_against("_c", "base").alias("cands"), "half"), "pii")
     total = lambda c: F.sum(F.col(f"c.{c}").cast("long")).alias(c)
-    counted = found.select(F.explode("cands").alias("c")).groupBy("c.f").agg(F.count(F.lit(1)).alias("n"), total("known"), total("other")).collect()
-    patterns = sorted((tuple(r["f"]), r["known"] + r["other"], r["known"]) for r in counted if r["known"] + r["other"])
-    codes = [_code(f) for f in accepted(patterns, sorted(tuple(r["f"]) for r in counted if r["n"] > r["known"] + r["other"]))]
+    counted = found.select("half", F.explode("cands").alias("c")).groupBy("half", "c.f").agg(F.count(F.lit(1)).alias("n"), total("known"), total("other")).collect()
+    known = lambda h: sorted((tuple(r["f"]), r["known"] + r["other"], r["known"]) for r in counted if r["half"] == h and r["known"] + r["other"])
+    open_ones = sorted({tuple(r["f"]) for r in counted if r["n"] > r["known"] + r["other"]})
+    codes = [_code(f) for f in accepted(known(0), known(1), open_ones)]
     added = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     if codes:
-        picked = F.filter("cands", lambda c: ~c["known"] & ~c["other"] & _code([c["f"][i].cast("long") for i in range(9)]).isin(codes))
-        added = F.transform(picked, lambda c: F.struct(c["start"], F.when(c["kind"] == "email", 0).otherwise(3).alias("ord"), c["end"], c["kind"]))
-    mine = found.withColumn("_added", added)
-    apart = F.filter("_added", lambda c: ~F.exists("_added", lambda o: ((o["start"] < c["start"]) | (o["start"] == c["start"]) & (o["ord"] < c["ord"])) & (c["start"] < o["end"])))
-    every = mine.withColumn("all_spans", F.sort_array(F.concat("base", apart)))
+        picked = F.filter("cands", lambda c: ~c["known"] & ~c["other"] & _code([c["f"][i].cast("long") for i in range(N_FEATURES)]).isin(codes))
+        names = F.array(*map(F.lit, KINDS))
+        added = F.sort_array(F.transform(picked, lambda c: F.struct(c["start"], c["ord"], c["end"], F.get(names, c["ord"]).alias("kind"))))
+    before = running("transform(v.a, x -> x.end)", "greatest({a}, {b})", 0, "r")
+    apart = bound(f"transform(filter(zip_with(v.a, concat(array(0), slice({before}, 1, greatest(size(v.a) - 1, 0))), (x, e) -> named_struct('s', x, 'free', x.start >= e)), x -> x.free), x -> x.s)", "v", a="_added")
+    every = found.withColumn("_added", added).withColumn("all_spans", F.sort_array(F.concat("base", F.expr(apart) if codes else "_added")))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [of_kind(k).alias(f"n_{k}") for k in KINDS]
+    counts = [of_kind(k).alias(f"n_{k}") for k in BASE_KINDS]
     return every.select(key, *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("all_spans").alias("spans"), "all_spans")
