@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import components
+from plumbline.operators.joins import join_unique
+from plumbline.workspace import store
 
 
 def best_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -46,9 +48,9 @@ def merge_evidence(rows: DataFrame, key: str, score: str, row_id: str, longest:
 def linked_groups(rows: DataFrame, row_id: str, keys: Column) -> DataFrame:
     """(row_id, group): rows that share any key, directly or through others. Each key links its rows to its least row,
     so links grow with the keys and not with the square of a key's rows."""
-    held = rows.select(F.col(row_id).alias("row"), F.explode(keys).alias("key")).where("key is not null and key <> ''")
-    first = held.groupBy("key").agg(F.min("row").alias("first"))
-    edges = held.join(first, "key").select(F.col("row").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    held = store(rows.select(F.col(row_id).alias("row"), F.explode(keys).alias("key")).where("key is not null and key <> ''"), "group-keys")
+    first = store(held.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "group-firsts")
+    edges = join_unique(held, first.select("key", "first"), ["key"], first).select(F.col("row").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     found = components(edges)
     return rows.select(row_id).join(found, F.col(row_id) == F.col("id"), "left").select(row_id, F.coalesce("component", row_id).alias("group"))
 

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import HOT
 from plumbline.workspace import store
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component) for every id in edges (a, b); component is the least id reachable.
+    """(id, component) for every id in edges (a, b) but the least of its group; component is the least id reachable.
 
     Each id hands its neighbours to the least one near it until nothing changes. Every round is written to the shared
-    folder; nothing but one count and one hash reaches the driver. Links of an id to itself add nothing.
+    folder; nothing but one count and one hash reaches the driver. Links of an id to itself add nothing. An id near more
+    than one in HOT of all ends meets its least neighbour by broadcast (there are less than HOT such ids), so that no task
+    holds a hub's neighbours.
     """
 
     def ends(df: DataFrame) -> DataFrame:
         return df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, n_ends: int) -> DataFrame:
         near = ends(df)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+        is_hub = F.col("n") * HOT > n_ends
+        hubs, others = F.broadcast(least.where(is_hub).select("a", "m")), least.where(~is_hub).select("a", "m")
+        meet = lambda part: part.join(hubs, "a").unionByName(part.join(F.broadcast(least.where(is_hub).select("a")), "a", "left_anti").join(others, "a"))
         if large:
-            return near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = near.where("b < a").join(least, "a").select("b", "m")
+            return meet(near.where("b > a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = meet(near.where("b < a")).select("b", "m")
         own = least.select(F.col("a").alias("b"), "m")
         return down.union(own).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -33,7 +39,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     current = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     seen = mark(current)
     for _ in range(most_rounds):
-        current = store(star(star(current, True), False), "components")
+        current = store(star(current, True, 2 * seen[0]), "components")
+        current = store(star(current, False, 2 * current.count()), "components")
         now = mark(current)
         if now == seen:
             return current.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")

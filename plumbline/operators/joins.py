@@ -5,11 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.workspace import store
+
 
 def renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
+#: A key is hot if it holds more than one row in HOT of a table, so that a table has less than HOT of them.
+HOT = 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], counts: DataFrame | None = None, n: str = "n", hot: int = HOT) -> DataFrame:
+    """Inner join of rows with the one row that `unique` has for each key; a hot key's rows stay where they are.
+
+    `counts` has the rows of each key (column `n`); without it they are counted. Rows of hot keys, of which there
+    are less than `hot` whatever the tables' size, meet their row by broadcast; the others by a shuffle, in which no key
+    fills a task. Keys are compared null-safely. `rows` is read more than once and should be stored.
+    """
+    counted = counts if counts is not None else rows.groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    keys = store(counted.where(F.col(n) * hot > total).select(*on), "hot-keys")
+    same = lambda a, b: [a[k].eqNullSafe(b[f"_h_{k}"]) for k in on]
+    marked, kept = renamed(keys, "_h_"), [c for c in unique.columns if c not in on]
+    hot_side = renamed(unique.join(F.broadcast(marked), same(unique, marked), "left_semi"), "_h_")
+    other = renamed(unique.join(F.broadcast(marked), same(unique, marked), "left_anti"), "_h_")
+    out = lambda df: df.select(*rows.columns, *[F.col(f"_h_{c}").alias(c) for c in kept])
+    cold = rows.join(F.broadcast(marked), same(rows, marked), "left_anti")
+    return out(rows.join(F.broadcast(hot_side), same(rows, hot_side))).unionByName(out(cold.join(other.hint("merge"), same(cold, other))))
+
+
 def enrich(left: DataFrame, right: DataFrame, on: str, fill: dict[str, str]) -> DataFrame:
     """Left lookup: column c of `left` becomes fill[c] of the match where there is one. Keys of `right` are unique."""
     side = renamed(right.select(on, *fill.values()), "_r_")
