@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import ascii_lower
+from plumbline.operators.joins import join_unique
 from plumbline.workspace import store
 
 #: Digests a bucket holds on average; the number of buckets follows the snapshot.
 BUCKET_KEYS = 50_000
+DIGEST = ["text_sha256", "n_bytes"]
 
 
 def _mix(keys, seed: int):
@@ -85,8 +87,12 @@ def may_contain(filter_bytes: bytes, keys):
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, text_sha256 (of the text with A-Z in lower case, as UTF-8) and n_bytes."""
+    return docs.select(key, *_digest(text))
+
+
+def _digest(text: str) -> list:
     normal = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(key, F.sha2(normal.cast("binary"), 256).alias("text_sha256"), F.octet_length(normal).cast("long").alias("n_bytes"))
+    return [F.sha2(normal.cast("binary"), 256).alias("text_sha256"), F.octet_length(normal).cast("long").alias("n_bytes")]
 
 
 def groups(digested: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -102,7 +108,7 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 def snapshot(grouped: DataFrame, tag: str = "snapshot") -> tuple[DataFrame, DataFrame, int]:
     """Freeze groups of earlier documents: the stored exact table, a filter per bucket, and the number of buckets."""
     frozen = store(grouped, tag)
-    buckets = max(1, -(-frozen.count() // BUCKET_KEYS)) * 2
+    buckets = max(1, -(-frozen.count() // BUCKET_KEYS))
 
     def build(pdf):
         import numpy as np
@@ -134,26 +140,27 @@ def dedup_batch(earlier: DataFrame, batch: DataFrame, text: str = "text", key: s
     A row per document of both: key, keep_id, group_size, kept, text_sha256, in_snapshot. Of equal texts the row with
     the largest key stays. Copies within the batch are grouped by digest and length; each new digest is screened by the
     snapshot's filters; those that pass meet the exact table, and where digest and length agree the bytes of the two
-    texts are compared before the groups become one. A null text counts as empty; null keys rank lowest and stay only
+    texts are compared before the groups become one. Rows of a text that many share meet their group by broadcast. A null text counts as empty; null keys rank lowest and stay only
     alone (of several null keys one group, all kept false but marked by keep_id null); exactly repeated rows are all
-    kept, as they have one key; empty tables give no rows; other columns are not read.
+    kept, as they have one key; a key may have several texts; empty tables give no rows; other columns are not read.
     """
     old, new = store(digests(earlier, text, key), "dedup-old"), store(digests(batch, text, key), "dedup-new")
     frozen, filters, buckets = snapshot(groups(old, key))
     incoming = store(groups(new, key), "dedup-incoming")
-    positives = screen(incoming, filters, buckets).select("text_sha256", "n_bytes", F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
-    met = store(positives.join(frozen, ["text_sha256", "n_bytes"]), "dedup-met")
-    # One text of each side, found by its key, is compared byte by byte. The merge hint keeps one plan at every size: the
-    # ids grow with the input, and a broadcast would only serve small tables.
-    wanted = lambda ids, docs: ids.hint("merge").join(docs.select(F.col(key).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")), F.col("_id").eqNullSafe(F.col("_want"))).select("text_sha256", "n_bytes", "_text")
-    texts = wanted(met.select("text_sha256", "n_bytes", F.col("keep_id").alias("_want")), earlier).withColumn("_side", F.lit(0)).unionByName(wanted(met.select("text_sha256", "n_bytes", F.col("new_id").alias("_want")), batch).withColumn("_side", F.lit(1)))
-    same = texts.groupBy("text_sha256", "n_bytes").agg(F.max(F.when(F.col("_side") == 0, F.col("_text"))).alias("old_text"), F.max(F.when(F.col("_side") == 1, F.col("_text"))).alias("new_text")).where("old_text = new_text").select("text_sha256", "n_bytes", F.lit(True).alias("same"))
-    merged = met.join(same, ["text_sha256", "n_bytes"]).select("text_sha256", "n_bytes", F.greatest("keep_id", "new_id").alias("both_id"), (F.col("n") + F.col("new_n")).alias("both_n"))
-    merged = store(merged, "dedup-merged")
+    positives = screen(incoming, filters, buckets).select(*DIGEST, F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
+    met = store(positives.join(frozen, DIGEST), "dedup-met")
+    # One text of each side is compared byte by byte. It is found by digest and key: a key may have several texts, and
+    # several texts may have no key. The merge hint keeps one plan at every size: what was met grows with the input, and a
+    # broadcast would only serve small tables.
+    found = lambda wanted, docs: met.select(*DIGEST, F.col(wanted).alias("_want")).hint("merge").join(docs.select(*_digest(text), F.col(key).alias("_id"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).withColumnsRenamed({c: f"_{c}" for c in DIGEST}), F.col("_id").eqNullSafe(F.col("_want")) & (F.col("text_sha256") == F.col("_text_sha256")) & (F.col("n_bytes") == F.col("_n_bytes"))).select(*DIGEST, "_text")
+    texts = found("keep_id", earlier).withColumn("_side", F.lit(0)).unionByName(found("new_id", batch).withColumn("_side", F.lit(1)))
+    of_side = lambda i: F.max(F.when(F.col("_side") == i, F.col("_text")))
+    same = texts.groupBy(*DIGEST).agg(of_side(0).alias("old_text"), of_side(1).alias("new_text")).where("old_text = new_text").select(*DIGEST)
+    merged = store(met.join(same, DIGEST).select(*DIGEST, F.greatest("keep_id", "new_id").alias("both_id"), (F.col("n") + F.col("new_n")).alias("both_n")), "dedup-merged")
 
     def sides(grouped: DataFrame, rows: DataFrame, earlier_side: bool) -> DataFrame:
-        final = grouped.join(merged, ["text_sha256", "n_bytes"], "left").select("text_sha256", "n_bytes", F.coalesce("both_id", "keep_id").alias("keep_id"), F.coalesce("both_n", "n").alias("group_size"))
-        return rows.join(final, ["text_sha256", "n_bytes"]).withColumn("in_snapshot", F.lit(earlier_side))
+        final = store(grouped.join(merged, DIGEST, "left").select(*DIGEST, F.coalesce("both_id", "keep_id").alias("keep_id"), F.coalesce("both_n", "n").alias("group_size")), "dedup-final")
+        return join_unique(rows, final, DIGEST, grouped).withColumn("in_snapshot", F.lit(earlier_side))
 
     out = sides(frozen, old, True).unionByName(sides(incoming, new, False))
     return out.select(key, "keep_id", "group_size", F.coalesce(F.col(key) == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", "in_snapshot")

@@ -67,6 +67,18 @@ def test_exact_dedup_without_rows(empty, odd):
     assert exact_dedup.dedup_batch(empty, odd).count() == odd.count() == exact_dedup.dedup_batch(odd, empty).count()
 
 
+def test_exact_dedup_of_keys_with_several_texts_and_without_any(spark):
+    old = [(1, "x"), (1, "zz"), (None, "n"), (None, "m"), (None, "m")] + [(100 + i, "hot") for i in range(3000)]
+    new = [(5, "X"), (5, "ZZ"), (None, "N"), (6, "m"), (7, "own")] + [(5000 + i, "HOT") for i in range(2000)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_batch(table(old), table(new)).collect())
+    groups = defaultdict(list)
+    for i, t in old + new:
+        groups[t.lower()].append(i)
+    want = Counter((i, best, len(ids), i is not None and i == best) for ids in groups.values() for best in [max((j for j in ids if j is not None), default=None)] for i in ids)
+    assert got == want
+
+
 def test_fuse_filter_misses_no_key():
     import numpy as np
 
