@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from plumbline.workspace import store
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose text is not shown, skipped up to their end tag.
 RAW = frozenset("script style noscript template iframe svg textarea title object canvas math".split())
@@ -38,36 +38,35 @@ SCOPE = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset
 UPWARD, NAMED = 0.75, {"article": 2.0, "main": 1.6}
 
 
+#: Elements that a start tag may close, and those that stop the search for them.
+STOPS = frozenset(CLOSED_BY) | CONTAINERS | frozenset(t for tags in SCOPE.values() for t in tags)
+
+
+def label_hash(above: int, label: str) -> int:
+    """The signed 64-bit name of a path: of the path above it and the last label."""
+    from xxhash import xxh3_64_intdigest
+
+    x = xxh3_64_intdigest(label.encode("utf-8", "replace"), above % 2**64)
+    return x - 2**64 if x >= 2**63 else x
+
+
 class Node:
-    __slots__ = ("tag", "label", "parent", "skipped", "inside", "link")
+    """An open element. What it needs of those around it is handed down, so that depth costs nothing."""
+
+    __slots__ = ("tag", "parent", "skipped", "inside", "link", "path", "container", "article", "stop", "place")
 
     def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool):
-        self.tag, self.label, self.parent = tag, label, parent
+        self.tag, self.parent = tag, parent
         self.skipped = skipped or bool(parent and parent.skipped)
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.link = tag == "a" or bool(parent and parent.link)
-
-    def container(self) -> Node | None:
-        node = self
-        while node and node.tag not in CONTAINERS:
-            node = node.parent
-        return node
-
-    def article(self) -> Node | None:
-        """The outermost article around, else the outermost main element."""
-        found, node = None, self
-        while node:
-            if node.tag == "article" or node.tag == "main" and (found is None or found.tag == "main"):
-                found = node
-            node = node.parent
-        return found
-
-    def path(self) -> str:
-        labels, node = [], self
-        while node:
-            labels.append(node.label)
-            node = node.parent
-        return ">".join(reversed(labels))
+        self.path = label_hash(parent.path if parent else 0, label)
+        self.container: Node | None = self if tag in CONTAINERS else parent and parent.container
+        # the outermost article around, else the outermost main element
+        around = parent and parent.article
+        self.article: Node | None = around if around and around.tag == "article" else self if tag == "article" else around or (self if tag == "main" else None)
+        self.stop: Node | None = self if tag in STOPS else parent and parent.stop
+        self.place = -1
 
 
 def _opened(tag: str, attributes: str, parent: Node | None) -> Node:
@@ -95,7 +94,9 @@ def _opened(tag: str, attributes: str, parent: Node | None) -> Node:
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """The shown blocks of a page in order: (innermost element, text with single spaces, characters inside links)."""
+    """The shown blocks of a page in order: (innermost element, text with single spaces, characters inside links). In time
+    linear in the page, however deep its elements."""
+    opened_tags: dict[str, int] = {}
     found: list[tuple[Node, str, int]] = []
     node: Node | None = Node("html", "html", None, False)
     node = body = Node("body", "body", node, False)
@@ -133,116 +134,146 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if tag == "br":
             shown(" ")
         elif m[1]:  # an end tag: up to the element that it closes, if one is open
-            up = node
-            while up is not body and up.tag != tag:
-                up = up.parent
             if tag in BLOCKS:
                 flush()
-            if up is not body:
-                node = up.parent
+            if opened_tags.get(tag):
+                closed = True
+                while closed:
+                    opened_tags[node.tag] -= 1
+                    closed, node = node.tag != tag, node.parent
         else:
             if tag in BLOCKS:
                 flush()
             if tag in ("html", "body"):
                 continue
-            up = node
-            while up is not body:
+            up = node.stop
+            while up is not None and up is not body:
                 if tag in CLOSED_BY.get(up.tag, ()):
-                    node = up.parent
+                    while node is not up.parent:
+                        opened_tags[node.tag] -= 1
+                        node = node.parent
                     break
                 if tag in SCOPE and up.tag in SCOPE[tag] or up.tag in CONTAINERS:
                     break
-                up = up.parent
+                up = up.parent.stop
             opened = _opened(tag, m[3] or "", node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
                 node = opened
+                opened_tags[tag] = opened_tags.get(tag, 0) + 1
     flush()
     return found
 
 
-def scores(found: list[tuple[Node, str, int]]) -> dict[str, int]:
-    """The score of each container path of the page: text outside links, in full where it stands, less further up.
+def parsed(page: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, str]]]:
+    """The containers of a page as (path, place of the one around or -1, score), outer ones first, and its shown blocks as
+    (place of their container, text).
 
-    What stands inside an article or main element counts for that element, title and parts together.
+    A container's score is the text outside links below it: in full where it stands, less further up. What stands inside
+    an article or main element counts for that element, title and parts together.
     """
-    total: dict[Node, float] = {}
+    found = blocks(page)
+    order: list[Node] = []
+
+    def placed(node: Node) -> int:
+        above = []
+        while node is not None and node.place < 0:
+            above.append(node)
+            node = node.parent and node.parent.container
+        for n in reversed(above):
+            n.place = len(order)
+            order.append(n)
+        return above[0].place if above else node.place
+
+    total: dict[int, float] = {}
+    shown = []
     for owner, text, linked in found:
-        node, weight = owner.article() or owner.container(), float(max(0, len(text) - 2 * linked))
-        while node:
-            total[node] = total.get(node, 0.0) + weight * NAMED.get(node.tag, 1.0)
-            node, weight = node.parent and node.parent.container(), weight * UPWARD
-    by_path: dict[str, int] = {}
-    for node, score in total.items():
-        path = node.path()
-        by_path[path] = by_path.get(path, 0) + int(score)
-    return by_path
+        shown.append((placed(owner.container), text))
+        at = placed(owner.article or owner.container)
+        total[at] = total.get(at, 0.0) + max(0, len(text) - 2 * linked)
+    around = [n.parent.container.place if n.parent and n.parent.container else -1 for n in order]
+    score = [total.get(i, 0.0) for i in range(len(order))]
+    for i in range(len(order) - 1, 0, -1):
+        score[around[i]] += UPWARD * score[i]
+    return [(n.path, up, int(s * NAMED.get(n.tag, 1.0))) for n, up, s in zip(order, around, score)], shown
 
 
-def _best(by_path: dict[str, int]) -> str | None:
-    return max(by_path, key=lambda p: (by_path[p], p), default=None)
+def best_path(containers: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+    """(path, score) of the path with the highest score in all; null without containers."""
+    by_path: dict[int, int] = {}
+    for path, _, score in containers:
+        by_path[path] = by_path.get(path, 0) + score
+    return max(by_path.items(), key=lambda x: (x[1], x[0]), default=None)
 
 
-def main_text(page: str, winner: str | None, least: float = 0.3) -> str:
+def main_text(containers: list[tuple[int, int, int]], shown: list[tuple[int, str]], winner: int | None, least: float = 0.3) -> str:
     """The blocks under the winning path; under the page's own best where the page lacks it or has little text there."""
-    found = blocks(page)
-    by_path = scores(found)
-    own = _best(by_path)
-    path = winner if winner in by_path and by_path[winner] >= least * by_path[own] else own
-    within: dict[Node, bool] = {}
-
-    def inside(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if node not in within:
-            within[node] = node.tag in CONTAINERS and node.path() == path or inside(node.parent)
-        return within[node]
-
-    return "\n".join(text for owner, text, _ in found if inside(owner))
+    own = best_path(containers)
+    if own is None:
+        return ""
+    there = [score for path, _, score in containers if path == winner]
+    wanted = winner if there and sum(there) >= least * own[1] else own[0]
+    inside: list[bool] = []
+    for path, up, _ in containers:  # outer ones come first
+        inside.append(path == wanted or up >= 0 and inside[up])
+    return "\n".join(text for at, text in shown if inside[at])
 
 
 def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))), r"^www\.", "")
 
 
-def winning_paths(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path): the container path that most pages of the host score best; scores, then names, break ties."""
+PARSED = "containers array<struct<path:long,up:int,score:int>>, blocks array<struct<at:int,text:string>>, best long, best_score long"
+
 
-    def votes(batches: Iterator) -> Iterator:
+def parse_pages(pages: DataFrame, url: str, page: str, key: str) -> DataFrame:
+    """Every page parsed once: key, url, host, its containers and shown blocks, and the path it votes for."""
+
+    def parse(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        containers = pa.list_(pa.struct([("path", pa.int64()), ("up", pa.int32()), ("score", pa.int32())]))
+        shown = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
         for batch in batches:
-            rows = []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_path = scores(blocks(text or ""))
-                if best := _best(by_path):
-                    rows.append((host, best, by_path[best]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "score"])
+            for part in range(0, batch.num_rows, 256):  # blocks of few pages at a time
+                rows = batch.slice(part, 256)
+                read = [parsed(t or "") for t in rows.column(3).to_pylist()]
+                best = [best_path(c) or (None, None) for c, _ in read]
+                arrays = [pa.array([[dict(zip(("path", "up", "score"), x)) for x in c] for c, _ in read], containers), pa.array([[dict(zip(("at", "text"), x)) for x in b] for _, b in read], shown)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), *arrays, *[pa.array([b[i] for b in best], pa.int64()) for i in range(2)]], names=[key, url, "host", "containers", "blocks", "best", "best_score"])
+
+    schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField(url, pages.schema[url].dataType), T.StructField("host", T.StringType()), *T._parse_datatype_string(PARSED).fields])
+    return pages.select(key, url, host_of(F.col(url)).alias("host"), page).mapInArrow(parse, schema)
 
-    cast = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).mapInArrow(votes, "host string, path string, score long")
-    counted = cast.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("path"))
+
+def winning_paths(parsed_pages: DataFrame) -> DataFrame:
+    """(host, path): the container path that most pages of the host score best; scores, then names, break ties."""
+    counted = parsed_pages.where("best is not null").groupBy("host", "best").agg(F.count(F.lit(1)).alias("votes"), F.sum("best_score").alias("score"))
+    return counted.groupBy("host").agg(F.max_by("best", F.struct("votes", "score", "best")).alias("winner"))
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", key: str = "page_id") -> DataFrame:
     """Per page: key, url, text (blocks of the article joined by line feeds; empty if none), n_chars (code points).
 
-    The votes of each host fold before the shuffle; the winners are stored, so that Spark broadcasts them while they
-    are few and shuffles beyond. A null or empty html gives an empty text; pages without a readable host share one
-    empty host; markup that the end of a page cuts off is left out; repeated rows get a row each; no rows give no
-    rows; other columns are not read.
+    Pages are parsed once and stored as containers and blocks; the votes of each host fold before the shuffle, and the
+    winners are stored, so that Spark broadcasts them while they are few and shuffles beyond. A null or empty html gives an
+    empty text; pages without a readable host share one empty host; markup that the end of a page cuts off is left out;
+    elements may nest as deep as they like; repeated rows get a row each; no rows give no rows; other columns are not read.
     """
-    winners = store(winning_paths(pages, url, page), "winning-paths").withColumnRenamed("host", "_host")
+    stored = store(parse_pages(pages, url, page, key), "pages")
+    winners = store(winning_paths(stored), "winning-paths").withColumnRenamed("host", "_host")
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [main_text(t or "", w) for t, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for containers, shown, winner in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                texts.append(main_text([(c["path"], c["up"], c["score"]) for c in containers], [(b["at"], b["text"]) for b in shown], winner))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, url, "text", "n_chars"])
 
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField(url, pages.schema[url].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    joined = pages.select(key, url, page).join(winners, host_of(F.col(url)) == F.col("_host"), "left").select(key, url, page, "path")
+    joined = stored.join(winners, F.col("host") == F.col("_host"), "left").select(key, url, "containers", "blocks", "winner")
     return joined.mapInArrow(read, schema)

@@ -193,6 +193,19 @@ def test_html_extract(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+def test_html_extract_of_deep_pages(spark):
+    """100,000 nested elements, stray end tags and unclosed inline elements, in linear time and without recursion."""
+    import time
+
+    deep = "<article><h1>title</h1><p>the article</p></article>" + "<div>" * 100_000 + "low down"
+    stray = "<article>" + "<div>" * 30_000 + "<p>text " + "</span>" * 30_000 + "</article>"
+    inline = "<article>" + "<span>" * 30_000 + "<p>a" * 10_000 + "</article>"
+    began = time.perf_counter()
+    rows = [(1, "http://a.example", deep), (2, "http://b.example", stray), (3, "http://c.example", inline)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "title\nthe article", 2: "text", 3: "\n".join("a" * 10_000)} and time.perf_counter() - began < 60
+
+
 def test_html_extract_of_the_table(spark):
     import html
 
