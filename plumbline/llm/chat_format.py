@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm._common import running
+
 # The template: <s>[ROLE]role[/ROLE]content</s> for each turn.
 OPEN, NAMED, CLOSE, BETWEEN = "<s>[ROLE]", "[/ROLE]", "</s>", "[PART]"
 #: Control strings as they may stand in a text. A backslash goes in after the first character, and one comes out
@@ -45,31 +47,55 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     """One row per conversation: its formatted string, the loss mask and the attachments.
 
     `parts` is an array of (kind, text, ref, units); kinds are text, image, audio and document, others count as text.
-    Parts of a turn are kept apart by a part mark. loss_mask lists (start, length) in code points of the contents of
-    `learn` turns. attachments lists (turn_place, part_place, kind, ref, n_tokens) in order; n_expanded is their sum.
-    Turns go by turn, then role, then content, so ties and repeated rows have one order; a null turn goes first; a null
-    role is the empty role; null parts are no content; null conversations form one conversation; no rows give no rows.
-    Other columns are not read. One conversation is one row by its nature: its turns meet in one task.
+    Parts of a turn are kept apart by a part mark. loss_mask lists (start, length) in code points of the text parts of
+    `learn` turns; placeholders are not learned. attachments lists (turn_place, part_place, kind, ref, n_tokens) in order;
+    n_expanded is their sum. Turns go by turn, then role, then content, so ties and repeated rows have one order; a null
+    turn goes first; a null role is the empty role; null or no parts are one empty text; null conversations form one
+    conversation; no rows give no rows. Other columns are not read. One conversation is one row by its nature: its turns
+    meet in one task.
     """
-    content = F.array_join(F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), visit), BETWEEN)
-    files = F.filter(F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), lambda p, i: F.struct(i.alias("part_place"), F.lower(p["kind"]).alias("kind"), p["ref"].alias("ref"), expanded(p).alias("n_tokens"))), lambda a: a["kind"].isin(*UNIT_TOKENS))
+    given = F.coalesce(F.when(F.size(parts) > 0, F.col(parts)), text_parts(F.lit(""))).cast(f"array<{PART}>")
+    is_file = lambda p: F.coalesce(F.lower(p["kind"]).isin(*UNIT_TOKENS), F.lit(False))
+    visited = F.transform(given, lambda p, i: F.struct(visit(p, i).alias("s"), is_file(p).alias("file")))
+    files = F.filter(F.transform(given, lambda p, i: F.struct(i.alias("part_place"), F.lower(p["kind"]).alias("kind"), p["ref"].alias("ref"), expanded(p).alias("n_tokens"))), lambda a: a["kind"].isin(*UNIT_TOKENS))
     head = F.concat(F.lit(OPEN), escape(F.coalesce(F.col(role), F.lit(""))), F.lit(NAMED))
-    rows = turns.select(conversation, F.col(turn).alias("_turn"), F.col(role).alias("_role"), head.alias("_head"), content.alias("_content"), files.alias("_files"))
+    rows = turns.select(conversation, F.col(turn).alias("_turn"), F.col(role).alias("_role"), head.alias("_head"), visited.alias("_visited"), files.alias("_files"))
+    ends = running(f"transform(_visited, p -> char_length(p.s) + {len(BETWEEN)})", "{a} + {b}", 0, "r")
+    texts = F.filter(F.zip_with("_visited", F.expr(ends), lambda p, e: F.struct(p["file"].alias("file"), (e - F.char_length(p["s"]) - len(BETWEEN)).alias("start"), F.char_length(p["s"]).alias("length"))), lambda t: ~t["file"])
+    rows = rows.withColumn("_content", F.array_join("_visited.s", BETWEEN)).withColumn("_texts", texts).drop("_visited")
     along = Window.partitionBy(conversation).orderBy("_turn", "_role", "_content", "_files")
     ends = F.sum(F.char_length("_head") + F.char_length("_content") + len(CLOSE)).over(along.rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("_place", F.row_number().over(along) - 1).withColumn("_start", ends - F.char_length("_content") - len(CLOSE))
-    turn_row = F.struct("_place", "_head", "_content", F.struct(F.col("_start").cast("long").alias("start"), F.char_length("_content").cast("long").alias("length")).alias("span"), F.coalesce(F.col("_role") == learn, F.lit(False)).alias("learned"), "_files")
+    learned = F.when(F.col("_role") == learn, F.transform("_texts", lambda t: F.struct((F.col("_start") + t["start"]).cast("long").alias("start"), t["length"].cast("long").alias("length"))))
+    turn_row = F.struct("_place", "_head", "_content", F.coalesce(learned, F.array().cast("array<struct<start:bigint,length:bigint>>")).alias("learned"), "_files")
     ordered = placed.groupBy(conversation).agg(F.sort_array(F.collect_list(turn_row)).alias("ts"))
     text = F.array_join(F.transform("ts", lambda t: F.concat(t["_head"], t["_content"], F.lit(CLOSE))), "")
-    mask = F.transform(F.filter("ts", lambda t: t["learned"]), lambda t: t["span"])
     attached = F.flatten(F.transform("ts", lambda t: F.transform(t["_files"], lambda f: F.struct(t["_place"].alias("turn_place"), f["part_place"], f["kind"], f["ref"], f["n_tokens"]))))
-    out = ordered.select(conversation, text.alias("formatted"), mask.alias("loss_mask"), attached.alias("attachments"))
+    out = ordered.select(conversation, text.alias("formatted"), F.flatten("ts.learned").alias("loss_mask"), attached.alias("attachments"))
     return out.withColumn("n_expanded", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]))
 
 
 def read_chats(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Read formatted strings back: turns as (role, text), and the learned texts under the loss mask, all unescaped."""
+    """Read formatted strings back: turns as (role, text, parts), and the learned texts under the loss mask, unescaped.
+
+    Parts are (kind, text, ref): marks and placeholders inside texts are escaped, so those that are not are real. `text` is
+    the turn's text parts, one after the other.
+    """
     pieces = F.expr(f"filter(split(formatted, '{CLOSE}'), p -> p <> '')")
-    turns = F.transform(pieces, lambda p: F.struct(unescape(F.regexp_replace(F.split(p, r"\[/ROLE\]", 2)[0], r"^<s>\[ROLE\]", "")).alias("role"), unescape(F.split(p, r"\[/ROLE\]", 2)[1]).alias("text")))
+    placeholder = rf"^\[({'|'.join(k.upper() for k in UNIT_TOKENS)}):[0-9]+\]$"
+
+    def part(place: Column):
+        def one(p: Column, i: Column) -> Column:
+            kind = F.lower(F.regexp_extract(p, placeholder, 1))
+            ref = F.get(F.filter("attachments", lambda a: (a["turn_place"] == place) & (a["part_place"] == i)), F.lit(0))["ref"]
+            return F.when(kind != "", F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"), ref.alias("ref"))).otherwise(F.struct(F.lit("text").alias("kind"), unescape(p).alias("text"), F.lit(None).cast("string").alias("ref")))
+
+        return one
+
+    def turn(p: Column, place: Column) -> Column:
+        halves = F.split(p, r"\[/ROLE\]", 2)
+        return F.struct(unescape(F.regexp_replace(halves[0], r"^<s>\[ROLE\]", "")).alias("role"), F.transform(F.split(halves[1], r"\[PART\]", -1), part(place)).alias("parts"))
+
+    turns = F.transform(F.transform(pieces, turn), lambda t: F.struct(t["role"].alias("role"), F.array_join(t["parts"]["text"], "").alias("text"), t["parts"].alias("parts")))
     learned = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return formatted.select(conversation, turns.alias("turns"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))

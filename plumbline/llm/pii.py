@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._common import bound, running
 from plumbline.workspace import store
 
 # Base patterns. Each starts only where the run of characters that it begins with starts, or where the last match
@@ -51,31 +52,6 @@ N_FEATURES, CUE, BARE = 10, 6, 9
 FORM = (0, 1, 3, 4, 7, 8, BARE)
 #: Boosting: trees, their step, and the precision that a threshold must reach on labelled candidates held out from the trees.
 TREES, STEP, PRECISION, LEAST = 24, 0.4, 0.98, 20
-#: Elements that a running value is computed over at once; longer arrays go block by block.
-BLOCK = 256
-
-
-def bound(body: str, name: str, **values: str) -> str:
-    """SQL for `body`, in which the struct `name` holds these values, each computed once: a lambda that names an expression
-    again would compute it again for every element."""
-    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
-    return f"get(transform(array(named_struct({fields})), {name} -> {body}), 0)"
-
-
-def running(values: str, op: str, zero: int, name: str) -> str:
-    """SQL for the running `op` ('{a} + {b}', associative, `zero` neutral) over an array of ints, inclusive; block by block,
-    so that a long array does not cost its square. `name` begins the names that its lambdas use."""
-    n = name
-    last = lambda a: f"coalesce(get({a}, size({a}) - 1), {zero})"
-    scan = lambda a: f"aggregate({a}, cast(array() AS array<int>), ({n}s, {n}x) -> concat({n}s, array({op.format(a=last(f'{n}s'), b=f'{n}x')})))"
-    starts = f"sequence(0, cast(floor((greatest(size({n}v.v), 1) - 1) / {BLOCK}) AS int))"
-    blocks = f"transform({starts}, {n}i -> {scan(f'slice({n}v.v, {n}i * {BLOCK} + 1, {BLOCK})')})"
-    before = f"concat(array({zero}), slice({n}e.ends, 1, size({n}e.ends) - 1))"
-    shifted = f"flatten(zip_with({n}e.blocks, {before}, ({n}k, {n}o) -> transform({n}k, {n}y -> {op.format(a=f'{n}o', b=f'{n}y')})))"
-    ends = scan(f"transform({n}b.blocks, {n}t -> {last(f'{n}t')})")
-    return bound(bound(bound(shifted, f"{n}e", blocks=f"{n}b.blocks", ends=ends), f"{n}b", blocks=blocks), f"{n}v", v=values)
-
-
 def spans(text: str, pattern: str, likely: str) -> Column:
     """Leftmost, non-overlapping matches in the column `text`, if `likely` is found, as an array of (start, end, s, before,
     after): code points, end exclusive, and the texts up to the match before and after. Linear in the text and, but for

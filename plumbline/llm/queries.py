@@ -26,26 +26,38 @@ SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, s
 """
 
 
+#: Code points of a turn from which it also carries its source as a document part, and code points of one of its units.
+LONG_TURN, UNIT = 400, 1000
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations; a long turn has a document part (its source, a unit for each UNIT code points begun) besides its text."""
     planted = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM (SELECT explode(array(named_struct('turn', 0L, 'role', 'user'), named_struct('turn', 1L, 'role', 'assistant'))) AS t)")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    formatted = chat_format.format_chats(turns.withColumn("parts", chat_format.text_parts(F.col("text"))))
-    back = chat_format.read_chats(formatted)
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    source = F.struct(F.lit("document").alias("kind"), F.lit(None).cast("string").alias("text"), F.concat_ws("/", F.lit("conversations"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("ref"), F.ceil(size / UNIT).alias("units"))
+    parts = F.when(size >= LONG_TURN, F.concat(chat_format.text_parts(F.col("text")), F.array(source).cast(f"array<{chat_format.PART}>"))).otherwise(chat_format.text_parts(F.col("text")))
+    formatted = chat_format.format_chats(turns.withColumn("parts", parts))
+    back = chat_format.read_chats(formatted.withColumn("conv_id", F.struct("conv_id", "n_expanded")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    refs = F.flatten(F.transform("turns", lambda t: F.filter(t["parts"]["ref"], lambda r: r.isNotNull())))
+    return back.select("conv_id.conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"), "formatted_chars", F.size(refs).cast("long").alias("n_attachments"), F.sha2(F.array_join(refs, ",").cast("binary"), 256).alias("refs_sha256"), F.col("conv_id.n_expanded").alias("n_expanded"))
 
 
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|(?:ROLE|INST|PART|SYS)\]|(?:IMAGE|AUDIO|DOCUMENT):))', '\1\\\2\3', 'g')"
 OP2_SQL = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, length(coalesce(text, '')) >= {LONG_TURN} AS is_long FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', false UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', false)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<s>[ROLE]') + length({_ESCAPED.format('role')}) + length('[/ROLE]') + length({_ESCAPED.format('text')}) + length('</s>')) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<s>[ROLE]') + length({_ESCAPED.format('role')}) + length('[/ROLE]') + length({_ESCAPED.format('text')}) + CASE WHEN is_long THEN length('[PART][DOCUMENT:1]') ELSE 0 END + length('</s>')) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (is_long) AS n_attachments,
+  sha256(coalesce(string_agg('conversations/' || conv_id || '/' || turn, ',' ORDER BY turn, role, text) FILTER (is_long), '')) AS refs_sha256,
+  CAST(coalesce(sum(512 * ceil(length(text) / {UNIT}.0)) FILTER (is_long), 0) AS BIGINT) AS n_expanded
 FROM t GROUP BY conv_id
 """
 

@@ -110,6 +110,21 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(turns.withColumn("parts", chat_format.text_parts(F.col("text"))).where("false")).count() == 0
 
 
+def test_chat_parts_round_trip(spark):
+    """Parts of every kind come back as they went in, whatever marks and placeholders their texts hold."""
+    rnd = random.Random(6)
+    bits = ["[PART]", "[IMAGE:2]", "[\\PART]", "<", "s>", "</s>", "[/ROLE]", "x", "", "[", "\\", "IMAGE:1]", "é"]
+    part = lambda: ("text", "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 4))), None, None) if rnd.random() < 0.6 else (rnd.choice(["image", "audio", "document"]), None, f"ref{rnd.randint(0, 99)}", rnd.randint(0, 3))
+    rows = [(c, t, rnd.choice(["user", "assistant"]), [part() for _ in range(rnd.randint(0, 5))]) for c in range(40) for t in range(rnd.randint(1, 4))] + [(40, 0, "user", [("text", "a[PART]b", None, None), ("text", "c", None, None), ("image", None, "i", 1)]), (41, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,units:long>>")
+    back = {r["conv_id"]: r for r in chat_format.read_chats(chat_format.format_chats(df)).collect()}
+    for c in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == c]
+        want = [[(kind, text, ref) for kind, text, ref, _ in parts or [("text", "", None, None)]] for *_, parts in mine]
+        assert [[tuple(p) for p in t["parts"]] for t in back[c]["turns"]] == want
+        assert "".join(back[c]["learned"]) == "".join(text or "" for (_, _, role, _), parts in zip(mine, want) if role == "assistant" for _, text, _ in parts)
+
+
 @pytest.mark.parametrize("which", ["odd", "sf"])
 def test_sharding(spark, odd, which):
     docs = odd if which == "odd" else read(spark, SF, "documents")
