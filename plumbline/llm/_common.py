@@ -21,14 +21,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def numbered(df: DataFrame, group: list[str], spread: Column, tag: str, buckets: int = 256) -> DataFrame:
+#: Rows that numbered() ranks in one window.
+BUCKET_ROWS = 10_000
+
+
+def numbered(df: DataFrame, group: list[str], spread: Column, tag: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add `slot`, gapless from 0 within each group, without a task that holds a whole group.
 
-    Rows of a group are dealt over `buckets` by a hash of `spread`; a window numbers each bucket, and the running
-    sum of the bucket counts (at most groups * buckets rows) gives each its first number. `df` must be stored, as it
-    is read twice. The order within a group is arbitrary but fixed for given rows.
+    Rows of a group are dealt by a hash of `spread` over as many buckets as its size asks for; a window numbers each
+    bucket, and the running sum of the bucket counts gives each its first number. There must be few groups (lengths,
+    shards, strata), as their sizes are broadcast. `df` must be stored, as it is read more than once. The order
+    within a group is arbitrary but fixed for given rows.
     """
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int"))
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("_buckets"))
+    sizes = store(sizes, f"{tag}-sizes").withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(group)})
+    keyed = df.join(F.broadcast(sizes), [df[g].eqNullSafe(sizes[f"_g{i}"]) for i, g in enumerate(group)])
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.col("_buckets")).cast("int")).select(*df.columns, "_bucket")
     keys = [*group, "_bucket"]
     counts = store(keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), f"{tag}-counts")
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -66,8 +66,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), shards=40)
 
 
+#: Targets of the registered mix, as multiples of a domain's expected tokens: good text a quarter more, poor text half, toxic text nearly none.
+TARGETS = {"good": 1.25, "poor": 0.5, "toxic": 0.05}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), TARGETS)
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

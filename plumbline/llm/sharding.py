@@ -87,5 +87,5 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc
     first = [atoms[at]["_atom"] if at < len(atoms) else ATOMS for at in cuts([a["size"] for a in atoms], shards)]
     number: Column = F.size(F.filter(F.array(*[F.lit(a) for a in first]), lambda a: a <= F.col("_atom"))) if first else F.lit(0)
     dealt = store(sized.withColumn("shard", number.cast("int")).drop("_atom"), "shard-dealt")
-    slots = numbered(dealt, ["shard"], F.struct(key, "text_crc32"), "shard", buckets=1024)
+    slots = numbered(dealt, ["shard"], F.struct(key, "text_crc32"), "shard")
     return slots.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -177,16 +177,24 @@ def test_mixing(spark, odd, empty):
     right = sum((r["p_toxic"] > 0.5) == (r["toxic"] == 1) for r in got) / len(got)
     assert right > 0.93
     clean = [r for r in got if not r["toxic"] and r["quality"]]
-    assert sum(r["copies"] >= 1 for r in clean) / len(clean) > 0.97
-    every = mixing.mix(docs, labels, {"good": 1.3, "poor": 0.6, "toxic": 0.5}).collect()
-    for name, times in (("good", 1.3), ("poor", 0.6), ("toxic", 0.5)):
-        natural = sum(r["n_tokens"] * r[f"p_{name}"] for r in every)
-        met = sum(r["rate"] * r["n_tokens"] * r[f"p_{name}"] for r in every)
-        assert abs(met - times * natural) < 0.02 * natural and all(r["rate"] >= 0 for r in every)
+    assert sum(r["rate"] > 0.9 for r in clean) / len(clean) > 0.97
+    assert mixing.mix(docs, labels.where("false")).where("p_good <> p_toxic").count() == 0
     assert mixing.mix(odd, labels).count() == odd.count() and mixing.mix(empty, labels).count() == 0
     assert mixing.mix(odd, labels.where("false")).count() == odd.count()
 
 
+@pytest.mark.parametrize("wanted", [{"good": 0.45, "poor": 0.45, "toxic": 0.45}, {"good": 1.4, "poor": 0.4, "toxic": 0.3}, {"good": 2.25, "poor": 1.0, "toxic": 0.6}])
+def test_mixing_copies_meet_their_targets(spark, wanted):
+    """Rates meet the targets, and so do the whole copies: within two in a hundred of the table's tokens for each domain."""
+    every = mixing.mix(read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels"), wanted).collect()
+    tokens = sum(r["n_tokens"] for r in every)
+    for name, times in wanted.items():
+        natural = sum(r["n_tokens"] * r[f"p_{name}"] for r in every)
+        met, copied = (sum(r[c] * r["n_tokens"] * r[f"p_{name}"] for r in every) for c in ("rate", "copies"))
+        assert abs(met - times * natural) < 0.005 * natural and abs(copied - times * natural) < 0.02 * natural + 0.001 * tokens, (name, met / natural, copied / natural)
+    assert all(r["rate"] >= 0 and r["rate"] - 1 < r["copies"] <= r["rate"] + 1 for r in every)
+
+
 PAGES = [
     ("<html><body><nav>menu</nav><div class='c'><article><h1>T &amp; t</h1><p><b>one<br><p>two&nbsp; three <!-- x --></p><script>no()</script></article></div><div class=\"comments\"><p>reader says something quite long here</p></div><footer>f</footer>", "T & t\none\ntwo three"),
     ("<body><div class='c'><article><p>only <i>this</i> one</p><ul><li>a<li>b</ul></article></div><aside>side</aside><div id=cookie-notice>we use</div></body>", "only this one\na\nb"),
