@@ -22,7 +22,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 #: Rows that numbered() ranks in one window.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 
 
 def numbered(df: DataFrame, group: list[str], spread: Column, tag: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

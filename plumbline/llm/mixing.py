@@ -77,7 +77,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LAB
     # an even share of the labels by hash, so that no task gathers them
     share = most_labelled / max(known.count(), 1)
     chosen = known if share >= 1 else known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    labelled = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(chosen, F.col("_key") == F.col("_id")).select("text", _domain().alias("domain"))
+    # `chosen` has most_labelled rows of three numbers, about: a bound that lets the texts stay where they are
+    labelled = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("text", _domain().alias("domain"))
     labelled = store(labelled, "mix-labelled")
     weights = word_weights(labelled)
     patterns = features(labelled, weights).groupBy("domain", "f").agg(F.count(F.lit(1)).alias("n")).collect()  # at most the combinations of bins
@@ -136,7 +137,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """Fit a rate for every document so that the expected tokens of each domain meet its target.
 
     `weights` gives the target of each domain as a multiple of its expected tokens (default: good and poor as they
-    are, toxic none). A row per document: key, n_tokens (words), p_good, p_poor, p_toxic, rate, copies. `copies` is a whole
+    are, toxic none). A target below what documents that are likelier of other domains carry of this one, at their weights,
+    could only be met by thinning those, and is raised to that. A row per document: key, n_tokens (words), p_good, p_poor, p_toxic, rate, copies. `copies` is a whole
     number, the floor of rate + u: documents of like posteriors and size are numbered, and u runs over [0, 1) evenly along
     them, so that the copies' tokens meet the targets too. A null or empty text is one token; without labelled rows each
     domain is as likely; a null key is scored but never labelled; repeated rows get a row each; no rows give no rows; of
@@ -146,8 +148,12 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     scored = store(posteriors(docs, labels, most_labelled, text, key), "mix-posteriors")
     # one row per posterior that occurs: at most one for each combination of feature bins, so one file holds them all
     mass = store(store(scored.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "mix-mass-parts").coalesce(1), "mix-mass")
-    natural = mass.agg(*[F.sum(F.col("tokens") * F.col("p")[d]).alias(f"x{d}") for d in range(len(DOMAINS))]).first()
-    targets = [wanted[name] * (natural[f"x{d}"] or 0.0) for d, name in enumerate(DOMAINS)]
+    likeliest = F.array_position("p", F.array_max("p")) - 1
+    carried = mass.agg(*[F.sum(F.when(likeliest == own, F.col("tokens") * F.col("p")[d])).alias(f"x{own}{d}") for own in range(len(DOMAINS)) for d in range(len(DOMAINS))]).first()
+    share = lambda own, d: carried[f"x{own}{d}"] or 0.0
+    natural = [sum(share(own, d) for own in range(len(DOMAINS))) for d in range(len(DOMAINS))]
+    others = [sum(wanted[name] * share(own, d) for own, name in enumerate(DOMAINS) if own != d) for d in range(len(DOMAINS))]
+    targets = [max(wanted[name] * natural[d], others[d]) for d, name in enumerate(DOMAINS)]
     rate = rate_of(fit_rates(mass, targets))
     out = scored.select(key, "n_tokens", *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(DOMAINS)], F.round(rate, 6).alias("rate"))
     # strata: posteriors to a quarter, sizes to a fifth of an octave; their number does not follow the documents

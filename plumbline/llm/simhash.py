@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.graph import components
+from plumbline.operators.joins import join_unique
 from plumbline.workspace import store
 
 #: Buckets of up to so many distinct fingerprints are compared inside one row; larger ones in blocks of BLOCK.
 SMALL, BLOCK = 48, 4096
+#: Pairs of a document that are compared in one task.
+PAIRS = 1000
 #: Multiplier that scatters the bit positions over the codewords (2**64 divided by the golden ratio).
 SCATTER = 0x9E3779B97F4A7C15
 
@@ -38,21 +41,26 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and `fp` (the 64 bits as a signed long) of each whole text. Without `repeats` each shingle counts once."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, text: str = "text", key: str = "doc_id", shingle_words: int = 0) -> DataFrame:
+    """key and `fp` (the 64 bits as a signed long) of each whole text. Without `repeats` each shingle counts once.
+
+    With `shingle_words`, also `shingles`: the distinct 32-bit hashes of the text's shingles of so many words.
+    """
 
     def batch_of(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        def fingerprint(text: str | None) -> int:
-            split = (text or "").encode("utf-8").lower().split()  # bytes: A-Z only, and ASCII white space only
+        def hashed(split: list, n: int):
+            shingles = map(b" ".join, zip(*(split[i:] for i in range(n)))) if len(split) >= n else [b" ".join(split)]
+            return np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+
+        def fingerprint(split: list) -> int:
             if not split:
                 return 0
-            shingles = map(b" ".join, zip(*(split[i:] for i in range(words)))) if len(split) >= words else [b" ".join(split)]
             ones, n, part = np.zeros(64, np.int64), 0, 1 << 16
-            hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+            hashes = hashed(split, words)
             hashes = hashes if repeats else np.unique(hashes)
             for i in range(0, len(hashes), part):  # a very long text unpacks part by part
                 block = hashes[i : i + part].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -61,9 +69,15 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool
             return _signed(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())], names=[key, "fp"])
+            splits = [(t or "").encode("utf-8").lower().split() for t in batch.column(1).to_pylist()]  # bytes: A-Z only, and ASCII white space only
+            out = [batch.column(0), pa.array(map(fingerprint, splits), pa.int64())]
+            if shingle_words:
+                out.append(pa.array([np.unique(hashed(s, shingle_words).astype(np.uint32)).view(np.int32) if s else np.zeros(0, np.int32) for s in splits], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select(key, text).mapInArrow(batch_of, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())]))
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())] + [T.StructField("shingles", T.ArrayType(T.IntegerType()))] * bool(shingle_words)
+    names = [f.name for f in fields]
+    return docs.select(key, text).mapInArrow(batch_of, T.StructType(fields))
 
 
 def _forest(fps, radius: int):
@@ -82,47 +96,78 @@ def _forest(fps, radius: int):
     return links
 
 
-def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints `fp`, with the components of all pairs within `radius` bits.
+def buckets(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """(fp, t, key, mask, n) of the distinct fingerprints `fp` that share a bucket (table t, key) of n, stored.
 
-    Every such pair shares a bucket of some covering mask. A bucket of up to `small` fingerprints is compared within
-    a row, and gives a pair only if no earlier mask joins it: close pairs share most masks, and each link is needed once.
-    A larger bucket gives a spanning forest instead of all its pairs; beyond `block` fingerprints, each pair of its
-    blocks is compared in a task of its own. So neither a task nor the number of links grows with the square of a bucket.
+    Every pair within `radius` bits shares a bucket. A bucket of more than `block` is dealt on: the bits outside its mask
+    are cut into radius + 1 parts, one of which any such pair has in common too, and takes a bucket for each part.
     """
     masks = covering_masks(radius)
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
+    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)]))
     # few bytes, but each row becomes one for every mask: dealt over all tasks first
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keyed = spread.select("fp", tables.alias("k")).select("fp", "k.t", "k.key")
-    counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = store(keyed.join(counts, ["t", "key"]), "simhash-buckets")
-    earlier = f"slice(array({', '.join(f'{_signed(m)}L' for m in masks)}), 1, t)"
+    # counted along the bucket's own rows: one shuffle, and Spark spills a bucket that is large
+    counted = lambda df: df.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("n > 1")
+    first = store(counted(spread.select("fp", tables.alias("k")).select("fp", "k.t", "k.mask")), "simhash-buckets")
+    if first.where(F.col("n") > block).isEmpty():
+        return first
+    parts = {}
+    for i, m in enumerate(masks):
+        free = [b for b in range(64) if not m >> b & 1]
+        parts[i] = [_signed(m | sum(1 << b for b in free[k :: radius + 1])) for k in range(radius + 1)]
+    finer = F.explode(F.array(*[F.array(*[F.struct(F.lit(len(masks) + i * (radius + 1) + k).alias("t"), F.lit(m).alias("mask")) for k, m in enumerate(parts[i])]) for i in parts])[F.col("t")])
+    dealt = counted(first.where(F.col("n") > block).select("fp", finer.alias("k")).select("fp", "k.t", "k.mask"))
+    return store(first.where(F.col("n") <= block).unionByName(dealt), "simhash-finer-buckets")
+
+
+def _units(shared: DataFrame, small: int, block: int, *columns: str) -> DataFrame:
+    """Buckets of more than `small` as units (t, key, i, j) for one task each; beyond `block` a unit for each pair of blocks.
+    Buckets are that large after a second deal only where thousands of fingerprints agree in most of their bits."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    large = shared.where(F.col("n") > small).withColumn("own", F.pmod(F.xxhash64(*columns), blocks).cast("int"))
+    whole = large.where(F.col("n") <= block).select("t", "key", "own", F.col("own").alias("other"), *columns)
+    parted = large.where(F.col("n") > block).select("t", "key", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), *columns)
+    return whole.union(parted).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+
+
+def _earlier(radius: int) -> str:
+    """SQL: an earlier mask than that of table t joins a and b too. Tables of the second deal come after all masks."""
+    return f"exists(slice(array({', '.join(f'{_signed(m)}L' for m in covering_masks(radius))}), 1, t), m -> ((a ^ b) & m) = 0)"
+
+
+def bucket_links(shared: DataFrame, radius: int = 3, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """links() of stored buckets."""
     pairs = (
         shared.where(F.col("n") <= small)
         .groupBy("t", "key")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
         .select("t", F.posexplode("fps").alias("i", "a"), "fps")
-        .select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, {small}), b -> bit_count(a ^ b) <= {radius} AND NOT exists({earlier}, m -> ((a ^ b) & m) = 0))")).alias("b"))
+        .select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, {small}), b -> bit_count(a ^ b) <= {radius} AND (t >= {2 ** (radius + 1) - 1} OR NOT {_earlier(radius)}))")).alias("b"))
     )
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    large = shared.where(F.col("n") > small).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-    whole = large.where(F.col("n") <= block).select("t", "key", "own", F.col("own").alias("other"), "fp")
-    parted = large.where(F.col("n") > block).select("t", "key", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "fp")
-    units = whole.union(parted).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def compare(pdf):
         import numpy as np
         import pandas as pd
 
-        fps = np.sort(pdf["fp"].to_numpy())
+        fps = np.unique(pdf["fp"].to_numpy())
         found = _forest(fps, radius)
         return pd.DataFrame({"a": [fps[i] for i, _ in found], "b": [fps[j] for _, j in found]}, dtype="int64")
 
-    forest = units.groupBy("t", "key", "i", "j").applyInPandas(compare, "a long, b long")
+    forest = _units(shared, small, block, "fp").groupBy("t", "key", "i", "j").applyInPandas(compare, "a long, b long")
     return pairs.union(forest).distinct()
 
 
+def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), a < b, between distinct fingerprints `fp`, with the components of all pairs within `radius` bits.
+
+    A bucket of up to `small` fingerprints is compared within a row, and gives a pair only if no earlier mask joins it:
+    close pairs share most masks, and each link is needed once. A larger bucket gives a spanning forest instead of all its
+    pairs; one beyond `block` is dealt on, and what is still larger is compared block by block. So neither a task nor the
+    number of links grows with the square of a bucket.
+    """
+    return bucket_links(buckets(distinct, radius, block), radius, small, block)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int = 3, repeats: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: key, fingerprint (16 lowercase hex digits), component_id (smallest key reachable over links of at
     most `radius` differing bits, itself included).
@@ -132,10 +177,99 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     unless it is alone in it (component_id null then). No rows give no rows; other columns are not read.
     """
     prints = store(fingerprints(docs, words, seed, repeats, text, key), "simhash")
-    classes = store(prints.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-classes")
+    classes = store(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     found = components(links(classes.select("fp"), radius))
     # a component's name is the least fingerprint in it; its least key follows from the classes
-    named = classes.join(found, classes["fp"] == found["id"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = store(named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
-    return prints.join(of, prints["fp"] == of["_fp"]).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = store(classes.join(found, classes["fp"] == found["id"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "simhash-named")
+    least = store(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-least")
+    of = store(join_unique(named, least.select("component", "component_id"), ["component"], least).select("fp", "component_id"), "simhash-components")
+    return join_unique(prints, of, ["fp"], classes).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float, key: str) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose shingle sets have a Jaccard similarity of `similarity` or more, stored.
+
+    The shingles of a key with many pairs are dealt over salts, one for each PAIRS pairs, so that no task holds a hub.
+    """
+    per_key = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "near-hubs")
+    salted = join_unique(pairs, per_key.select("a", F.ceil(F.col("n") / PAIRS).cast("int").alias("salts")), ["a"], per_key).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    needed = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
+    held = store(shingled.join(needed, F.col(key) == F.col("_k")).select("_k", "shingles"), "near-shingles")
+    of_a = held.join(per_key, F.col("_k") == F.col("a")).select("a", "shingles", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PAIRS).cast("int") - 1)).alias("salt"))
+    both = salted.join(of_a.hint("merge"), ["a", "salt"]).select("a", "b", F.col("shingles").alias("_sa")).join(held.hint("merge"), F.col("b") == F.col("_k"))
+    shared = F.size(F.array_intersect("_sa", "shingles"))
+    either = F.size("_sa") + F.size("shingles") - shared
+    return store(both.where((shared >= F.lit(similarity) * either)).select("a", "b"), "near-similar")
+
+
+def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42, text: str = "text", key: str = "doc_id", small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Per document: key and component (least key reachable over links, itself included). Two documents are linked if
+    their fingerprints differ in at most `radius` bits and the sets of their `shingle_words`-word shingles have a Jaccard
+    similarity of `similarity` or more.
+
+    Keys must be unique and not null. The covering masks give the candidates. First every document is compared with its
+    fingerprint's first one, and fingerprints with those that links() joins them to, through their first documents; what is
+    similar forms groups. Then the pairs that this leaves open are compared: documents of different groups that are within
+    the radius, in classes, in buckets of more than `small`, and in buckets where one is not its fingerprint's first. So
+    no link depends on an unconfirmed one, and groups of like copies cost a comparison a document, not one a pair. Texts
+    without words are alike; repeated rows have keys of their own; no rows give no rows; other columns are not read.
+    """
+    prints = store(fingerprints(docs, words, seed, repeats, text, key, shingle_words), "near-prints")
+    classes = store(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "near-classes")
+    keyed = prints.select(F.col(key).alias("id"), "fp")
+    members = store(join_unique(keyed, classes.select("fp", "rep"), ["fp"], classes), "near-members")
+    shared = buckets(classes.select("fp"), radius, block)
+    rep = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"_{side}"))
+    between = bucket_links(shared, radius, small, block).join(rep("a"), "a").join(rep("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    in_order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    first = store(between.select(*in_order).union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))), "near-pairs")
+    similar = similar_pairs(first, prints, similarity, key)
+    found = components(similar)
+    grouped = lambda ids, groups: ids.join(groups.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id").withColumn("component", F.coalesce("component", "id"))
+    labelled = store(grouped(members, found), "near-labelled")
+    second = store(_open_pairs(shared, labelled, radius, small, block).join(first, ["a", "b"], "left_anti"), "near-open-pairs")
+    if not second.isEmpty():
+        more = similar_pairs(second, prints, similarity, key)
+        if not more.isEmpty():
+            labelled = grouped(members, components(similar.union(more)))
+    return labelled.select(F.col("id").alias(key), "component")
+
+
+def _open_pairs(shared: DataFrame, labelled: DataFrame, radius: int, small: int, block: int) -> DataFrame:
+    """Pairs (a, b) of ids within `radius` bits and of different components that the first comparison left out."""
+    # a class of several components is a bucket of its own
+    mixed = labelled.groupBy("fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    mixed = store(mixed, "near-mixed")
+    own = mixed.where("lo <> hi").select("fp", F.lit(-1).alias("t"), F.col("fp").alias("key"))
+    # of the small buckets, those with a fingerprint of several documents
+    several = shared.where(F.col("n") <= small).join(mixed.select("fp"), "fp", "left_semi").select("t", "key").distinct()
+    wanted = shared.where(F.col("n") > small).select("fp", "t", "key").unionByName(shared.where(F.col("n") <= small).join(several, ["t", "key"], "left_semi").select("fp", "t", "key")).unionByName(own)
+    nodes = store(wanted.join(labelled.select("fp", "id", "rep", "component"), "fp"), "near-nodes")
+    differ = nodes.groupBy("t", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("t", "key", "n")
+    open_nodes = store(nodes.join(store(differ, "near-differ"), ["t", "key"]), "near-open")
+    row = F.struct("id", "fp", "component", "rep")
+    test = f"x.component <> y.component AND bit_count(x.fp ^ y.fp) <= {radius} AND (x.id <> x.rep OR y.id <> y.rep)"
+    pairs = (
+        open_nodes.where(F.col("n") <= small)
+        .groupBy("t", "key")
+        .agg(F.sort_array(F.collect_list(row)).alias("xs"))
+        .select(F.posexplode("xs").alias("i", "x"), "xs")
+        .select(F.col("x.id").alias("a"), F.explode(F.expr(f"transform(filter(slice(xs, i + 2, {small}), y -> {test}), y -> y.id)")).alias("b"))
+    )
+
+    def compare(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates("id").sort_values("id")
+        fps, groups, ids = pdf["fp"].to_numpy().view(np.uint64), pd.factorize(pdf["component"])[0], pdf["id"].to_numpy()
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            near = np.flatnonzero((groups[i + 1 :] != groups[i]) & (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius)) + i + 1
+            a.extend([ids[i]] * len(near)), b.extend(ids[near].tolist())
+        return pd.DataFrame({"a": a, "b": b}, dtype=ids.dtype)
+
+    kind = dict(labelled.dtypes)["id"]
+    large = _units(open_nodes, small, block, "id", "fp", "component").groupBy("t", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    least = pairs.union(large)
+    return least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
