@@ -14,7 +14,7 @@ DOMAINS = ("good", "poor", "toxic")
 MOST_LABELLED = 200_000
 #: Words are hashed into 2**HASH_BITS features; those that tell a domain from the others by LEAST_Z standard errors, and are
 #: found in LEAST_DOCUMENTS labelled documents of it, count, the FEATURES best at most.
-HASH_BITS, LEAST_Z, LEAST_DOCUMENTS, FEATURES = 18, 5.0, 5, 512
+HASH_BITS, LEAST_Z, LEAST_DOCUMENTS, FEATURES = 18, 4.0, 3, 512
 #: Bounds of the bins of a document's measures: signs, letters a word, words, and the evidence for poor and for toxic.
 BINS = ((0.02, 0.04, 0.08, 0.16), (3, 4, 5, 7), (20, 100), (0.0, 2.0, 5.0), (0.0, 1.5, 3.0, 5.0, 8.0))
 
