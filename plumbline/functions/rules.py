@@ -1,80 +1,66 @@
-"""Ordered rules on text: the first that holds names the result."""
+"""Ordered rules on text. The vocabulary of a site or a source is the caller's: functions take it as an argument."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import clean_text, clean_ui_noise
 
-# The offer types in the order in which they are tried.
-TYPE_RULES = (
-    ("gewinnspiel", r"\b(gewinnspiel|giveaway|verlosen|zu gewinnen|chance auf|gl[üu]cksrad)\b"),
-    ("bogo", r"\b(1\+1|2for1|2 for 1|2f[üu]r1|2 f[üu]r 1|buy one get one|bogo|4 f[üu]r 3|3\+3|4\+2|mix&match|2x .+ \+ 1 gratis)\b"),
-    ("freebie", r"\b(freebie|willkommensgeschenk|welcome gift|welcome bonus|goodie bag|gratis[- ]?beigabe|gratis dazu|2 go bons|app-vorteil|bonusclub-vorteil)\b"),
-)
-DISCOUNT = r"\b(rabatt|discount|gutschein|voucher|verg[üu]nstig(?:t|te|ten|ter|tes)?|sale|aktion)\b|(?:^|[^0-9])[0-9]{1,2}\s?%"
-FREE_WORDS = r"\b(gratis|kostenlos|free entry|eintritt frei|ohne kaufzwang)\b"
-FREE = r"\b(gratis|kostenlos|free|ohne kaufzwang|eintritt frei|pay what you want)\b"
-# Other names of categories, and categories that a text may override.
-CATEGORY_ALIASES = {
-    "church": "kirche", "christlich": "kirche", "christlichevents": "events", "gemeinde": "kirche", "restaurant": "essen", "gastro": "essen", "food": "essen", "cafe": "kaffee", "café": "kaffee", "coffee": "kaffee", "supermarket": "supermarkt", "market": "supermarkt", "lebensmittel": "supermarkt",
-    "drogerie": "beauty", "kosmetik": "beauty", "fashion": "shopping", "mode": "shopping", "tech": "technik", "elektronik": "technik", "stream": "streaming", "culture": "kultur", "museum": "kultur", "festival": "kultur", "travel": "reisen", "urlaub": "reisen", "transport": "reisen",
-}
-WEAK_CATEGORIES = ("", "wien", "gratis", "shopping")
-# The words of each category, in the order in which categories are tried.
-CATEGORY_WORDS = (
-    ("kaffee", "kaffee, coffee, cafe, café, espresso, latte, cappuccino, matcha, tee, tea, chai, starbucks, tchibo, nespresso, mccafe"),
-    ("essen", "restaurant, essen, food, pizza, burger, kebab, kebap, döner, doener, doner, falafel, wrap, brunch, buffet, snack, cocktail, drink, drinks, getränk, getraenk, cola, saft, smoothie, tonic, boba, bubble tea, sandwich, schnitzel, ramen, donburi, nudeln, noodles, curry, steak, bbq, grill, fleisch, mittag, menü, menue, mcdonald, burger king, subway, domino, kfc, vapiano, lieferando, mjam, uber eats, croissant, frühstück, fruehstueck, eis, eissalon, gelato, ice cream, dessert, schoko, schokolade, erdbeer, erdbeere, erdbeeren, chocoberry, waffel, pancake, kuchen, torte, bäckerei, backerei, bakery, krapfen"),
-    ("supermarkt", "supermarkt, lebensmittel, einkauf, gutscheinheft, jö, joe, spar, billa, hofer, lidl, penny, libro, unimarkt, adeg"),
-    ("fitness", "fitness, gym, workout, probetraining, studio, fitinn, mcfit, clever fit, john harris, crossfit, yoga"),
-    ("reisen", "flug, flight, hotel, reise, urlaub, wizz, ryanair, oebb, öbb, bahn, rail, ticket, klimaticket, airbnb, booking"),
-    ("kultur", "museum, ausstellung, kino, theater, konzert, festival, vernissage, lesung, kunst, kabarett, oper"),
-    ("streaming", "spotify, netflix, disney+, prime video, youtube premium, deezer, streaming, hörbuch, hoerbuch, podcast"),
-    ("technik", "iphone, ipad, macbook, airpods, apple, samsung, playstation, xbox, smartphone, tablet, laptop, mediamarkt, saturn, a1, magenta, drei"),
-    ("beauty", "parfum, make-up, kosmetik, beauty, pflege, sephora, douglas, dm, bipa, müller, mueller, friseur"),
-    ("shopping", "gutschein, rabattcode, coupon, sale, shop, shopping, amazon, zalando, about you, ikea, möbel, moebel"),
-)
-CHURCH_WORDS = "kirche, gemeinde, pfarre, pfarr, gottesdienst, messe, anbetung, bibel, jesus, christ, christlich, evangelisch, katholisch, freikirche, jugendgottesdienst, lobpreis, andacht, segnung, worship, himmelsstürmer, himmelsstuermer, christlicher event, gebetsabend, glaubensabend, hillsong, icf, jesuszentrum, cig"
-SERVICE_WORDS = "gottesdienst, messe, hl. messe, liturgie, beichte, vesper, sonntag, samstag, werktag, uhr"
-CHURCH_EVENT_WORDS = "event, abend, worship, konzert, festival, treffen, jugendabend, lobpreisabend, gebetsabend, anbetungsabend, himmelsstürmer, himmelsstuermer"
-
-
-def first_match(text: Column, rules: list[tuple[str, str]], default: str = "") -> Column:
-    """The label of the first rule whose pattern is found, without regard to case."""
-    found = F.coalesce(*[F.when(text.rlike(f"(?iU){pattern}"), F.lit(label)) for label, pattern in rules])
-    return F.coalesce(found, F.lit(default))
 
+@dataclass(frozen=True)
+class Rule:
+    """A label for texts that hold any of the words `any_of`, one of `also` too if given, and none of `unless`."""
+
+    label: str
+    any_of: Sequence[str]
+    also: Sequence[str] = ()
+    unless: Sequence[str] = ()
+
+    def holds(self, text: Column) -> Column:
+        found = holds_word(text, self.any_of)
+        if self.also:
+            found = found & holds_word(text, self.also)
+        return found & ~holds_word(text, self.unless) if self.unless else found
 
-def terms_pattern(words: str) -> str:
-    """One pattern for a list of terms: letters and digits match as whole words, other terms anywhere."""
-    terms = [w.strip() for w in words.split(",")]
-    escaped = lambda w: "".join(c if c.isalnum() or c == " " else f"\\{c}" for c in w)
-    whole, inner = [escaped(w) for w in terms if w.isalnum()], [escaped(w) for w in terms if not w.isalnum()]
-    return "|".join([rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(whole)})(?:$|[^\p{{L}}\p{{N}}])", *inner])
 
+def word_pattern(words: Sequence[str]) -> str:
+    """A pattern for any of the words, none of them inside a longer run of letters and digits."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(w) for w in words)})(?![\p{{L}}\p{{N}}])"
 
-def has_terms(text: Column, words: str) -> Column:
-    return F.lower(clean_text(text)).rlike(terms_pattern(words))
+
+def holds_word(text: Column, words: Sequence[str]) -> Column:
+    """Whether the cleaned text, in lower case, holds one of the words."""
+    return F.lower(clean_text(text)).rlike(word_pattern([w.lower() for w in words]))
+
+
+def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str = "") -> Column:
+    """The label of the first rule (label, pattern) whose pattern is found, without regard to case."""
+    found = F.coalesce(*[F.when(text.rlike(f"(?iU){pattern}"), F.lit(label)) for label, pattern in rules])
+    return F.coalesce(found, F.lit(default))
 
 
-def offer_type(text: Column, given: Column) -> Column:
-    """The type that the text names, else the given one."""
-    signal = F.lower(clean_ui_noise(text))
-    rules = [F.when(signal.rlike(f"(?iU){pattern}"), F.lit(kind)) for kind, pattern in TYPE_RULES]
-    discount = F.when(signal.rlike(f"(?iU){DISCOUNT}") & ~signal.rlike(f"(?iU){FREE_WORDS}"), F.lit("rabatt"))
-    return F.coalesce(*rules, discount, F.when(signal.rlike(f"(?iU){FREE}"), F.lit("gratis")), F.lower(clean_ui_noise(given)))
+def classified(text: Column, rules: Sequence[Rule], default: Column | None = None) -> Column:
+    """The label of the first rule that holds; `default`, or null, without any."""
+    label = F.coalesce(*[F.when(rule.holds(text), F.lit(rule.label)) for rule in rules])
+    return label if default is None else F.coalesce(label, default)
 
 
-def category_from(text: Column) -> Column:
-    """The first category whose words the text holds; church words come first; null without any."""
-    church = has_terms(text, CHURCH_WORDS)
-    named = [F.when(has_terms(text, words), F.lit(name)) for name, words in CATEGORY_WORDS]
-    return F.when(church & has_terms(text, SERVICE_WORDS), "gottesdienste").when(church & has_terms(text, CHURCH_EVENT_WORDS), "events").when(church, "kirche").otherwise(F.coalesce(*named))
+def offer_type(text: Column, given: Column, rules: Sequence[Rule]) -> Column:
+    """The type that the text names by the rules, else the given one in lower case."""
+    return classified(clean_ui_noise(text), rules, F.lower(clean_ui_noise(given)))
 
 
-def category(given: Column, text: Column) -> Column:
-    """The given category under its usual name; the text's where that says nothing."""
+def category(given: Column, text: Column, rules: Sequence[Rule], aliases: Mapping[str, str], weak: Sequence[str], strong: Sequence[Rule] = (), default: str = "") -> Column:
+    """The category of a record: what `strong` rules read in the text, whatever was given; else the given one under its
+    usual name, unless that is empty or among the `weak` ones, which say nothing; else what the rules read in the text."""
     plain = F.lower(clean_text(given))
-    aliased = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CATEGORY_ALIASES.items() for x in pair]), plain), plain)
-    return F.when(aliased.isin(*WEAK_CATEGORIES), F.coalesce(category_from(text), F.nullif(aliased, F.lit("")), F.lit("wien"))).otherwise(aliased)
+    names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    usual = F.coalesce(F.try_element_at(names, plain), plain) if aliases else plain
+    read = F.coalesce(classified(text, rules), F.nullif(usual, F.lit("")), F.lit(default))
+    kept = F.when(usual.isin("", *weak), read).otherwise(usual)
+    return F.coalesce(classified(text, strong), kept) if strong else kept

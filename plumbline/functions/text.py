@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 WS = r"[\x09-\x0d \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # Words that come from page furniture, in the order in which they go.
 UI_WORDS = ("alle anzeigen", "kategorien", "app", "ap")
+# A word that the source misspells, and the word meant.
+MISSPELT, MEANT = "Bestellunge", "Bestellung"
 # Letters with marks and the plain letters they fold to.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďđēęěğīłńňőřśšşťūůűźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccddeeegilnnorssstuuuzzz"
@@ -45,7 +47,7 @@ def clean_text(value: Column) -> Column:
 def clean_ui_noise(value: Column) -> Column:
     """clean_text without page-furniture words, starred runs and outer punctuation."""
     text = F.regexp_replace(clean_text(value), rf"(?i)\b(?:{'|'.join(UI_WORDS)})\b", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)\bBestellunge\b", "Bestellung"), r"\*{3,}", " ")
+    text = F.regexp_replace(F.regexp_replace(text, rf"(?i)\b{MISSPELT}\b", MEANT), r"\*{3,}", " ")
     return F.trim(F.regexp_replace(collapse(text), r"^[,:\-–\s]+|[,:\-–\s]+$", ""))
 
 

@@ -278,18 +278,33 @@ def q_freshness_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- classification ---------------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Gewinnspiel: ' WHEN 1 THEN '1+1 auf ' WHEN 2 THEN 'Goodie Bag mit ' WHEN 3 THEN '20 % auf ' WHEN 4 THEN 'gratis ' ELSE '' END || 'Ware' AS said FROM part)
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'gewinnspiel' WHEN 1 THEN 'bogo' WHEN 2 THEN 'freebie' WHEN 3 THEN 'rabatt' WHEN 4 THEN 'gratis' ELSE 'info' END AS type FROM t""")
+#: Small vocabularies for the queries: materials and makes of parts.
+_MAKES = (rules.Rule("metal", ("steel", "copper", "brass", "nickel", "tin"), unless=("polished",)), rules.Rule("smooth", ("polished", "burnished")), rules.Rule("small", ("small",), also=("plated",)))
+_ALIASES, _WEAK = {"brand#11": "house", "brand#12": "house", "brand#13": "none"}, ("none", "brand#14")
+_STRONG = (rules.Rule("promo", ("promo",)),)
+
+
+def _word_sql(x: str, words: tuple[str, ...]) -> str:
+    return rf"regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}])({'|'.join(words)})($|[^\p{{L}}\p{{N}}])')"
+
+
+def _rule_sql(x: str, rule: rules.Rule) -> str:
+    tests = [_word_sql(x, rule.any_of)] + [_word_sql(x, rule.also)] * bool(rule.also) + [f"NOT {_word_sql(x, rule.unless)}"] * bool(rule.unless)
+    return f"WHEN {' AND '.join(tests)} THEN '{rule.label}'"
+
+
+_MADE_SQL = " ".join(_rule_sql("p_type", r) for r in _MAKES)
+
+
+@query(f"SELECT p_partkey, CASE {_MADE_SQL} ELSE lower(p_brand) END AS type FROM part")
 def q_offer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Gewinnspiel: Ware", "1+1 auf Ware", "Goodie Bag mit Ware", "20 % auf Ware", "gratis Ware", "Ware")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", rules.offer_type(said, F.lit("Info")).alias("type"))
+    return table(spark, sf_dir, "part").select("p_partkey", rules.offer_type(F.col("p_type"), F.col("p_brand"), _MAKES).alias("type"))
 
 
-@query(r"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'kaffee' WHEN 1 THEN 'essen' WHEN 2 THEN 'gottesdienste' WHEN 3 THEN 'technik' ELSE 'kultur' END AS category FROM part""")
+@query(f"""WITH u AS (SELECT p_partkey, p_type, CASE lower(p_brand) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _ALIASES.items())} ELSE lower(p_brand) END AS usual FROM part)
+SELECT p_partkey, CASE {' '.join(_rule_sql('p_type', r) for r in _STRONG)} WHEN usual IN ({', '.join(f"'{w}'" for w in _WEAK)}) THEN CASE {_MADE_SQL} ELSE usual END ELSE usual END AS category FROM u""")
 def q_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*[F.lit(x) for x in ("Espresso und Kuchen", "Pizza um 5 Euro", "Messe in der Pfarre", "neues iPhone", "egal")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    given = F.when(F.col("p_partkey") % 5 == 4, "Museum").otherwise("wien")
-    return table(spark, sf_dir, "part").select("p_partkey", rules.category(given, said).alias("category"))
+    return table(spark, sf_dir, "part").select("p_partkey", rules.category(F.col("p_brand"), F.col("p_type"), _MAKES, _ALIASES, _WEAK, _STRONG, "other").alias("category"))
 
 
 _SIGNS = [("license", "licen[sc]e"), ("symbols", r"[#$%&*]{3}"), ("menu", r"\|"), ("shout", "!!")]
@@ -335,12 +350,15 @@ def q_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).select("deal_id", best.alias("b")).select("deal_id", "b.source", F.col("b.moment").cast("timestamp_ntz").alias("moment"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 90 WHEN 2 THEN 77 ELSE 45 END AS rank FROM orders""")
-def q_expiry_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    source = F.when(k == 0, "short_review_ttl").when(k == 1, "url.page").when(k == 2, "post-caption").otherwise("")
-    confidence = F.when(k == 2, "medium").otherwise("high")
-    return table(spark, sf_dir, "orders").select("o_orderkey", validity.expiry_rank("expires", source, confidence).alias("rank"))
+_RANKS = validity.Ranks(fields={"F": 50, "O": 35}, other=20, sources=(("^1", 80), ("HIGH|MEDIUM", 60)), confidence={"A": 6, "N": 3, "R": -8}, doubtful=(("LOW", 9),))
+
+
+@query("""WITH l AS (SELECT o_orderkey, o_orderstatus AS f, o_orderpriority AS s, min(l_returnflag) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)
+SELECT o_orderkey, CAST(CASE WHEN contains(s, 'LOW') THEN 9 ELSE greatest(1, greatest(CASE f WHEN 'F' THEN 50 WHEN 'O' THEN 35 ELSE 20 END, CASE WHEN s LIKE '1%' THEN 80 WHEN contains(s, 'HIGH') OR contains(s, 'MEDIUM') THEN 60 ELSE 0 END) + CASE c WHEN 'A' THEN 6 WHEN 'N' THEN 3 WHEN 'R' THEN -8 ELSE 0 END) END AS INTEGER) AS rank FROM l""")
+def q_backed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"))
+    orders = table(spark, sf_dir, "orders").join(flags, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select("o_orderkey", validity.backed_rank(F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("flag"), _RANKS).alias("rank"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN c IN (404, 410, 451) THEN 'invalid' WHEN c IN (401, 403, 408, 409, 423, 425, 429, 500, 502, 503, 504) THEN 'transient' WHEN c BETWEEN 300 AND 399 THEN 'redirect' WHEN c BETWEEN 200 AND 299 THEN 'ok' ELSE 'unknown' END AS status FROM (SELECT l_orderkey, l_linenumber, 200 + l_partkey % 330 AS c FROM lineitem)")
@@ -454,10 +472,10 @@ def q_dedup_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.best_values(offers(spark, sf_dir), ["title"], F.struct("quality_score", -F.col("deal_id")), ["deal_id", "quality_score"])
 
 
-@query("SELECT substr(text, 1, 50) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+@query("SELECT md5(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.substring("text", 1, 50).alias("key"), "doc_id")
-    return dedup.best_by(docs, ["key"], [F.col("doc_id")])
+    docs = table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("key"), "doc_id")
+    return dedup.best_values(docs, ["key"], -F.col("doc_id"), ["doc_id"])
 
 
 @query("""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_extendedprice, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1""")
@@ -483,8 +501,10 @@ def q_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def q_multi_key_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 50).alias("head"), F.md5(F.col("text").cast("binary")).alias("whole"))
-    return dedup.linked_groups(rows, "doc_id", F.array(F.concat(F.lit("h:"), "head"), F.concat(F.lit("w:"), "whole")))
+    """Documents that share their whole text, or the same letters in any case and spacing."""
+    loose = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(loose.cast("binary")).alias("loose"), F.md5(F.col("text").cast("binary")).alias("whole"))
+    return dedup.linked_groups(rows, "doc_id", F.array(F.concat(F.lit("l:"), "loose"), F.concat(F.lit("w:"), "whole")))
 
 
 @query("""WITH n AS (SELECT o_custkey, o_orderkey, 'new' AS tag FROM orders WHERE o_orderkey % 50 = 1) SELECT o_custkey, o_orderkey, 'old' AS tag FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT * FROM n""")

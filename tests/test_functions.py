@@ -7,6 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import validity
 from plumbline.functions import dates, rules, text, urls
 from plumbline.operators import dedup, joins
 from plumbline.sources import landed
@@ -122,10 +123,18 @@ def test_text(spark):
 
 
 def test_rules(spark):
-    for said_text, kind in (("Gewinnspiel: 1+1", "gewinnspiel"), ("2 für 1 Burger", "bogo"), ("20% Rabatt", "rabatt"), ("gratis statt 20%", "gratis"), ("nichts", "event")):
-        assert value(spark, rules.offer_type(said(said_text), said("Event"))) == kind, said_text
-    for given, said_text, want in (("", "Gottesdienst am Sonntag", "gottesdienste"), ("Food", "x", "essen"), ("shopping", "iPhone", "technik"), ("", "Teegarten", "wien"), ("wien", "Tee trinken", "kaffee"), (None, None, "wien")):
-        assert value(spark, rules.category(said(given), said(said_text))) == want, said_text
+    kinds = (rules.Rule("draw", ("prize draw", "raffle")), rules.Rule("pair", ("2 for 1", "1+1")), rules.Rule("cut", ("off", "sale"), unless=("free",)), rules.Rule("gift", ("free",), also=("today",)))
+    for said_text, kind in (("Raffle: 1+1", "draw"), ("now 2 for 1!", "pair"), ("20% off", "cut"), ("free, 20% off today", "gift"), ("free", "event"), ("offer", "event"), (None, "event")):
+        assert value(spark, rules.offer_type(said(said_text), said("Event"), kinds)) == kind, said_text
+    words, aliases = (rules.Rule("tea", ("tee", "chai")), rules.Rule("tech", ("phone",))), {"food": "meals", "any": "misc"}
+    for given, said_text, want in (("Food", "chai", "meals"), ("any", "Phone", "tech"), ("", "Teegarten", "none"), ("misc", "Tee trinken", "tea"), (None, None, "none"), ("other", "chai", "other"), ("Food", "strictly secret", "hidden")):
+        assert value(spark, rules.category(said(given), said(said_text), words, aliases, ("misc",), (rules.Rule("hidden", ("secret",)),), "none")) == want, said_text
+
+
+def test_backed_rank(spark):
+    ranks = validity.Ranks(fields={"end": 50}, other=20, sources=(("^page", 80),), confidence={"high": 5, "low": -60}, doubtful=(("guess", 10),))
+    for where, source, confidence, want in (("end", "", "high", 55), ("end", "page.x", None, 80), ("x", "", "low", 1), ("end", "page guess", "high", 10), (None, None, None, 20)):
+        assert value(spark, validity.backed_rank(said(where), said(source), said(confidence), ranks)) == want
 
 
 def test_envelopes(spark):
