@@ -17,6 +17,10 @@ from plumbline.workspace import store
 SMALL, BLOCK = 48, 4096
 #: Pairs of a document that are compared in one task.
 PAIRS = 1000
+#: Minimum hashes of a sketch, those that two sets must share to be compared (0.8 similar ones share 109 on average, with a
+#: standard deviation of 4), best partners that a document is compared with in a large bucket, and documents of a
+#: fingerprint that are all compared with those of another.
+SLOTS, SHARED_SLOTS, BEST, FEW = 128, 90, 8, 8
 #: Multiplier that scatters the bit positions over the codewords (2**64 divided by the golden ratio).
 SCATTER = 0x9E3779B97F4A7C15
 
@@ -44,7 +48,8 @@ def _signed(x: int) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, text: str = "text", key: str = "doc_id", shingle_words: int = 0) -> DataFrame:
     """key and `fp` (the 64 bits as a signed long) of each whole text. Without `repeats` each shingle counts once.
 
-    With `shingle_words`, also `shingles`: the distinct 32-bit hashes of the text's shingles of so many words.
+    With `shingle_words`, also `shingles`, the distinct 32-bit hashes of the text's shingles of so many words, and `sketch`,
+    SLOTS minimum hashes of them, two bits each.
     """
 
     def batch_of(batches: Iterator) -> Iterator:
@@ -68,14 +73,25 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool
                 n += len(block)
             return _signed(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
+        factors = np.random.default_rng(seed).integers(1, 2**32, SLOTS, np.uint32) | np.uint32(1)
+
+        def sketch(hashes) -> bytes:
+            least = np.full(SLOTS, 2**32 - 1, np.uint32)
+            for i in range(0, len(hashes), 4096):
+                mixed = hashes[i : i + 4096, None] * factors
+                least = np.minimum(least, (mixed ^ mixed >> np.uint32(15)).min(0))
+            bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+            return (bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).tobytes()
+
         for batch in batches:
             splits = [(t or "").encode("utf-8").lower().split() for t in batch.column(1).to_pylist()]  # bytes: A-Z only, and ASCII white space only
             out = [batch.column(0), pa.array(map(fingerprint, splits), pa.int64())]
             if shingle_words:
-                out.append(pa.array([np.unique(hashed(s, shingle_words).astype(np.uint32)).view(np.int32) if s else np.zeros(0, np.int32) for s in splits], pa.list_(pa.int32())))
+                sets = [np.unique(hashed(s, shingle_words).astype(np.uint32)) if s else np.zeros(0, np.uint32) for s in splits]
+                out += [pa.array([x.view(np.int32) for x in sets], pa.list_(pa.int32())), pa.array(map(sketch, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())] + [T.StructField("shingles", T.ArrayType(T.IntegerType()))] * bool(shingle_words)
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())] + ([T.StructField("shingles", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.BinaryType())] if shingle_words else [])
     names = [f.name for f in fields]
     return docs.select(key, text).mapInArrow(batch_of, T.StructType(fields))
 
@@ -135,9 +151,9 @@ def _earlier(radius: int) -> str:
     return f"exists(slice(array({', '.join(f'{_signed(m)}L' for m in covering_masks(radius))}), 1, t), m -> ((a ^ b) & m) = 0)"
 
 
-def bucket_links(shared: DataFrame, radius: int = 3, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """links() of stored buckets."""
-    pairs = (
+def small_bucket_pairs(shared: DataFrame, radius: int, small: int) -> DataFrame:
+    """All pairs (a, b) within `radius` bits of the buckets of up to `small`, where no earlier mask joins them."""
+    return (
         shared.where(F.col("n") <= small)
         .groupBy("t", "key")
         .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
@@ -145,6 +161,10 @@ def bucket_links(shared: DataFrame, radius: int = 3, small: int = SMALL, block:
         .select("a", F.explode(F.expr(f"filter(slice(fps, i + 2, {small}), b -> bit_count(a ^ b) <= {radius} AND (t >= {2 ** (radius + 1) - 1} OR NOT {_earlier(radius)}))")).alias("b"))
     )
 
+
+def bucket_links(shared: DataFrame, radius: int = 3, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """links() of stored buckets."""
+
     def compare(pdf):
         import numpy as np
         import pandas as pd
@@ -154,7 +174,7 @@ def bucket_links(shared: DataFrame, radius: int = 3, small: int = SMALL, block:
         return pd.DataFrame({"a": [fps[i] for i, _ in found], "b": [fps[j] for _, j in found]}, dtype="int64")
 
     forest = _units(shared, small, block, "fp").groupBy("t", "key", "i", "j").applyInPandas(compare, "a long, b long")
-    return pairs.union(forest).distinct()
+    return small_bucket_pairs(shared, radius, small).union(forest).distinct()
 
 
 def links(distinct: DataFrame, radius: int = 3, small: int = SMALL, block: int = BLOCK) -> DataFrame:
@@ -205,71 +225,94 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float, key:
 def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42, text: str = "text", key: str = "doc_id", small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Per document: key and component (least key reachable over links, itself included). Two documents are linked if
     their fingerprints differ in at most `radius` bits and the sets of their `shingle_words`-word shingles have a Jaccard
-    similarity of `similarity` or more.
-
-    Keys must be unique and not null. The covering masks give the candidates. First every document is compared with its
-    fingerprint's first one, and fingerprints with those that links() joins them to, through their first documents; what is
-    similar forms groups. Then the pairs that this leaves open are compared: documents of different groups that are within
-    the radius, in classes, in buckets of more than `small`, and in buckets where one is not its fingerprint's first. So
-    no link depends on an unconfirmed one, and groups of like copies cost a comparison a document, not one a pair. Texts
-    without words are alike; repeated rows have keys of their own; no rows give no rows; other columns are not read.
+    similarity of `similarity` or more; every link is confirmed on the whole sets.
+
+    Keys must be unique and not null. The covering masks give the candidates: documents of one fingerprint are compared
+    with its first one and with each other, then those of different fingerprints. In buckets of up to `small`, and fingerprints of up
+    to SMALL documents, all pairs within the radius are compared. In larger ones, where pairs would grow with the square, a document is compared with the
+    BEST of them by their sketches, and groups that this leaves apart by their best pair: the pairs left out are those
+    that sketches put below others of the same documents. Of a fingerprint with more than FEW documents, one of each group
+    that is confirmed among them stands for it. Texts without words are alike; repeated rows have keys of their own; no
+    rows give no rows; other columns are not read.
     """
     prints = store(fingerprints(docs, words, seed, repeats, text, key, shingle_words), "near-prints")
     classes = store(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "near-classes")
-    keyed = prints.select(F.col(key).alias("id"), "fp")
-    members = store(join_unique(keyed, classes.select("fp", "rep"), ["fp"], classes), "near-members")
+    nodes = prints.select(F.col(key).alias("id"), "fp", "sketch")
+    several = store(join_unique(nodes, classes.where("n > 1").select("fp", "rep", "n"), ["fp"], classes), "near-several")
+    with_first = several.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    in_class = store(_best_pairs(several.select(F.lit(-1).alias("t"), F.col("fp").alias("key"), "n", "id", "fp", "sketch").where("n > 2"), radius, 0, block).union(with_first).distinct(), "near-class-pairs")
+    alike = similar_pairs(in_class, prints, similarity, key)
+    # who stands for a fingerprint: all of few documents, else the first of each group among its own
+    group = components(alike)
+    first = several.where(F.col("n") > FEW).join(group.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "fp", "sketch")
+    alone = nodes.join(classes.where(F.col("n") <= FEW).select(F.col("fp").alias("_fp")), F.col("fp") == F.col("_fp"), "left_semi")
+    standing = store(alone.unionByName(first), "near-standing")
     shared = buckets(classes.select("fp"), radius, block)
-    rep = lambda side: classes.select(F.col("fp").alias(side), F.col("rep").alias(f"_{side}"))
-    between = bucket_links(shared, radius, small, block).join(rep("a"), "a").join(rep("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    in_order = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = store(between.select(*in_order).union(members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))), "near-pairs")
-    similar = similar_pairs(first, prints, similarity, key)
-    found = components(similar)
-    grouped = lambda ids, groups: ids.join(groups.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id").withColumn("component", F.coalesce("component", "id"))
-    labelled = store(grouped(members, found), "near-labelled")
-    second = store(_open_pairs(shared, labelled, radius, small, block).join(first, ["a", "b"], "left_anti"), "near-open-pairs")
-    if not second.isEmpty():
-        more = similar_pairs(second, prints, similarity, key)
-        if not more.isEmpty():
-            labelled = grouped(members, components(similar.union(more)))
-    return labelled.select(F.col("id").alias(key), "component")
-
-
-def _open_pairs(shared: DataFrame, labelled: DataFrame, radius: int, small: int, block: int) -> DataFrame:
-    """Pairs (a, b) of ids within `radius` bits and of different components that the first comparison left out."""
-    # a class of several components is a bucket of its own
-    mixed = labelled.groupBy("fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
-    mixed = store(mixed, "near-mixed")
-    own = mixed.where("lo <> hi").select("fp", F.lit(-1).alias("t"), F.col("fp").alias("key"))
-    # of the small buckets, those with a fingerprint of several documents
-    several = shared.where(F.col("n") <= small).join(mixed.select("fp"), "fp", "left_semi").select("t", "key").distinct()
-    wanted = shared.where(F.col("n") > small).select("fp", "t", "key").unionByName(shared.where(F.col("n") <= small).join(several, ["t", "key"], "left_semi").select("fp", "t", "key")).unionByName(own)
-    nodes = store(wanted.join(labelled.select("fp", "id", "rep", "component"), "fp"), "near-nodes")
-    differ = nodes.groupBy("t", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("t", "key", "n")
-    open_nodes = store(nodes.join(store(differ, "near-differ"), ["t", "key"]), "near-open")
-    row = F.struct("id", "fp", "component", "rep")
-    test = f"x.component <> y.component AND bit_count(x.fp ^ y.fp) <= {radius} AND (x.id <> x.rep OR y.id <> y.rep)"
-    pairs = (
-        open_nodes.where(F.col("n") <= small)
-        .groupBy("t", "key")
-        .agg(F.sort_array(F.collect_list(row)).alias("xs"))
-        .select(F.posexplode("xs").alias("i", "x"), "xs")
-        .select(F.col("x.id").alias("a"), F.explode(F.expr(f"transform(filter(slice(xs, i + 2, {small}), y -> {test}), y -> y.id)")).alias("b"))
-    )
+    of = lambda side: standing.select(F.col("fp").alias(side), F.col("id").alias(f"_{side}"))
+    near = small_bucket_pairs(shared, radius, small).distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    large = shared.where(F.col("n") > small).select("t", "key", "n", F.col("fp").alias("_fp")).join(standing, F.col("fp") == F.col("_fp")).drop("_fp")
+    apart = _best_pairs(large, radius, small, block)
+    between = store(near.union(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    found = components(alike.union(similar_pairs(between, prints, similarity, key)))
+    return nodes.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("id").alias(key), F.coalesce("component", "id").alias("component"))
+
+
+def _best_pairs(bucketed: DataFrame, radius: int, small: int, block: int) -> DataFrame:
+    """Pairs (a, b), a < b, of ids in buckets of more than `small` (t, key, n, id, fp, sketch): for each id the BEST others
+    within the radius by what their sketches share, and the best pair between groups that these leave apart."""
 
     def compare(pdf):
         import numpy as np
         import pandas as pd
 
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        fps, groups, ids = pdf["fp"].to_numpy().view(np.uint64), pd.factorize(pdf["component"])[0], pdf["id"].to_numpy()
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            near = np.flatnonzero((groups[i + 1 :] != groups[i]) & (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius)) + i + 1
-            a.extend([ids[i]] * len(near)), b.extend(ids[near].tolist())
-        return pd.DataFrame({"a": a, "b": b}, dtype=ids.dtype)
-
-    kind = dict(labelled.dtypes)["id"]
-    large = _units(open_nodes, small, block, "id", "fp", "component").groupBy("t", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
-    least = pairs.union(large)
-    return least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ids, fps = pdf["id"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(ids), -1)
+        root = np.arange(len(ids))
+        ones = np.uint64(0x5555555555555555)
+
+        def agreement(i: int):
+            """What each id's sketch shares with that of i; 0 where it is too little, or the fingerprint too far."""
+            x = sketches ^ sketches[i]
+            equal = SLOTS - np.bitwise_count((x | x >> np.uint64(1)) & ones).sum(1, dtype=np.int32)
+            equal[(equal < SHARED_SLOTS) | (np.bitwise_count(fps ^ fps[i]) > radius)] = 0
+            equal[i] = 0
+            return equal
+
+        found: set = set()
+
+        def link(i: int, j: int) -> None:
+            found.add((min(i, j), max(i, j)))
+            if root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+
+        if len(ids) <= SMALL:  # few enough for all pairs
+            for i in range(len(ids)):
+                for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) + i + 1).tolist():
+                    link(i, j)
+        reach = np.zeros(len(ids), bool)
+        for i in range(len(ids) if len(ids) > SMALL else 0):
+            equal = agreement(i)
+            best = np.argpartition(-equal, BEST)[:BEST] if len(ids) > BEST else np.arange(len(ids))
+            reach[i] = np.count_nonzero(equal) > BEST
+            for j in best[equal[best] > 0].tolist():
+                link(i, j)
+        while True:  # the best pair that leaves each group
+            leaving: dict = {}
+            for i in np.flatnonzero(reach).tolist():
+                equal = agreement(i)
+                equal[root == root[i]] = 0
+                j = int(equal.argmax())
+                if equal[j] == 0:
+                    reach[i] = False
+                elif equal[j] > leaving.get(root[i], (0, 0, 0))[0]:
+                    leaving[root[i]] = (int(equal[j]), i, j)
+            if not leaving:
+                break
+            for _, i, j in leaving.values():
+                link(i, j)
+        pairs = sorted(found)
+        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype=ids.dtype)
+
+    kind = dict(bucketed.dtypes)["id"]
+    return _units(bucketed, small, block, "id", "fp", "sketch").groupBy("t", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
