@@ -222,7 +222,7 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float, key:
     return store(both.where((shared >= F.lit(similarity) * either)).select("a", "b"), "near-similar")
 
 
-def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42, text: str = "text", key: str = "doc_id", small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42, text: str = "text", key: str = "doc_id", small: int = SMALL, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """Per document: key and component (least key reachable over links, itself included). Two documents are linked if
     their fingerprints differ in at most `radius` bits and the sets of their `shingle_words`-word shingles have a Jaccard
     similarity of `similarity` or more; every link is confirmed on the whole sets.
@@ -231,8 +231,9 @@ def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bo
     with its first one and with each other, then those of different fingerprints. In buckets of up to `small`, and fingerprints of up
     to SMALL documents, all pairs within the radius are compared. In larger ones, where pairs would grow with the square, a document is compared with the
     BEST of them by their sketches, and groups that this leaves apart by their best pair: the pairs left out are those
-    that sketches put below others of the same documents. Of a fingerprint with more than FEW documents, one of each group
-    that is confirmed among them stands for it. Texts without words are alike; repeated rows have keys of their own; no
+    that sketches put below others of the same documents. Of a fingerprint with more than `few` documents, one of each group
+    that is confirmed among them stands for it, so a link that only another of the group has to a different fingerprint is
+    not looked for. Texts without words are alike; repeated rows have keys of their own; no
     rows give no rows; other columns are not read.
     """
     prints = store(fingerprints(docs, words, seed, repeats, text, key, shingle_words), "near-prints")
@@ -244,8 +245,8 @@ def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bo
     alike = similar_pairs(in_class, prints, similarity, key)
     # who stands for a fingerprint: all of few documents, else the first of each group among its own
     group = components(alike)
-    first = several.where(F.col("n") > FEW).join(group.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "fp", "sketch")
-    alone = nodes.join(classes.where(F.col("n") <= FEW).select(F.col("fp").alias("_fp")), F.col("fp") == F.col("_fp"), "left_semi")
+    first = several.where(F.col("n") > few).join(group.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "fp", "sketch")
+    alone = nodes.join(classes.where(F.col("n") <= few).select(F.col("fp").alias("_fp")), F.col("fp") == F.col("_fp"), "left_semi")
     standing = store(alone.unionByName(first), "near-standing")
     shared = buckets(classes.select("fp"), radius, block)
     of = lambda side: standing.select(F.col("fp").alias(side), F.col("id").alias(f"_{side}"))
