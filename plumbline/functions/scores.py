@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +76,24 @@ def search_rank(kind: Column, hot: Column, quality: Column, priority: Column) ->
 
 def source_performance(runs: Column, hits: Column, links: Column) -> Column:
     return F.when(runs > 0, hits / runs * 100 + F.least(links / runs / 4, F.lit(20.0))).otherwise(0.0)
+
+
+def reasoned(parts: Sequence[tuple[Column, int, str]]) -> Column:
+    """(score, reasons): the points of the parts that hold, clamped, and what they are for, in order."""
+    held = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(points).alias("points"), F.lit(label).alias("label"))) for test, points, label in parts]))
+    total = F.aggregate(held, F.lit(0), lambda a, x: a + x["points"])
+    return F.struct(clamped(total.cast("double")).alias("score"), F.transform(held, lambda x: x["label"]).alias("reasons"))
+
+
+def capped_hits(counts: Mapping[str, Column], each: Mapping[str, int], most: Mapping[str, int]) -> Column:
+    """Points for hits of several kinds: so many each, up to so many a kind; clamped in all."""
+    parts = [F.least(F.coalesce(counts[k], F.lit(0)) * each[k], F.lit(most[k])) for k in counts]
+    return clamped(sum(parts[1:], parts[0]).cast("double"))
+
+
+def quality(brand: Column, title: Column, description: Column, category: Column, generic: Sequence[str]) -> Column:
+    """A record's quality by what it says: points for a brand and title that are not generic, a title of fair length, a
+    description, and a category."""
+    named = lambda c: F.coalesce((c != "") & ~F.lower(c).isin(*generic), F.lit(False))
+    parts = [(named(brand), 25), (named(title), 20), (F.char_length(title).between(12, 90), 15), (F.char_length(description) >= 40, 25), (named(category), 15)]
+    return clamped(sum((F.when(F.coalesce(test, F.lit(False)), F.lit(n)).otherwise(0) for test, n in parts), F.lit(0)).cast("double"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.workspace import store
+
 
 def capped(rows: DataFrame, group: str, order: list[Column], per_group: int, total: int) -> DataFrame:
     """At most per_group rows of each group, then at most `total` of all, in the given order."""
@@ -24,21 +26,46 @@ def rotating_pick(rows: DataFrame, order: list[Column], turn: int, most: int = 7
     return ranked.join(F.broadcast(n)).where(F.col("_place") == F.lit(turn) % F.col("_n")).drop("_place", "_n")
 
 
-def account_shard(accounts: DataFrame, name: str, priority: str, shard: int, shards: int, hot: int, most: int) -> DataFrame:
-    """The `hot` accounts of highest priority in every shard, and each shards-th of the others, `most` in all.
+def positions(rows: DataFrame, group: list[str], order: list[tuple[str, bool]], tag: str = "positions") -> DataFrame:
+    """Add `position` of each row in its group's order, from 0, without a task that holds a group.
+
+    `order` lists columns and whether they ascend, and must be total. Rows are sorted over ranges, each range numbers its
+    own rows of a group, and the counts of the ranges before (groups times ranges rows) give each its first number.
+    """
+    ways = [F.asc(c) if up else F.desc(c) for c, up in order]
+    keys = [F.asc(g) for g in group]
+    ranged = store(rows.repartitionByRange(*keys, *ways).withColumn("_range", F.spark_partition_id()), tag)
+    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = store(counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), f"{tag}-firsts")
+    named = firsts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), "_first")
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*ways)) - 1)
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_range") == F.col("_r")]
+    return placed.join(named, on).select(*rows.columns, (F.col("_place") + F.col("_first")).cast("long").alias("position"))
 
-    A rank over all accounts needs one task; the registry of accounts is kept by hand and small."""
-    order = [F.desc(priority), F.col(name)]
-    ranked = accounts.withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
-    is_hot = F.col("_place") < hot
-    chosen = ranked.where(is_hot | ((F.col("_place") - hot) % shards == shard % shards))
-    return chosen.orderBy(F.desc(is_hot), *order).limit(most).select(name, priority, is_hot.alias("is_hot"))
+
+def account_shard(accounts: DataFrame, name: str, priority: str, shard: int, shards: int, hot: int, most: int) -> DataFrame:
+    """The `hot` accounts of highest priority in every shard, and each shards-th of the others, `most` in all."""
+    ranked = positions(accounts.select(name, priority), [], [(priority, False), (name, True)], "accounts")
+    is_hot = F.col("position") < hot
+    chosen = ranked.where(is_hot | ((F.col("position") - hot) % shards == shard % shards))
+    return chosen.orderBy(F.desc(is_hot), F.desc(priority), name).limit(most).select(name, priority, is_hot.alias("is_hot"))
 
 
-def chunks(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
+def chunks(rows: DataFrame, group: str, order: list[tuple[str, bool]], size: int) -> DataFrame:
     """Batches of `size` rows within each group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("chunk", F.floor(place / size)).withColumn("chunk_place", place % size)
+    placed = positions(rows, [group], order, "chunks")
+    return placed.withColumn("chunk", F.floor(F.col("position") / size)).withColumn("chunk_place", (F.col("position") % size).cast("int")).drop("position")
+
+
+def weekly_pick(rows: DataFrame, key: str, order: list[Column], turn: int, excluded: Column, most: int = 100) -> DataFrame:
+    """One row of the first `most` that are not excluded, by turn modulo how many there are."""
+    return rotating_pick(rows.where(~F.coalesce(excluded, F.lit(False))), order, turn, most)
+
+
+def featured(rows: DataFrame, eligible: Column, order: list[Column]) -> DataFrame:
+    """The first eligible row."""
+    return rows.where(F.coalesce(eligible, F.lit(False))).orderBy(*order).limit(1)
 
 
 def budgeted(rows: DataFrame, key: str, order: list[Column], budget: int) -> DataFrame:

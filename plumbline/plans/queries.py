@@ -625,7 +625,7 @@ def q_account_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 25 AS chunk, CAST((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 25 AS INTEGER) AS chunk_place FROM events")
 def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.chunks(table(spark, sf_dir, "events"), "event_type", [F.col("ts"), F.col("event_id")], 25).select("event_id", "chunk", "chunk_place")
+    return rank.chunks(table(spark, sf_dir, "events"), "event_type", [("ts", True), ("event_id", True)], 25).select("event_id", "chunk", "chunk_place")
 
 
 @query("SELECT url FROM (SELECT url, max(page_id) AS p FROM pages GROUP BY url) ORDER BY p DESC, url LIMIT 43")
@@ -660,8 +660,9 @@ def q_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- state, in streams ------------------------------------------------------------------------------------------------
 
 
-def _drained(stream: DataFrame, tag: str) -> DataFrame:
-    """What a stream over landed files emits until it has read them all, written to the shared folder batch by batch."""
+def _drained(stream: DataFrame, tag: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream over landed files emits until it has read them all, written to the shared folder batch by batch. Of a key
+    that comes again, as in update mode, the last batch's row counts."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -669,11 +670,22 @@ def _drained(stream: DataFrame, tag: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     stream.writeStream.foreachBatch(land).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
+    out = spark.read.parquet(f"{path}/out").withColumn("batch", F.col("batch").cast("long"))
+    if not keys:
+        return out.select(*stream.columns)
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*").select(*stream.columns)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+def _event_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
+    """The events as they land: in so many files by time, one a micro-batch."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    bounds = events.selectExpr(f"percentile_approx(unix_timestamp(ts), array({', '.join(str(i / files) for i in range(1, files))})) AS b").first()["b"] or []
+    part = sum((F.unix_timestamp("ts") > b).cast("int") for b in bounds) if bounds else F.lit(0)
+    for i in range(files):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -688,16 +700,17 @@ def q_stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming.state import windowed_counts
 
     counted = windowed_counts(_event_stream(spark, sf_dir), "ts", "event_type", "6 hours", "7 days")
-    return _drained(counted, "stream-windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _drained(counted, "stream-windows", ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""WITH a AS (SELECT user_id, round(value, 0) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS age FROM events)
+@query("""WITH a AS (SELECT user_id, round(value, 0) AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events)
 SELECT user_id, count(*) AS runs, round(sum(value * pow(0.75, age)), 3) AS recent FROM a GROUP BY user_id""")
 def q_stream_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming.state import decayed_counters
 
-    runs = _event_stream(spark, sf_dir).select("user_id", "event_id", F.round("value", 0).alias("value"))
-    return _drained(decayed_counters(runs, "user_id", "event_id", "value"), "stream-decayed").withColumn("recent", F.round("recent", 3))
+    at = F.unix_millis("ts") * 10**6 + F.col("event_id")
+    runs = _event_stream(spark, sf_dir).select("user_id", at.alias("at"), F.round("value", 0).alias("value"))
+    return _drained(decayed_counters(runs, "user_id", "at", "value"), "stream-decayed", ["user_id"]).withColumn("recent", F.round("recent", 3))
 
 
 # --- contracts --------------------------------------------------------------------------------------------------------

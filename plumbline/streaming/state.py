@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,12 +24,18 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: st
 
 
 def decayed_counters(runs: DataFrame, key: str, order: str, value: str, factor: float = DECAY) -> DataFrame:
-    """After each batch, per key: runs so far and the decayed sum, in which each run counts `factor` times the next."""
+    """After each batch, per key: runs so far and the decayed sum, in which each run counts `factor` times the next.
+
+    Runs come in the order of `order` from batch to batch; within a batch each Arrow frame is folded on its own, as a run's
+    weight needs only its rank in the batch, so that a hot key's frames need not be in memory together.
+    """
 
     def step(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, recent = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        for x in rows[value]:
+        ordered: list = []  # (order, value) pairs, two numbers a run
+        for frame in frames:
+            ordered.extend(zip(frame[order].tolist(), frame[value].tolist()))
+        for _, x in sorted(ordered):
             n, recent = n + 1, recent * factor + float(x)
         state.update((n, recent))
         yield pd.DataFrame({key: [key_values[0]], "runs": [n], "recent": [recent]})
@@ -39,15 +44,24 @@ def decayed_counters(runs: DataFrame, key: str, order: str, value: str, factor:
     return runs.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, runs long, recent double", "n long, recent double", "update", GroupStateTimeout.NoTimeout)
 
 
-def claims(events: DataFrame, token: str, kind: str, at: str, inviter: str, visitor: str) -> DataFrame:
+def claims(events: DataFrame, token: str, kind: str, at: str, inviter: str, visitor: str, time: str, late: str = "1 hour") -> DataFrame:
     """start makes a claim pending; complete, at least CLAIM_LEAST_S and at most CLAIM_TTL_S later, completes it once.
 
-    `at` is in epoch seconds. Emits (token, status, started, completed) when a claim's status changes. A visitor cannot
-    claim an invitation of their own; what comes again changes nothing.
+    `at` is in epoch seconds, `time` is the same moment as event time. Emits (token, status, started, completed) when a
+    claim's status changes. A visitor cannot claim an invitation of their own; what comes again changes nothing. A token's
+    state goes once the watermark is CLAIM_TTL_S past its last move; a claim that is pending then is emitted as expired.
     """
 
+    def row(key_values: tuple, status: str, started: int, completed: int) -> pd.DataFrame:
+        return pd.DataFrame({token: [key_values[0]], "status": [status], "started": [started], "completed": [completed]})
+
     def step(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         started, completed = state.get if state.exists else (-1, -1)
+        if state.hasTimedOut:
+            state.remove()
+            if started >= 0 and completed < 0:
+                yield row(key_values, "expired", started, completed)
+            return
         before = (started, completed)
         rows = pd.concat(list(frames)).sort_values(at, kind="stable")
         for r in rows.to_dict("records"):
@@ -58,13 +72,13 @@ def claims(events: DataFrame, token: str, kind: str, at: str, inviter: str, visi
             elif r[kind] == "complete" and started >= 0 and completed < 0 and CLAIM_LEAST_S <= r[at] - started <= CLAIM_TTL_S:
                 completed = int(r[at])
         state.update((started, completed))
+        state.setTimeoutTimestamp(max((max(started, completed, 0) + CLAIM_TTL_S) * 1000, state.getCurrentWatermarkMs()) + 1)
         if (started, completed) != before:
-            status: Any = "completed" if completed >= 0 else "pending"
-            yield pd.DataFrame({token: [key_values[0]], "status": [status], "started": [started], "completed": [completed]})
+            yield row(key_values, "completed" if completed >= 0 else "pending", started, completed)
 
-    columns = list(dict.fromkeys([token, kind, at, inviter, visitor]))
+    columns = list(dict.fromkeys([token, kind, at, inviter, visitor, time]))
     key_kind = dict(events.dtypes)[token]
-    return events.select(*columns).groupBy(token).applyInPandasWithState(step, f"{token} {key_kind}, status string, started long, completed long", "started long, completed long", "update", GroupStateTimeout.NoTimeout)
+    return events.select(*columns).withWatermark(time, late).groupBy(token).applyInPandasWithState(step, f"{token} {key_kind}, status string, started long, completed long", "started long, completed long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooling(failures: DataFrame, source: str, at: str, hours: int) -> DataFrame:

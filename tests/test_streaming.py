@@ -49,11 +49,13 @@ def test_decayed_counters(spark, files):
 
 
 def test_claims(spark, tmp_path):
-    rows = [("t1", "start", 100, "a", "v"), ("t1", "complete", 105, "a", "v"), ("t1", "complete", 120, "a", "v"), ("t1", "complete", 130, "a", "v"), ("t2", "start", 0, "b", "b"), ("t3", "start", 0, "c", "v"), ("t3", "complete", 8 * 86400, "c", "v")]
+    rows = [("t1", "start", 100, "a", "v"), ("t1", "complete", 105, "a", "v"), ("t1", "complete", 120, "a", "v"), ("t1", "complete", 130, "a", "v"), ("t2", "start", 0, "b", "b"), ("t3", "start", 50, "c", "v"), ("t3", "complete", 8 * 86400, "c", "v")]
     spark.createDataFrame(rows, "token string, kind string, at long, inviter string, visitor string").coalesce(1).write.parquet(str(tmp_path / "claims"))
-    source = spark.readStream.schema("token string, kind string, at long, inviter string, visitor string").parquet(str(tmp_path / "claims"))
-    got = {r["token"]: (r["status"], r["started"], r["completed"]) for r in drained(spark, state.claims(source, "token", "kind", "at", "inviter", "visitor"), "claims", "update")}
-    assert got == {"t1": ("completed", 100, 120), "t3": ("pending", 0, -1)}
+    source = spark.readStream.schema("token string, kind string, at long, inviter string, visitor string").parquet(str(tmp_path / "claims")).withColumn("ts", F.timestamp_seconds("at"))
+    emitted = drained(spark, state.claims(source, "token", "kind", "at", "inviter", "visitor", "ts"), "claims", "update")
+    got = {(r["token"], r["status"], r["started"], r["completed"]) for r in emitted}
+    assert ("t1", "completed", 100, 120) in got and ("t3", "pending", 50, -1) in got  # pending claims expire once the watermark is past them
+    assert got <= {("t1", "completed", 100, 120), ("t3", "pending", 50, -1), ("t3", "expired", 50, -1)}
 
 
 def test_windows(spark, files):
