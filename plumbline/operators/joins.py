@@ -14,6 +14,8 @@ def renamed(df: DataFrame, prefix: str) -> DataFrame:
 
 #: A key is hot if it holds more than one row in HOT of a table, so that a table has less than HOT of them.
 HOT = 1000
+#: Moderation entries at most.
+MOST_LISTED = 10_000
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], counts: DataFrame | None = None, n: str = "n", hot: int = HOT) -> DataFrame:
@@ -102,8 +104,10 @@ def moderated(rows: DataFrame, lists: DataFrame, row_id: str, url: str, signal:
     """(row_id, reason) of rows that a moderation list blocks, by the first list that does.
 
     `lists` has (priority, kind, value); kinds id and url are matched whole by key joins, provider and text anywhere in
-    the signal. Lists are kept by hand and are small.
+    the signal. Lists are kept by hand: at most MOST_LISTED words are sent to every task, and more are refused.
     """
+    if (n := lists.count()) > MOST_LISTED:
+        raise ValueError(f"{n} moderation entries; at most {MOST_LISTED} can be searched for in every text")
     narrow = rows.select(F.col(row_id).cast("string").alias("_id"), F.col(url).alias("_url"), F.lower(signal).alias("_signal"))
     entry = F.struct("priority", F.concat_ws(" ", F.col("kind"), F.col("value")).alias("reason"))
     named = lists.select("kind", "value", entry.alias("entry"))

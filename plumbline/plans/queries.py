@@ -480,9 +480,9 @@ def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_extendedprice, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1""")
 def q_dedup_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    preferred = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    lines = table(spark, sf_dir, "lineitem")
-    return dedup.best_by(lines, ["l_partkey", "l_suppkey"], [preferred, F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]).select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    preferred = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", -1).otherwise(-2)
+    first = F.struct(preferred, -F.col("l_extendedprice"), -F.col("l_orderkey"), -F.col("l_linenumber"))
+    return dedup.best_values(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], first, ["l_orderkey", "l_linenumber"])
 
 
 @query(f"""WITH {OFFERS_SQL}, s AS (SELECT deal_id, source, url, description, quality_score, pub_date, {_EVIDENCE_SQL} AS score FROM offers)

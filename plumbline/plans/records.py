@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules, scores, windows
+from plumbline.functions import describe, rules, scores, windows
 from plumbline.operators import rank, retention, reviews, summaries, validity
 from plumbline.plans.offers import AS_OF, OFFERS_SQL, as_of, offers, table
 from plumbline.plans.queries import _drained, _event_stream, query
@@ -353,6 +353,28 @@ def q_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scores.quality(F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.col("p_type"), ["brand#11"]).alias("score"))
 
 
+_VALID_SQL = """[x for x in [CASE WHEN category = 'fr' THEN 'excluded source' END, CASE WHEN place IS NULL THEN 'no place' END, CASE WHEN offer IS NULL THEN 'no concrete offer' END, CASE WHEN deal_id % 4 = 0 AND pub_date IS NULL THEN 'relative without a day' WHEN deal_id % 4 = 0 AND CAST(pub_date AS DATE) < DATE '2024-01-31' THEN 'relative and past' END, CASE WHEN pub_date IS NULL THEN 'undated' WHEN secs < -129600 THEN 'future' WHEN secs > 20 * 86400 THEN 'too old' END, CASE WHEN expires < DATE '2024-01-31' THEN 'expired' END] if x IS NOT NULL]"""
+
+
+@query(f"""WITH {OFFERS_SQL}, v AS (SELECT *, CASE WHEN owner % 3 = 0 THEN 'owner' WHEN category IN ('de', 'en') THEN 'language' END AS place, CASE WHEN regexp_matches(coalesce(description, ''), '(?i)licen[sc]e') THEN 'licence' WHEN quality_score / 10 <= 6 THEN 'price' END AS offer, epoch({NOW}) - floor(epoch(pub_date)) AS secs FROM offers)
+SELECT deal_id, len({_VALID_SQL}) = 0 AS allowed, array_to_string({_VALID_SQL}, '; ') AS reasons, place, offer FROM v""")
+def q_validity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates of a record in one: source, place, concrete offer, relative day, age and expiry, each with its reason."""
+    place = validity.place_evidence([("owner", F.col("owner") % 3 == 0, F.col("owner")), ("language", F.col("category").isin("de", "en"), F.col("category"))])
+    offer = validity.concrete_offer(F.col("description"), F.col("quality_score") / 10, [], [("licence", "licen[sc]e")], 6)
+    rows = offers(spark, sf_dir).withColumn("place", place["type"]).withColumn("offer", offer)
+    gates = [
+        validity.excluded(F.lit(""), F.col("category"), [("excluded source", "", "^fr$")]),
+        F.when(F.col("place").isNull(), "no place"),
+        F.when(F.col("offer").isNull(), "no concrete offer"),
+        validity.stale_relative(F.col("deal_id") % 4 == 0, F.col("pub_date"), as_of()),
+        windows.age_gate(F.col("pub_date"), as_of(), F.lit(20)),
+        F.when(F.col("expires").cast("timestamp") < as_of(), "expired"),
+    ]
+    reasons = F.array_compact(F.array(*gates))
+    return rows.select("deal_id", (F.size(reasons) == 0).alias("allowed"), F.array_join(reasons, "; ").alias("reasons"), "place", "offer")
+
+
 # --- order ------------------------------------------------------------------------------------------------------------
 
 
@@ -393,3 +415,59 @@ def q_stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir).where("event_type in ('signup', 'purchase')").join(firsts, F.col("user_id") == F.col("_u")).where((F.col("event_type") == "purchase") | (F.col("ts") == F.col("first")))
     moves = stream.select(F.col("user_id"), kinds.alias("kind"), F.unix_timestamp("ts").alias("at"), F.lit("a").alias("inviter"), F.lit("b").alias("visitor"), "ts")
     return _drained(claims(moves, "user_id", "kind", "at", "inviter", "visitor", "ts"), "stream-claims", ["user_id"]).select("user_id", (F.col("status") == "completed").alias("completed"))
+
+
+# --- short texts and links --------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name || ' is ' || p_type || '. It costs ' || p_size || ' today!' AS summary FROM part WHERE length(p_name || ' is ' || p_type || '. It costs ' || p_size || ' today!') <= 120")
+def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit(" "), F.col("p_name"), F.lit("  is "), F.col("p_type"), F.lit(".\n It costs "), F.col("p_size"), F.lit(" today!  And more follows."))
+    both = F.concat("p_name", F.lit(" is "), "p_type", F.lit(". It costs "), F.col("p_size"), F.lit(" today!"))
+    return table(spark, sf_dir, "part").where(F.char_length(both) <= 120).select("p_partkey", describe.summary(said, 120).alias("summary"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name || ' | ' || p_type END AS description, lower(p_type) AS bare FROM part")
+def q_without_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat("p_brand", F.lit(" | new price | "), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")), F.lit(" |  "), "p_type")
+    bare = describe.without_brand(F.concat("p_brand", F.lit(": "), "p_type", F.lit(" - "), F.upper("p_brand")), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", describe.without_echoes(said, [F.col("p_brand")], ["new", "price"]).alias("description"), bare.alias("bare"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_name || ' • ' || p_brand ELSE p_type END AS description, p_size < 25 AS generic FROM part")
+def q_fallback_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("p_size") < 10, "small").otherwise("other")
+    name = F.when(F.col("p_size") < 25, "n/a").otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", describe.fallback_description(kind, {"small": [F.col("p_name"), F.lit(None), F.col("p_brand")]}, [F.lit(""), F.col("p_type")]).alias("description"), describe.is_generic(name, ["n/a"]).alias("generic"))
+
+
+@query("SELECT s_suppkey, s_name AS inside, 'nation ' || s_nationkey AS after, 'friday ' || s_suppkey AS phrase, 'half price ' || s_suppkey AS title FROM supplier")
+def q_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = describe.bracketed(F.concat(F.lit("Tea ( "), "s_name", F.lit(") at home")), ["at"])
+    after = describe.bracketed(F.concat(F.lit("Tea at nation "), F.col("s_nationkey"), F.lit(", today")), ["at"])
+    phrase = describe.phrase_after(F.concat(F.lit("Tea. Valid until:  friday "), F.col("s_suppkey"), F.lit("; or so")), ["valid until", "ends"])
+    title = describe.title_of(F.concat(F.lit("hello\nThe Shop: half price "), F.col("s_suppkey"), F.lit("\nbye")), F.lit("the shop"), "price")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", inside.alias("inside"), after.alias("after"), phrase.alias("phrase"), title.alias("title"))
+
+
+@query("""SELECT s_suppkey, ['https://x.example/a/b/' || s_suppkey, 'https://x.example/r', 'https://y.example/z', 'https://x.example/a/up', 'https://x.example/a/b/c?q=1', '', 'http://z.example/' || s_suppkey] AS links FROM supplier""")
+def q_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.lit("https://x.example/a/b/c?old=1#part")
+    links = [F.col("s_suppkey").cast("string"), F.lit("/r"), F.lit("//y.example/z"), F.lit("../up"), F.lit("?q=1"), F.lit("mailto:a@b.c"), F.concat(F.lit("http://z.example/"), F.col("s_suppkey"))]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array(*[describe.resolved(x, base) for x in links]).alias("links"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'cust_' || c_custkey ELSE 'p' || c_custkey END AS owner, 'shop.example/x?id=' || c_custkey || '&v=2' AS identity, list_sort(['http://shop.example/x/', 'https://shop.example/x/', 'https://shop.example/x', 'https://shop.example/x/?id=' || c_custkey]) AS variants FROM customer""")
+def q_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("@Cust_"), F.col("c_custkey"))).otherwise("explore")
+    profile = F.concat(F.lit("https://site.example/p"), F.col("c_custkey"), F.lit("/?x=1"))
+    found = describe.owner([F.lit("not a name"), named], profile, ["explore"])
+    shown = F.concat(F.lit("https://www.Shop.example/x/?utm=1&v=2&id="), F.col("c_custkey"), F.lit("#top"))
+    return table(spark, sf_dir, "customer").select("c_custkey", found.alias("owner"), describe.identity_url(shown, ["id", "v"]).alias("identity"), describe.url_variants(F.concat(F.lit("https://shop.example/x/?id="), F.col("c_custkey"))).alias("variants"))
+
+
+@query("SELECT c_custkey, ['one', 'c' || c_custkey, 'two'] AS names, c_name AS brand, c_mktsegment AS kind, '' AS place FROM customer")
+def q_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit(" @One, #c"), F.col("c_custkey"), F.lit(";one\n TWO "))
+    fields = describe.signature_fields(F.concat_ws("|", "c_name", "c_mktsegment"), ["brand", "kind", "place"])
+    return table(spark, sf_dir, "customer").select("c_custkey", describe.listed_names(said).alias("names"), *fields)
