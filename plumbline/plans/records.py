@@ -9,6 +9,7 @@ from plumbline.functions import describe, rules, scores, windows
 from plumbline.operators import rank, retention, reviews, summaries, validity
 from plumbline.plans.offers import AS_OF, OFFERS_SQL, as_of, offers, table
 from plumbline.plans.queries import _drained, _event_stream, query
+from plumbline.sources import landed
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -21,6 +22,30 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+# --- scans ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS INTEGER) AS position, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, round(c_acctbal, 2) AS price, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def q_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers landed as one nested payload a nation, and read back."""
+    item = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.struct(F.round("c_acctbal", 2).alias("value")).alias("price"))
+    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", item.alias("item")))).alias("xs"))
+    joined = rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    bodies = joined.select("n_name", F.to_json(F.struct(F.col("n_regionkey").alias("region"), F.struct(F.transform("xs", lambda x: x["item"]).alias("items")).alias("data"))).alias("body"))
+    schema = "region int, data struct<items:array<struct<id:string,name:string,price:struct<value:double>>>>"
+    return landed.json_rows(bodies, "n_name", "body", schema, "data.items", {"id": "item.id", "title": "item.name", "price": "item.price.value", "region": "root.region"})
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_extract_all(html, '<p>[^<]*</p>') AS xs FROM pages), u AS (SELECT page_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS position FROM b) SELECT page_id, CAST(position AS INTEGER) AS position, regexp_extract(x, '<p>([^ <]*)', 1) AS first, regexp_extract(x, '([^ >]*)</p>', 1) AS last FROM u""")
+def q_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed.cards(table(spark, sf_dir, "pages"), "page_id", "html", "<p>[^<]*</p>", {"first": "<p>([^ <]*)", "last": "([^ >]*)</p>"})
+
+
+@query("SELECT user_id, count(*) AS hits, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, max(value) AS best, min(ts) AS first_at FROM events GROUP BY user_id")
+def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed.candidates(_events(spark, sf_dir), "user_id", "event_type", "value", "ts").withColumn("first_at", F.col("first_at").cast("timestamp_ntz"))
+
+
 # --- reviews and joins ------------------------------------------------------------------------------------------------
 
 

@@ -113,3 +113,23 @@ def source_status(attempts: DataFrame, source: str, status: str) -> DataFrame:
     """Per source: ok if any attempt was, not-found if all were, else error; `keep_previous` where none was ok."""
     found = attempts.groupBy(source).agg(F.bool_or(F.col(status) == "ok").alias("ok"), F.bool_and(F.col(status) == "not-found").alias("none"), F.count(F.lit(1)).alias("attempts"))
     return found.select(source, F.when(F.col("ok"), "ok").when(F.col("none"), "not-found").otherwise("error").alias("status"), "attempts", (~F.col("ok")).alias("keep_previous"))
+
+
+def json_rows(files: DataFrame, key: str, body: str, schema: str, path: str, fields: dict[str, str]) -> DataFrame:
+    """Rows of a nested array in landed JSON payloads: (key, position, fields). `fields` maps names to SQL over `item`, the
+    array's element, and `root`, the whole payload. A payload that does not parse, or has no array there, gives no rows."""
+    read = files.select(key, F.from_json(body, schema).alias("root"))
+    rows = read.select(key, "root", F.posexplode(F.col(f"root.{path}")).alias("position", "item"))
+    return rows.select(key, "position", *[F.expr(e).alias(n) for n, e in fields.items()])
+
+
+def cards(pages: DataFrame, key: str, html: str, block: str, fields: dict[str, str]) -> DataFrame:
+    """Repeated blocks of a page's HTML, by a pattern, with a field for each pattern's first group inside the block: (key,
+    position, fields). A field without a match is empty."""
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(block), F.lit(0))).alias("position", "_block"))
+    return found.select(key, "position", *[F.regexp_extract("_block", p, 1).alias(n) for n, p in fields.items()])
+
+
+def candidates(hits: DataFrame, key: str, source: str, score: str, at: str) -> DataFrame:
+    """What several scans found, one row a key: hits, distinct sources in order, the best score and the first moment."""
+    return hits.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"), F.max(score).alias("best"), F.min(at).alias("first_at"))
