@@ -318,6 +318,28 @@ def test_quality(spark, odd, which):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+@pytest.mark.parametrize("share, least, many, depleted", [(0.05, 20, 1000, 0.3), (0.02, 2, 3, 0.9)])
+def test_quality_verdicts_of_the_table(spark, share, least, many, depleted):
+    """Lines removed and verdicts of a whole table against brute force; with strict limits too, as the usual ones reject little."""
+    docs = [(r["doc_id"], r["source"], r["text"] or "") for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]
+    normal = lambda line: re.sub(r"[0-9]+", "0", " ".join(re.findall(r"[^\x20\x09-\x0D]+", line)).lower())
+    held, of_host = defaultdict(set), defaultdict(set)
+    for _, host, t in docs:
+        whole = " ".join(re.findall(r"[^\x20\x09-\x0D]+", t)).lower()
+        of_host[host].add(whole)
+        for line in t.split("\n"):
+            if normal(line):
+                held[host, normal(line)].add(whole)
+    often = {k for k, texts in held.items() if len(texts) >= least and (len(texts) > share * len(of_host[k[0]]) or len(texts) >= many)}
+    got = {r["doc_id"]: r for r in quality.judge(read(spark, "/root/testdata/sf0.01", "documents"), least, share, depleted, many=many).collect()}
+    for i, host, t in docs:
+        lines = t.split("\n")
+        gone = [at for at, line in enumerate(lines) if (host, normal(line)) in often]
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        left = words - sum(len(re.findall(r"[^\x20\x09-\x0D]+", lines[at])) for at in gone)
+        assert got[i]["removed_lines"] == gone and got[i]["kept"] == (not got[i]["base_failed"] and left >= depleted * words), i
+
+
 def test_quality_lines(spark):
     filler = " ".join(f"w{i}" for i in range(60))
     own = lambda i, k: chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k % 26) * (1 + k // 26)
