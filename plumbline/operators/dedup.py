@@ -51,8 +51,8 @@ def linked_groups(rows: DataFrame, row_id: str, keys: Column) -> DataFrame:
     held = store(rows.select(F.col(row_id).alias("row"), F.explode(keys).alias("key")).where("key is not null and key <> ''"), "group-keys")
     first = store(held.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "group-firsts")
     edges = join_unique(held, first.select("key", "first"), ["key"], first).select(F.col("row").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
-    found = components(edges)
-    return rows.select(row_id).join(found, F.col(row_id) == F.col("id"), "left").select(row_id, F.coalesce("component", row_id).alias("group"))
+    found = components(edges).withColumnRenamed("id", "_found")
+    return rows.select(row_id).join(found, F.col(row_id) == F.col("_found"), "left").select(row_id, F.coalesce("component", row_id).alias("group"))
 
 
 def replace_scopes(old: DataFrame, new: DataFrame, scope: str) -> DataFrame:
