@@ -20,7 +20,7 @@ PAIRS = 1000
 #: Minimum hashes of a sketch, those that two sets must share to be compared (0.8 similar ones share 109 on average, with a
 #: standard deviation of 4), best partners that a document is compared with in a large bucket, and documents of a
 #: fingerprint that are all compared with those of another.
-SLOTS, SHARED_SLOTS, BEST, FEW = 128, 90, 8, 8
+SLOTS, SHARED_SLOTS, BEST, FEW = 128, 90, 2, 8
 #: Multiplier that scatters the bit positions over the codewords (2**64 divided by the golden ratio).
 SCATTER = 0x9E3779B97F4A7C15
 
