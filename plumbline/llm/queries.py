@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, exact_dedup, html_extract, mixing, packing, pii, quality, sharding, simhash, tokens
+from plumbline.llm import centroids, chat_format, exact_dedup, html_extract, mixing, packing, pii, quality, sharding, simhash, tokens, whitening
 from plumbline.llm._common import read
 
 
@@ -98,6 +98,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents")).drop("all_spans")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on their eight principal components. A deviation beyond a long is an error."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings in eight clusters after ten rounds. An inertia beyond a long is an error."""
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ",").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", F.col("cluster_inertia").cast("long").alias("cluster_inertia"), F.col("inertia").cast("long").alias("inertia"), digest.alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -109,5 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_centroids": op12_centroids,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
