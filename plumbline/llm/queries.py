@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import centroids, chat_format, exact_dedup, html_extract, mixing, packing, pii, quality, sharding, simhash, tokens, whitening
+from plumbline.llm import centroids, chat_format, exact_dedup, html_extract, jaccard, mixing, packing, pii, quality, sharding, simhash, tokens, whitening
 from plumbline.llm._common import read
 
 
@@ -110,6 +110,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", F.col("cluster_inertia").cast("long").alias("cluster_inertia"), F.col("inertia").cast("long").alias("inertia"), digest.alias("centroid_sha256"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -123,5 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_whitening": op11_whitening,
     "op12_centroids": op12_centroids,
+    "op13_jaccard": op13_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
