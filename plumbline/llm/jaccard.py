@@ -42,45 +42,48 @@ def _class_of(shingles) -> int | None:
     return xxh3_64_intdigest(shingles.tobytes()) >> 1 if len(shingles) else None
 
 
-def _arrow(docs: DataFrame, key: str, text: str, words: int, rows_of, fields: list[T.StructField], *more: str) -> DataFrame:
-    """mapInArrow over (key, text, *more): rows_of(keys, sets, batch) gives the columns of a batch."""
-    schema = T.StructType(fields)
+def classes_of(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_shingles and class (of documents with equal sets; null without shingles)."""
 
     def batch_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            columns = rows_of(batch, _sets(batch.column(1).to_pylist(), words))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            sets = _sets(batch.column(1).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_class_of, sets), pa.int64())], names=[key, "n_shingles", "class"])
 
-    return docs.select(key, text, *more).mapInArrow(batch_of, schema)
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
+    return docs.select(key, text).mapInArrow(batch_of, schema)
 
 
-def classes_of(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, class (of documents with equal sets; null without shingles) and text_hash, which finds the text again."""
+def least_overlap(n, percent: int):
+    """Shingles that a set of n shares with any set linked to it, at least: percent of the union, which is no smaller."""
+    return -(-n * percent // 100)
 
-    def rows_of(batch, sets) -> list:
-        import pyarrow as pa
 
-        return [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_class_of, sets), pa.int64()), batch.column(2)]
+def _packed(names) -> bytes:
+    """Names of shingles, the upper 48 bits of their hashes, in six bytes each."""
+    import numpy as np
 
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()), T.StructField("text_hash", T.LongType())]
-    return _arrow(docs.withColumn("text_hash", F.xxhash64(text)), key, text, words, rows_of, fields, "text_hash")
+    return np.ascontiguousarray(names.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def least_overlap(n: int, percent: int) -> int:
-    """Shingles that a set of n shares with any set linked to it, at least: percent of the union, which is no smaller."""
-    return -(-n * percent // 100)
+def _unpacked(packed: bytes):
+    import numpy as np
+
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 DEALT = "side int, bucket int, owners binary, shingles binary, counts binary"
 
 
-def _deal(docs: DataFrame, words: int, percent: int, buckets: int, text: str, key: str) -> DataFrame:
-    """The shingles of every class, dealt to buckets by hash, as 32-bit names (which may meet: that only adds candidates).
+def _deal(docs: DataFrame, words: int, buckets: int, text: str) -> DataFrame:
+    """The shingles of every class, dealt to buckets by hash.
 
-    A batch gives a row for each bucket: owners (classes), shingles, and how far the class's window reaches beyond the names
-    it has (`_cells`). Of a shingle that HEAVY classes of the batch or more hold, the bucket gets only a mark (owner -1), and
+    A batch gives a row for each bucket: owners (classes), shingles, and counts (the class's shingles, times 256, and how many
+    of them share another's name). Of a shingle that HEAVY classes of the batch or more hold, the bucket gets only a mark (owner -1), and
     the classes themselves (side 1, by class) are told that they have it.
     """
 
@@ -92,10 +95,10 @@ def _deal(docs: DataFrame, words: int, percent: int, buckets: int, text: str, ke
             found = {c: s for s in _sets(batch.column(0).to_pylist(), words) if (c := _class_of(s)) is not None}
             if not found:
                 continue
-            names = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in found.values()]
+            names = [np.unique(s >> np.uint64(16)) for s in found.values()]
             owners = np.repeat(np.fromiter(found, np.int64), [len(s) for s in names])
-            spare = [len(s) - least_overlap(len(s), percent) + 1 - len(own) for s, own in zip(found.values(), names)]
-            totals = np.repeat(np.asarray(spare, np.int64), [len(s) for s in names])
+            counts = [len(s) * 256 + min(255, len(s) - len(own)) for s, own in zip(found.values(), names)]
+            totals = np.repeat(np.asarray(counts, np.int64), [len(s) for s in names])
             shingles = np.concatenate(names)
             distinct, inverse, n = np.unique(shingles, return_inverse=True, return_counts=True)
             heavy = n[inverse] >= HEAVY
@@ -106,12 +109,12 @@ def _deal(docs: DataFrame, words: int, percent: int, buckets: int, text: str, ke
             ]
             rows: list[list] = [[], [], [], [], []]
             for side, o, s, t, by in parts:
-                at = (s if by is None else by) % buckets
+                at = (s if by is None else by).astype(np.int64) % buckets
                 order = np.argsort(at, kind="stable")
                 cuts = np.searchsorted(at[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[b] : cuts[b + 1]]
-                    for column, value in zip(rows, (side, b, o[own].tobytes(), s[own].tobytes(), t[own].astype(np.int32).tobytes())):
+                    for column, value in zip(rows, (side, b, o[own].tobytes(), _packed(s[own]), t[own].tobytes())):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[2:]]], names=["side", "bucket", "owners", "shingles", "counts"])
 
@@ -125,13 +128,13 @@ def _joined(pdf, column: str, kind: str):
 
 
 def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
-    """What classes share, dealt to buckets by class: owners, shingles, spare windows and numbers of holders (heavy: 2**31 - 1)."""
+    """What classes share, dealt to buckets by class: owners, shingles, counts and numbers of holders (heavy: 2**31 - 1)."""
 
     def count(pdf):
         import numpy as np
         import pandas as pd
 
-        owners, shingles, totals = _joined(pdf, "owners", "<i8"), _joined(pdf, "shingles", "<u4"), _joined(pdf, "counts", "<i4")
+        owners, shingles, totals = _joined(pdf, "owners", "<i8"), _unpacked(b"".join(pdf["shingles"])), _joined(pdf, "counts", "<i8")
         if pdf["side"].iloc[0] == 1:
             holders = np.full(len(owners), 2**31 - 1, np.int32)
         else:
@@ -149,113 +152,100 @@ def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts)).tolist()
-        cut = lambda values: [values[order[cuts[b] : cuts[b + 1]]].tobytes() for b in used]
-        return pd.DataFrame({"bucket": np.asarray(used, np.int32), "owners": cut(owners), "shingles": cut(shingles), "counts": cut(totals), "holders": cut(holders)})
+        cut = lambda values, packed=bytes: [packed(values[order[cuts[b] : cuts[b + 1]]]) for b in used]
+        return pd.DataFrame({"bucket": np.asarray(used, np.int32), "owners": cut(owners), "shingles": cut(shingles, _packed), "counts": cut(totals), "holders": cut(holders)})
 
     return dealt.groupBy("side", "bucket").applyInPandas(count, "bucket int, owners binary, shingles binary, counts binary, holders binary")
 
 
-def _cells(shared: DataFrame) -> DataFrame:
-    """(class, shingle) for the shingles in each class's first few, rarest first.
+def _open_classes(shared: DataFrame, percent: int) -> DataFrame:
+    """(id, n, s, cells) of the classes that may have links: n is the size of the set, s has the shingles that other classes
+    hold too (all that overlaps are made of), cells the first few of these, rarest first.
 
-    The sets {s} of one shingle are the pivots of the first division: a set is nearest to those of its own shingles, and of
-    these the rarest names its cell. A set linked to it lacks few of its shingles, so it lies in the cell of one of the
-    first so many (`least_overlap`), and the set is replicated to those. Shingles that no other class holds come first and
-    need no cell: where they fill the window, a set has no links.
+    The sets {x} of one shingle are the pivots of the first division: a set is nearest to those of its own shingles, and of
+    these the rarest names its cell. A set linked to it lacks few of its shingles (`least_overlap`), so it lies in the cell of
+    one of the first so many, and the set is replicated to those. Shingles that no other class holds come first and need no
+    cell: where they fill the window, a set has no links.
     """
 
     def first(pdf):
         import numpy as np
         import pandas as pd
 
-        owners, shingles, totals, holders = _joined(pdf, "owners", "<i8"), _joined(pdf, "shingles", "<u4"), _joined(pdf, "counts", "<i4"), _joined(pdf, "holders", "<i4")
+        owners, shingles, counts, holders = _joined(pdf, "owners", "<i8"), _unpacked(b"".join(pdf["shingles"])), _joined(pdf, "counts", "<i8"), _joined(pdf, "holders", "<i4")
         # a shingle may be told twice, by its bucket and by a batch: then it is heavy
         order = np.lexsort((-holders.astype(np.int64), shingles, owners))
-        owners, shingles, totals, holders = owners[order], shingles[order], totals[order], holders[order]
+        owners, shingles, counts, holders = owners[order], shingles[order], counts[order], holders[order]
         keep = np.ones(len(owners), bool)
         keep[1:] = (owners[1:] != owners[:-1]) | (shingles[1:] != shingles[:-1])
-        owners, shingles, totals, holders = owners[keep], shingles[keep], totals[keep], holders[keep]
+        owners, shingles, counts, holders = owners[keep], shingles[keep], counts[keep], holders[keep]
         order = np.lexsort((shingles, holders, owners))
-        owners, shingles, totals = owners[order], shingles[order], totals[order]
-        _, at, n = np.unique(owners, return_index=True, return_counts=True)
-        room = np.maximum(totals[at].astype(np.int64) + n, 0)  # what names that no other class has leave of the window
-        rank = np.arange(len(owners)) - np.repeat(at, n)
-        inside = rank < np.repeat(room, n)
-        return pd.DataFrame({"class": owners[inside], "shingle": shingles[inside].astype(np.int64)})
+        owners, shingles, counts = owners[order], shingles[order], counts[order]
+        _, at, held = np.unique(owners, return_index=True, return_counts=True)
+        n, met = counts[at] >> 8, counts[at] & 255
+        room = n - least_overlap(n, percent) + 1 - (n - met - held)  # what shingles of its own leave of the window
+        rows = np.flatnonzero(room > 0).tolist()
+        cut = lambda i, k: shingles[at[i] : at[i] + k]
+        return pd.DataFrame({"id": owners[at[rows]], "n": n[rows], "s": [_packed(cut(i, held[i])) for i in rows], "cells": [cut(i, min(room[i], held[i])).astype(np.int64) for i in rows]})
 
-    return shared.groupBy("bucket").applyInPandas(first, "class long, shingle long")
+    return shared.groupBy("bucket").applyInPandas(first, "id long, n long, s binary, cells array<bigint>")
 
 
-def candidate_regions(docs: DataFrame, stored: DataFrame, words: int, percent: int, text: str, key: str) -> DataFrame:
-    """(id, region) of the classes that share a cell with another: cells with a class in common form one region, so no link
-    leaves a region. Stored."""
-    spark = docs.sparkSession
+def regioned(docs: DataFrame, stored: DataFrame, words: int, percent: int, text: str) -> DataFrame:
+    """(id, region, n, s) of the classes that share a cell with another: cells with a class in common form one region, so no
+    link leaves a region. Stored."""
     total = stored.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES)
-    cells = store(_cells(_shared(_deal(docs, words, percent, buckets, text, key), buckets)), "jaccard-cells")
-    held = cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("first")).where("n > 1")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES)
+    sets = store(_open_classes(_shared(_deal(docs, words, buckets, text), buckets), percent), "jaccard-sets")
+    cells = sets.select("id", F.explode("cells").alias("cell"))
+    held = store(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "jaccard-cells")
     # a cell is a star around its first class: as many links as entries
-    stars = join_unique(cells, held.select("shingle", "first"), ["shingle"], cells.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")))
-    found = store(components(stars.select(F.col("class").alias("a"), F.col("first").alias("b"))), "jaccard-candidates")
+    stars = join_unique(cells, held.where("n > 1").select("cell", "first"), ["cell"], held)
+    found = store(components(stars.select(F.col("id").alias("a"), F.col("first").alias("b"))), "jaccard-candidates")
     least = found.select(F.col("component").alias("id"), "component").distinct()  # the least of a group is not in its rows
-    return store(found.unionByName(least).withColumnRenamed("component", "region"), "jaccard-regions")
+    regions = store(found.unionByName(least), "jaccard-regions").select(F.col("id").alias("_id"), F.col("component").alias("region"))
+    return store(sets.join(regions, F.col("id") == F.col("_id")).select("id", "region", "n", "s"), "jaccard-members")
 
 
-def with_sets(docs: DataFrame, stored: DataFrame, regions: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """(id, region, s): one set of each class that has a region, from the text of one of its documents. Stored."""
-    one = stored.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col(key).alias("key"), F.col("text_hash"))).alias("one"))
-    wanted = store(one.join(regions, F.col("class") == F.col("id")).select(F.col("one.key").alias("_key"), F.col("one.text_hash").alias("_hash"), "class", "region"), "jaccard-wanted")
-    rows = docs.select(key, text).withColumn("_text_hash", F.xxhash64(text))
-    met = rows.join(wanted, (F.col("_text_hash") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_key"))).select(key, text, "class", "region")
-
-    def rows_of(batch, sets) -> list:
-        import pyarrow as pa
+class Overlaps:
+    """Sets one after another, as numbers of a joint vocabulary; `of(i)` has what each shares with set i."""
 
+    def __init__(self, sets: list):
         import numpy as np
 
-        return [batch.column(2), batch.column(3), pa.array([np.ascontiguousarray(s).tobytes() if _class_of(s) == c else None for s, c in zip(sets, batch.column(2).to_pylist())], pa.binary())]
-
-    fields = [T.StructField("id", T.LongType()), T.StructField("region", T.LongType()), T.StructField("s", T.BinaryType())]
-    found = _arrow(met, key, text, words, rows_of, fields, "class", "region").where("s is not null")
-    # a key may have several rows of one text
-    return store(found.groupBy("id", "region").agg(F.first("s").alias("s")), "jaccard-sets")
-
+        held = np.fromiter(map(len, sets), np.int64)
+        self.ends = np.cumsum(held)
+        self.starts = self.ends - held
+        vocabulary, self.numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(vocabulary), np.int32)
 
-def _laid_out(sets: list):
-    """Sets one after another as numbers of a joint vocabulary: (numbers, starts, sizes, vocabulary size)."""
-    import numpy as np
-
-    sizes = np.fromiter(map(len, sets), np.int64)
-    every = np.concatenate(sets)
-    vocabulary, numbers = np.unique(every, return_inverse=True)
-    return numbers, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, len(vocabulary)
-
-
-def _overlaps(numbers, starts, mark, of):
-    import numpy as np
+    def of(self, i: int):
+        import numpy as np
 
-    mark[:] = 0
-    mark[of] = 1
-    return np.add.reduceat(mark[numbers], starts)
+        own = self.numbers[self.starts[i] : self.ends[i]]
+        self.mark[own] = 1
+        shared = np.add.reduceat(self.mark[self.numbers], self.starts)
+        self.mark[own] = 0
+        return shared
 
 
-def links_within(ids, labels, sets: list, percent: int) -> list[tuple]:
-    """Links (a, b) that join what can be joined among these sets: every pair with different labels is compared, unless links
-    found before have joined the two. Distances to the first set leave out pairs that the triangle inequality keeps apart."""
+def links_within(ids, labels, sizes, sets: list, percent: int, few: int | None = None) -> list[tuple]:
+    """Links (a, b) that join what can be joined among these sets (with `few`, pairs of one of the first so many): every pair
+    with different labels is compared, unless links found before have joined the two. `sizes` are those of the whole sets,
+    of which `sets`, none empty, may lack what no other holds. Distances to the first set leave out pairs that the triangle
+    inequality keeps apart."""
     import numpy as np
 
-    numbers, starts, sizes, n_words = _laid_out(sets)
-    mark = np.zeros(n_words, np.int32)
+    overlaps, sizes = Overlaps(sets), np.asarray(sizes, np.int64)
     _, root = np.unique(labels, return_inverse=True)
-    links, last = [], len(ids) - 1
-    pivot = None
-    for i in range(last):
+    links, pivot = [], None
+    for i in range(min(len(ids) - 1, few if few is not None else len(ids))):
         open_ones = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if pivot is not None and open_ones.size:
             open_ones = open_ones[np.abs(pivot[open_ones] - pivot[i]) <= 1 - percent / 100 + 1e-9]
         if not open_ones.size:
             continue
-        shared = _overlaps(numbers, starts, mark, numbers[starts[i] : starts[i] + sizes[i]])
+        shared = overlaps.of(i)
         either = sizes + sizes[i] - shared
         if pivot is None:
             pivot = 1 - shared / either
@@ -275,14 +265,12 @@ def _frame(links: list):
 
 
 def _leaves(members: DataFrame, percent: int, batches: int) -> DataFrame:
-    """Links within regions (region, id, label, s) that each fit a task, many regions to a task."""
+    """Links within regions (region, id, label, n, s) that each fit a task, many regions to a task."""
 
     def join(pdf):
-        import numpy as np
-
         links = []
         for _, own in pdf.groupby("region"):
-            links += links_within(own["id"].to_numpy(), own["label"].to_numpy(), [np.frombuffer(x, np.uint64) for x in own["s"]], percent)
+            links += links_within(own["id"].to_numpy(), own["label"].to_numpy(), own["n"], list(map(_unpacked, own["s"])), percent)
         return _frame(links)
 
     return members.withColumn("_batch", F.pmod(F.xxhash64("region"), F.lit(batches))).groupBy("_batch").applyInPandas(join, "a long, b long")
@@ -292,11 +280,11 @@ def _distances(members: DataFrame, pivots: int, block: int, sizes: DataFrame) ->
     """Of regions larger than a leaf: (region, id, pivots with distances). Pivots are the ids of least hash in as many parts
     of the region; documents go in blocks, to each of which the pivots are sent."""
     salt = F.pmod(F.xxhash64("id", F.lit(1), "region"), F.lit(pivots))
-    chosen = store(members.groupBy("region", salt.alias("_salt")).agg(F.min_by(F.struct("id", "s"), F.xxhash64("id", F.lit(2))).alias("p")), "jaccard-pivots")
+    chosen = store(members.groupBy("region", salt.alias("_salt")).agg(F.min_by(F.struct("id", "n", "s"), F.xxhash64("id", F.lit(2))).alias("p")), "jaccard-pivots")
     blocks = sizes.select("region", F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
     own = join_unique(members, blocks, ["region"], sizes).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_blocks")).cast("int"))
-    sent = chosen.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("p.id").alias("id"), F.col("p.s").alias("s"))
-    both = own.select("region", "_block", "id", "s", F.lit(False).alias("is_pivot")).unionByName(sent.withColumn("is_pivot", F.lit(True)))
+    sent = chosen.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "p.id", "p.n", "p.s")
+    both = own.select("region", "_block", "id", "n", "s", F.lit(False).alias("is_pivot")).unionByName(sent.withColumn("is_pivot", F.lit(True)))
 
     def measure(pdf):
         import numpy as np
@@ -307,13 +295,11 @@ def _distances(members: DataFrame, pivots: int, block: int, sizes: DataFrame) ->
         rows = pdf[~pdf["is_pivot"]]
         if not len(rows):
             return pd.DataFrame({"region": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
-        sets = [np.frombuffer(x, np.uint64) for x in rows["s"]]
-        numbers, starts, sizes_, _ = _laid_out([*sets, *[np.frombuffer(x, np.uint64) for x in at["s"]]])
-        mark = np.zeros(int(numbers.max()) + 1, np.int32)
+        overlaps, sizes_ = Overlaps([*map(_unpacked, rows["s"]), *map(_unpacked, at["s"])]), np.concatenate([rows["n"], at["n"]])
         columns = []
-        for k in range(len(sets), len(sets) + len(at)):
-            shared = _overlaps(numbers, starts, mark, numbers[starts[k] : starts[k] + sizes_[k]])
-            columns.append((1 - shared / (sizes_ + sizes_[k] - shared))[: len(sets)])
+        for k in range(len(rows), len(rows) + len(at)):
+            shared = overlaps.of(k)
+            columns.append((1 - shared / (sizes_ + sizes_[k] - shared))[: len(rows)])
         table = np.stack(columns, 1)
         ids = at["id"].tolist()
         near = [[{"pivot": p, "d": float(d)} for p, d in zip(ids, line)] for line in table]
@@ -323,7 +309,7 @@ def _distances(members: DataFrame, pivots: int, block: int, sizes: DataFrame) ->
 
 
 def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUMENTS, leaf_shingles: int = LEAF_SHINGLES, pivots: int = PIVOTS, block: int = BLOCK, most_levels: int = 12) -> DataFrame:
-    """Links (a, b) between sets (id, region, s) of one region, with the components of all pairs that share at least `percent`
+    """Links (a, b) between sets (id, region, n, s) of one region, with the components of all pairs that share at least `percent`
     of their union. Every link is such a pair.
 
     Regions that fit a leaf are joined there. Larger ones are divided: the distances to their pivots link what is that near to
@@ -337,7 +323,7 @@ def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUME
     found: list[DataFrame] = []
     members = members.withColumn("label", F.col("id"))
     for _ in range(most_levels):
-        sizes = store(members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("s") / 8).cast("long").alias("shingles"), F.count_distinct("label").alias("labels")), "jaccard-sizes")
+        sizes = store(members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("s") / 6).cast("long").alias("shingles"), F.count_distinct("label").alias("labels")), "jaccard-sizes")
         is_leaf = (F.col("n") <= leaf) & (F.col("shingles") <= leaf_shingles) | (F.col("n") <= 2)
         leaves = sizes.where((F.col("labels") > 1) & is_leaf)
         total = leaves.agg(F.sum("shingles")).first()[0] or 0
@@ -352,7 +338,7 @@ def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUME
         flat = near.select("region", "id", F.explode("near").alias("p")).select("region", "id", "p.pivot", "p.d")
         found.append(store(flat.where((F.col("d") <= theta) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-pivot-links"))
         joined = store(components(_union(found)), "jaccard-labels")
-        named = store(large.drop("label").join(joined.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("region", "id", "s", F.coalesce("component", "id").alias("label")), "jaccard-named")
+        named = store(large.drop("label").join(joined.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("region", "id", "n", "s", F.coalesce("component", "id").alias("label")), "jaccard-named")
         open_ones = named.groupBy("region").agg(F.count_distinct("label").alias("left")).where("left > 1").select("region")
         big = store(big.join(open_ones, "region", "left_semi"), "jaccard-open")
         if big.isEmpty():
@@ -372,7 +358,7 @@ def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUME
         if parted.where("parts_well").isEmpty():
             break
         moved = into.join(parted.where("parts_well").select(F.col("region").alias("_r")), F.col("region") == F.col("_r")).select("region", "id", "part")
-        members = store(moved.join(named, ["region", "id"]).select(F.col("part").alias("region"), "id", "s", "label"), "jaccard-members")
+        members = store(moved.join(named, ["region", "id"]).select(F.col("part").alias("region"), "id", "n", "s", "label"), "jaccard-parts")
     else:
         raise RuntimeError(f"regions did not become small in {most_levels} levels")
     return _union(found) if found else members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
@@ -393,30 +379,17 @@ def _block_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     facts = main.select("region", "main", F.ceil(F.col("all") / block).cast("int").alias("_all"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("_few"))
     dealt = join_unique(members, facts, ["region"], main.select("region", F.col("all").alias("n")))
     draw = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.col(n), F.lit(1))).cast("int")
-    few = dealt.where("label <> main").select("region", "id", "label", "s", draw(4, "_few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"), F.lit(True).alias("side"))
-    all_ = dealt.where("_few > 0").select("region", "id", "label", "s", F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("i"), draw(5, "_all").alias("j"), F.lit(False).alias("side"))
+    few = dealt.where("label <> main").select("region", "id", "label", "n", "s", draw(4, "_few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"), F.lit(True).alias("side"))
+    all_ = dealt.where("_few > 0").select("region", "id", "label", "n", "s", F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("i"), draw(5, "_all").alias("j"), F.lit(False).alias("side"))
 
     def compare(pdf):
-        import numpy as np
+        import pandas as pd
 
         few, rest = pdf[pdf["side"]], pdf[~pdf["side"]]
         if not len(few) or not len(rest):
             return _frame([])
-        sets = [np.frombuffer(x, np.uint64) for x in [*few["s"], *rest["s"]]]
-        numbers, starts, sizes, n_words = _laid_out(sets)
-        mark = np.zeros(n_words, np.int32)
-        ids, labels = np.concatenate([few["id"], rest["id"]]), np.concatenate([few["label"], rest["label"]])
-        _, root = np.unique(labels, return_inverse=True)
-        links = []
-        for i in range(len(few)):
-            if (root == root[i]).all():
-                continue
-            shared = _overlaps(numbers, starts, mark, numbers[starts[i] : starts[i] + sizes[i]])
-            for j in np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (root != root[i])).tolist():
-                if root[j] != root[i]:
-                    links.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
-        return _frame(links)
+        both = pd.concat([few, rest])
+        return _frame(links_within(both["id"].to_numpy(), both["label"].to_numpy(), both["n"], list(map(_unpacked, both["s"])), percent, few=len(few)))
 
     return few.unionByName(all_).groupBy("region", "i", "j").applyInPandas(compare, "a long, b long")
 
@@ -430,11 +403,11 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, text: str
     keep a row each. A null key is carried, but never names a component unless it is alone in it (component_id null then).
     No rows give no rows; other columns are not read.
 
-    Equal sets form a class first, and classes are joined (candidate_regions, jaccard_links). Shingles are 64-bit hashes.
+    Equal sets form a class first, and classes are joined (regioned, jaccard_links). Shingles are
+    counted by 64-bit hashes and compared by 48 bits of them.
     """
     stored = store(classes_of(docs, words, text, key), "jaccard-classes")
-    regions = candidate_regions(docs, stored, words, percent, text, key)
-    found = components(jaccard_links(with_sets(docs, stored, regions, words, text, key), percent, leaf, leaf_shingles, pivots, block))
+    found = components(jaccard_links(regioned(docs, stored, words, percent, text), percent, leaf, leaf_shingles, pivots, block))
     classes = store(stored.where("class is not null").groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "jaccard-reps")
     named = store(classes.join(found, F.col("class") == F.col("id"), "left").select("class", "rep", F.coalesce("component", "class").alias("component")), "jaccard-components")
     least = store(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "jaccard-least")
