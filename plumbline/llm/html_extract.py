@@ -19,15 +19,21 @@ RAW = frozenset("script style noscript template iframe svg textarea title object
 #: Elements that are never part of an article.
 SKIPPED = frozenset("head nav header footer aside form button select menu dialog input label fieldset".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that name what is not the article.
-SKIPPED_WORDS = frozenset(
+#: Words in a class or id that name what is not the article, if the element holds little of the page (DOUBTS).
+DOUBTED_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments reply replies respond disqus discussion share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar skip search form".split()
 )
 #: Parts that name the same wherever they stand in a class or id.
-SKIPPED_PARTS = re.compile("comment|cookie|advert|sidebar|newsletter|sponsor|breadcrumb|disqus|navbar|popup|footer|masthead")
+DOUBTED_PARTS = re.compile("comment|cookie|advert|sidebar|newsletter|sponsor|breadcrumb|disqus|navbar|popup|footer|masthead")
+#: Words beside those in one name that leave its sense as it is, and names that speak for an article.
+NEUTRAL_WORDS = frozenset("list lists item items wrapper wrap box bar area section container block blocks inner outer left right top bottom site page post posts main content body text thread group row col column global primary secondary links icons buttons unit slot zone".split())
+ARTICLE_WORDS = frozenset("article articles entry story content post main text body single blog".split())
 COMMENT_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related".split())
+#: How much of its own text the rest of the page must have for a doubted element to go: one whose name says nothing else, and
+#: one whose name may mean something else ("with-sidebar", "entry promo").
+PLAIN, VAGUE = 0.3, 1.5
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td blockquote center details".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,9 +59,9 @@ def label_hash(above: int, label: str) -> int:
 class Node:
     """An open element. What it needs of those around it is handed down, so that depth costs nothing."""
 
-    __slots__ = ("tag", "parent", "skipped", "inside", "link", "path", "container", "article", "stop", "place")
+    __slots__ = ("tag", "parent", "skipped", "inside", "link", "path", "container", "article", "stop", "place", "doubted", "doubt", "weight", "holds_article", "gone")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool):
+    def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool, doubt: float = 0.0):
         self.tag, self.parent = tag, parent
         self.skipped = skipped or bool(parent and parent.skipped)
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
@@ -67,17 +73,38 @@ class Node:
         self.article: Node | None = around if around and around.tag == "article" else self if tag == "article" else around or (self if tag == "main" else None)
         self.stop: Node | None = self if tag in STOPS else parent and parent.stop
         self.place = -1
+        # the nearest doubted element, this one or one around it; its own text, and whether an article stands in it
+        self.doubt = doubt
+        self.doubted: Node | None = self if doubt else parent and parent.doubted
+        self.weight, self.holds_article, self.gone = 0, False, False
+
+
+def doubt_of(tag: str, names: list[str], inside: bool) -> float:
+    """0 where no name of an element speaks against it, else PLAIN or VAGUE."""
+    words = COMMENT_WORDS if tag == "article" else DOUBTED_WORDS
+    found, speaks_for = 0.0, False
+    for name in names:
+        parts = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
+        against = [w for w in parts if w in words or tag != "article" and DOUBTED_PARTS.search(w)]
+        if against == ["header"] and (inside or any(w in ARTICLE_WORDS for w in parts)):
+            continue  # it holds the title
+        if against:
+            found = max(found, VAGUE if any(w not in NEUTRAL_WORDS and w not in against for w in parts) else PLAIN)
+        else:
+            speaks_for |= any(w in ARTICLE_WORDS for w in parts)
+    return VAGUE if found and speaks_for else found
 
 
 def _opened(tag: str, attributes: str, parent: Node | None) -> Node:
-    classes, words, skipped = "", set(), tag in SKIPPED
+    classes, names, skipped = "", [], tag in SKIPPED
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+            value = given.lower()
             if name == "class":
                 classes = ".".join(sorted({re.sub(r"\d+", "0", c) for c in value.split()}))
             if name in ("class", "id"):
-                words.update(re.split(r"[^a-z]+", value))
+                names += given.split()
             elif name == "role":
                 skipped |= value in SKIPPED_ROLES
             elif name == "style":
@@ -87,38 +114,72 @@ def _opened(tag: str, attributes: str, parent: Node | None) -> Node:
     inside = bool(parent and parent.inside)
     if inside and tag == "header":
         skipped = False
-    if tag not in ("html", "body", "main"):
-        named = words & (COMMENT_WORDS if tag == "article" else SKIPPED_WORDS)
-        skipped |= bool(named - ({"header"} if inside else set())) or tag != "article" and any(map(SKIPPED_PARTS.search, words))
-    return Node(tag, f"{tag}.{classes}" if classes else tag, parent, skipped)
+    doubt = doubt_of(tag, names, inside) if names and tag not in ("html", "body", "main") else 0.0
+    return Node(tag, f"{tag}.{classes}" if classes else tag, parent, skipped, doubt)
+
+
+def settle_doubts(doubted: list[Node], total: int) -> None:
+    """Decide which doubted elements go, plain names first, from that with the least text on: one goes if what stays of the page outside it has
+    enough text beside its own. So what holds most of a page stays, whatever it is called; so does one around an article or
+    main element that is not doubted itself. `weight` is the text that stands in it and in no other doubted element."""
+    up = lambda n: n.parent and n.parent.doubted
+    place = {id(n): i for i, n in enumerate(doubted)}
+    text, last = [n.weight for n in doubted], list(range(len(doubted)))
+    for i in range(len(doubted) - 1, -1, -1):  # outer ones come first
+        if (above := up(doubted[i])) is not None:
+            at = place[id(above)]
+            text[at], last[at] = text[at] + text[i], max(last[at], last[i])
+            above.holds_article |= doubted[i].holds_article
+    removed = [0] * (len(doubted) + 1)  # sums over ranges of places, each within the reach of its lowest bit
+
+    def removed_up_to(i: int) -> int:
+        found = 0
+        while i:
+            found, i = found + removed[i], i & (i - 1)
+        return found
+
+    for doubt in (PLAIN, VAGUE):
+        for _, behind in sorted((t, -i) for i, t in enumerate(text) if doubted[i].doubt == doubt and not doubted[i].gone):
+            i = -behind
+            n, own = doubted[i], text[i] - removed_up_to(last[i] + 1) + removed_up_to(i)
+            if not n.holds_article and total - own >= doubt * own:
+                n.gone = True
+                total -= own
+                at = i + 1
+                while own and at <= len(doubted):
+                    removed[at] += own
+                    at += at & -at
+        for n in doubted:
+            above = up(n)
+            n.gone |= above is not None and above.gone
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """The shown blocks of a page in order: (innermost element, text with single spaces, characters inside links). In time
-    linear in the page, however deep its elements."""
+    linear in the page (but for the sorting of its doubted elements), however deep its elements."""
     opened_tags: dict[str, int] = {}
-    found: list[tuple[Node, str, int]] = []
+    pieces: list[list[tuple[str, Node]]] = []
+    doubted: list[Node] = []
     node: Node | None = Node("html", "html", None, False)
     node = body = Node("body", "body", node, False)
-    text: list[str] = []
-    owner, linked, at, n = None, 0, 0, len(page)
+    text: list[tuple[str, Node]] = []
+    total, at, n = 0, 0, len(page)
 
     def flush() -> None:
-        nonlocal text, owner, linked
+        nonlocal text
         if text:
-            whole = " ".join(html.unescape("".join(text)).split())
-            if whole:
-                found.append((owner, whole, linked))
-        text, owner, linked = [], None, 0
+            pieces.append(text)
+            text = []
 
     def shown(raw: str) -> None:
-        nonlocal owner, linked
+        nonlocal total
         if node.skipped or not raw:
             return
-        text.append(raw)
-        if owner is None and not raw.isspace():
-            owner = node
-        linked += len(raw) * node.link
+        text.append((raw, node))
+        if not raw.isspace():
+            total += len(raw)
+            if node.doubted is not None:
+                node.doubted.weight += len(raw)
 
     while at < n:
         m = MARKUP.search(page, at)
@@ -163,7 +224,21 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
             elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
                 node = opened
                 opened_tags[tag] = opened_tags.get(tag, 0) + 1
+                if opened.doubt:
+                    doubted.append(opened)
+                elif tag in ("article", "main") and opened.doubted is not None:
+                    opened.doubted.holds_article = True
+                elif tag == "h1" and opened.doubted is not None:
+                    opened.doubted.doubt = VAGUE
     flush()
+    settle_doubts(doubted, total)
+    found: list[tuple[Node, str, int]] = []
+    for block in pieces:
+        kept = [(raw, x) for raw, x in block if x.doubted is None or not x.doubted.gone]
+        whole = " ".join(html.unescape("".join(raw for raw, _ in kept)).split())
+        if whole:
+            owner = next(x for raw, x in kept if not raw.isspace())
+            found.append((owner, whole, sum(len(raw) for raw, x in kept if x.link)))
     return found
 
 

@@ -239,6 +239,36 @@ def test_html_extract_of_the_table(spark):
         assert r["text"] == "\n".join(w for w in want if w)
 
 
+NAMES = ["content", "content with-sidebar", "post comments-open", "has-cookie-bar main", "content share-enabled", "ad-free", "entry promo", "article-form", "post related-topic", "promo", "sidebar", "widget-area"]
+FURNITURE = """<div class="comments-list"><div class="comment"><p>first reader says this</p></div><div class="comment"><p>another says that</p></div></div><div id="cookie-banner">we use cookies</div><div class="sidebar-left widget">side</div>"""
+
+
+def test_html_extract_whatever_containers_are_called(spark):
+    """Every page of the table, its article in containers of other names, inside wrappers, with furniture around: the text stays."""
+    pages = read(spark, SF, "pages").collect()
+    rows, number = [], 0
+    ways = [lambda h, n=n: h.replace("<article>", f'<div class="{n}">').replace("</article>", "</div>") for n in NAMES]
+    ways += [lambda h, n=n: h.replace("<article>", f'<div class="{n}"><main><article>').replace("</article>", "</article></main></div>") for n in ("wrap has-sidebar", "site comments-open", "newsletter")]
+    ways += [lambda h: h.replace("<article>", '<article class="post ad-supported">'), lambda h: h.replace("<body>", '<body><div id="page" class="with-banner">').replace("</body>", "</div></body>")]
+    for p in pages:
+        rows.append((p["page_id"], -1, p["html"]))
+        for w, way in enumerate(ways):
+            made = way(p["html"])
+            rows += [(p["page_id"], w, made), (p["page_id"], w, made.replace("<footer>", FURNITURE + "<footer>"))]
+    df = spark.createDataFrame([(i, f"http://h{i}.example/", h) for i, (_, _, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    plain = {k: got[i] for i, (k, w, _) in enumerate(rows) if w < 0}
+    wrong = [(k, w) for i, (k, w, _) in enumerate(rows) if got[i] != plain[k]]
+    assert all(plain.values()) and not wrong, Counter(w for _, w in wrong)
+
+
+def test_html_extract_of_nested_doubts(spark):
+    deep = "<p>the article is here and long enough</p>" + '<div class="ad">x' * 20_000
+    got = html_extract.extract(spark.createDataFrame([(1, "http://a.example", "<article><p>a b</p></article>" + deep), (2, "http://b.example", '<div class="ad">only this</div>'), (3, "http://c.example", '<div class="promo"><p>one two three four</p><div class="comments">no</div></div>')], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.where("page_id > 1").collect()} == {2: "only this", 3: "one two three four"}
+    assert "x" not in got.where("page_id = 1").first()["text"].replace("text", "")
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
