@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ HEAVY = 32
 SPREAD = 3
 
 
-def _sets(texts: list, words: int) -> list:
+def shingle_sets(texts: list, words: int) -> list:
     """The sorted distinct 64-bit hashes of each text's shingles."""
     import numpy as np
     from xxhash import xxh3_64_intdigest
@@ -35,7 +35,7 @@ def _sets(texts: list, words: int) -> list:
     return out
 
 
-def _class_of(shingles) -> int | None:
+def class_of(shingles) -> int | None:
     """The name of a set: 63 bits of the hash of its hashes; None without shingles."""
     from xxhash import xxh3_64_intdigest
 
@@ -49,8 +49,8 @@ def classes_of(docs: DataFrame, words: int = 4, text: str = "text", key: str = "
         import pyarrow as pa
 
         for batch in batches:
-            sets = _sets(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_class_of, sets), pa.int64())], names=[key, "n_shingles", "class"])
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(class_of, sets), pa.int64())], names=[key, "n_shingles", "class"])
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
     return docs.select(key, text).mapInArrow(batch_of, schema)
@@ -92,7 +92,7 @@ def _deal(docs: DataFrame, words: int, buckets: int, text: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = {c: s for s in _sets(batch.column(0).to_pylist(), words) if (c := _class_of(s)) is not None}
+            found = {c: s for s in shingle_sets(batch.column(0).to_pylist(), words) if (c := class_of(s)) is not None}
             if not found:
                 continue
             names = [np.unique(s >> np.uint64(16)) for s in found.values()]
@@ -158,7 +158,7 @@ def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("side", "bucket").applyInPandas(count, "bucket int, owners binary, shingles binary, counts binary, holders binary")
 
 
-def _open_classes(shared: DataFrame, percent: int) -> DataFrame:
+def open_classes(shared: DataFrame, percent: int) -> DataFrame:
     """(id, n, s, cells) of the classes that may have links: n is the size of the set, s has the shingles that other classes
     hold too (all that overlaps are made of), cells the first few of these, rarest first.
 
@@ -186,25 +186,31 @@ def _open_classes(shared: DataFrame, percent: int) -> DataFrame:
         room = n - least_overlap(n, percent) + 1 - (n - met - held)  # what shingles of its own leave of the window
         rows = np.flatnonzero(room > 0).tolist()
         cut = lambda i, k: shingles[at[i] : at[i] + k]
-        return pd.DataFrame({"id": owners[at[rows]], "n": n[rows], "s": [_packed(cut(i, held[i])) for i in rows], "cells": [cut(i, min(room[i], held[i])).astype(np.int64) for i in rows]})
+        return pd.DataFrame({"id": owners[at[rows]], "n": n[rows], "s": pd.Series([_packed(cut(i, held[i])) for i in rows], dtype=object), "cells": pd.Series([cut(i, min(room[i], held[i])).astype(np.int64) for i in rows], dtype=object)})
 
     return shared.groupBy("bucket").applyInPandas(first, "id long, n long, s binary, cells array<bigint>")
 
 
-def regioned(docs: DataFrame, stored: DataFrame, words: int, percent: int, text: str) -> DataFrame:
-    """(id, region, n, s) of the classes that share a cell with another: cells with a class in common form one region, so no
-    link leaves a region. Stored."""
+def regioned(docs: DataFrame, stored: DataFrame, words: int, percent: int, text: str, areas: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, region, n, s, fp) of the classes that share a cell with another: cells with a class in common form one region, so
+    no link leaves a region. `areas` may give, for the ids of the classes that can have links, (id, fp, area): then
+    cells hold only classes of one area. Stored."""
     total = stored.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES)
-    sets = store(_open_classes(_shared(_deal(docs, words, buckets, text), buckets), percent), "jaccard-sets")
-    cells = sets.select("id", F.explode("cells").alias("cell"))
+    sets = store(open_classes(_shared(_deal(docs, words, buckets, text), buckets), percent), "jaccard-sets")
+    if areas:
+        placed = areas(sets.select("id")).withColumnRenamed("id", "_id")
+        sets = store(sets.join(placed, F.col("id") == F.col("_id")).drop("_id"), "jaccard-placed")
+    else:
+        sets = sets.withColumns({"fp": F.lit(0).cast("long"), "area": F.lit(0)})
+    cells = sets.select("id", "area", F.explode("cells").alias("cell")).select("id", F.xxhash64("area", "cell").alias("cell"))
     held = store(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")), "jaccard-cells")
     # a cell is a star around its first class: as many links as entries
     stars = join_unique(cells, held.where("n > 1").select("cell", "first"), ["cell"], held)
     found = store(components(stars.select(F.col("id").alias("a"), F.col("first").alias("b"))), "jaccard-candidates")
     least = found.select(F.col("component").alias("id"), "component").distinct()  # the least of a group is not in its rows
     regions = store(found.unionByName(least), "jaccard-regions").select(F.col("id").alias("_id"), F.col("component").alias("region"))
-    return store(sets.join(regions, F.col("id") == F.col("_id")).select("id", "region", "n", "s"), "jaccard-members")
+    return store(sets.join(regions, F.col("id") == F.col("_id")).select("id", "region", "n", "s", "fp"), "jaccard-members")
 
 
 class Overlaps:
@@ -229,18 +235,27 @@ class Overlaps:
         return shared
 
 
-def links_within(ids, labels, sizes, sets: list, percent: int, few: int | None = None) -> list[tuple]:
+def _near(prints, i: int, radius: int):
+    import numpy as np
+
+    return np.bitwise_count(prints ^ prints[i]) <= radius
+
+
+def links_within(ids, labels, sizes, sets: list, percent: int, few: int | None = None, prints=None, radius: int = 64) -> list[tuple]:
     """Links (a, b) that join what can be joined among these sets (with `few`, pairs of one of the first so many): every pair
     with different labels is compared, unless links found before have joined the two. `sizes` are those of the whole sets,
     of which `sets`, none empty, may lack what no other holds. Distances to the first set leave out pairs that the triangle
-    inequality keeps apart."""
+    inequality keeps apart. With `prints`, the fingerprints of a pair differ in at most `radius` bits too."""
     import numpy as np
 
     overlaps, sizes = Overlaps(sets), np.asarray(sizes, np.int64)
     _, root = np.unique(labels, return_inverse=True)
     links, pivot = [], None
     for i in range(min(len(ids) - 1, few if few is not None else len(ids))):
-        open_ones = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        apart = root != root[i]
+        if radius < 64:
+            apart &= _near(prints, i, radius)
+        open_ones = np.flatnonzero(apart[i + 1 :]) + i + 1
         if pivot is not None and open_ones.size:
             open_ones = open_ones[np.abs(pivot[open_ones] - pivot[i]) <= 1 - percent / 100 + 1e-9]
         if not open_ones.size:
@@ -264,27 +279,29 @@ def _frame(links: list):
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _leaves(members: DataFrame, percent: int, batches: int) -> DataFrame:
-    """Links within regions (region, id, label, n, s) that each fit a task, many regions to a task."""
+def _leaves(members: DataFrame, percent: int, radius: int, batches: int) -> DataFrame:
+    """Links within regions (region, id, label, n, s, fp) that each fit a task, many regions to a task."""
 
     def join(pdf):
+        import numpy as np
+
         links = []
         for _, own in pdf.groupby("region"):
-            links += links_within(own["id"].to_numpy(), own["label"].to_numpy(), own["n"], list(map(_unpacked, own["s"])), percent)
+            links += links_within(own["id"].to_numpy(), own["label"].to_numpy(), own["n"], list(map(_unpacked, own["s"])), percent, None, own["fp"].to_numpy().view(np.uint64), radius)
         return _frame(links)
 
     return members.withColumn("_batch", F.pmod(F.xxhash64("region"), F.lit(batches))).groupBy("_batch").applyInPandas(join, "a long, b long")
 
 
-def _distances(members: DataFrame, pivots: int, block: int, sizes: DataFrame) -> DataFrame:
+def _distances(members: DataFrame, pivots: int, block: int, sizes: DataFrame, radius: int) -> DataFrame:
     """Of regions larger than a leaf: (region, id, pivots with distances). Pivots are the ids of least hash in as many parts
     of the region; documents go in blocks, to each of which the pivots are sent."""
     salt = F.pmod(F.xxhash64("id", F.lit(1), "region"), F.lit(pivots))
-    chosen = store(members.groupBy("region", salt.alias("_salt")).agg(F.min_by(F.struct("id", "n", "s"), F.xxhash64("id", F.lit(2))).alias("p")), "jaccard-pivots")
+    chosen = store(members.groupBy("region", salt.alias("_salt")).agg(F.min_by(F.struct("id", "n", "s", "fp"), F.xxhash64("id", F.lit(2))).alias("p")), "jaccard-pivots")
     blocks = sizes.select("region", F.ceil(F.col("n") / block).cast("int").alias("_blocks"))
     own = join_unique(members, blocks, ["region"], sizes).withColumn("_block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_blocks")).cast("int"))
-    sent = chosen.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "p.id", "p.n", "p.s")
-    both = own.select("region", "_block", "id", "n", "s", F.lit(False).alias("is_pivot")).unionByName(sent.withColumn("is_pivot", F.lit(True)))
+    sent = chosen.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "p.id", "p.n", "p.s", "p.fp")
+    both = own.select("region", "_block", "id", "n", "s", "fp", F.lit(False).alias("is_pivot")).unionByName(sent.withColumn("is_pivot", F.lit(True)))
 
     def measure(pdf):
         import numpy as np
@@ -302,15 +319,16 @@ def _distances(members: DataFrame, pivots: int, block: int, sizes: DataFrame) ->
             columns.append((1 - shared / (sizes_ + sizes_[k] - shared))[: len(rows)])
         table = np.stack(columns, 1)
         ids = at["id"].tolist()
-        near = [[{"pivot": p, "d": float(d)} for p, d in zip(ids, line)] for line in table]
+        apart = np.stack([np.bitwise_count(rows["fp"].to_numpy().view(np.uint64) ^ p) > radius for p in at["fp"].to_numpy().view(np.uint64)], 1)
+        near = [[{"pivot": p, "d": float(d), "apart": bool(a)} for p, d, a in zip(ids, line, far)] for line, far in zip(table, apart)]
         return pd.DataFrame({"region": rows["region"], "id": rows["id"], "near": near})
 
-    return both.groupBy("region", "_block").applyInPandas(measure, "region long, id long, near array<struct<pivot:long,d:double>>")
+    return both.groupBy("region", "_block").applyInPandas(measure, "region long, id long, near array<struct<pivot:long,d:double,apart:boolean>>")
 
 
-def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUMENTS, leaf_shingles: int = LEAF_SHINGLES, pivots: int = PIVOTS, block: int = BLOCK, most_levels: int = 12) -> DataFrame:
-    """Links (a, b) between sets (id, region, n, s) of one region, with the components of all pairs that share at least `percent`
-    of their union. Every link is such a pair.
+def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUMENTS, leaf_shingles: int = LEAF_SHINGLES, pivots: int = PIVOTS, block: int = BLOCK, most_levels: int = 12, radius: int = 64) -> DataFrame:
+    """Links (a, b) between sets (id, region, n, s, fp) of one region, with the components of all pairs that share at least `percent`
+    of their union. Every link is such a pair. With a `radius` below 64, fingerprints of a pair must be that near too.
 
     Regions that fit a leaf are joined there. Larger ones are divided: the distances to their pivots link what is that near to
     one; what that joins is one label. A region with one label is done. Others fall into the Voronoi regions of their
@@ -329,16 +347,16 @@ def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUME
         total = leaves.agg(F.sum("shingles")).first()[0] or 0
         if total:
             small = join_unique(members, leaves.select("region"), ["region"], sizes)
-            found.append(store(_leaves(small, percent, max(1, total // leaf_shingles, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "jaccard-leaf-links"))
+            found.append(store(_leaves(small, percent, radius, max(1, total // leaf_shingles, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "jaccard-leaf-links"))
         big = store(sizes.where((F.col("labels") > 1) & ~is_leaf), "jaccard-big")
         if big.isEmpty():
             break
         large = store(join_unique(members, big.select("region"), ["region"], sizes), "jaccard-large")
-        near = store(_distances(large, pivots, block, big), "jaccard-near")
-        flat = near.select("region", "id", F.explode("near").alias("p")).select("region", "id", "p.pivot", "p.d")
-        found.append(store(flat.where((F.col("d") <= theta) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-pivot-links"))
+        near = store(_distances(large, pivots, block, big, radius), "jaccard-near")
+        flat = near.select("region", "id", F.explode("near").alias("p")).select("region", "id", "p.pivot", "p.d", "p.apart")
+        found.append(store(flat.where((F.col("d") <= theta) & ~F.col("apart") & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-pivot-links"))
         joined = store(components(_union(found)), "jaccard-labels")
-        named = store(large.drop("label").join(joined.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("region", "id", "n", "s", F.coalesce("component", "id").alias("label")), "jaccard-named")
+        named = store(large.drop("label").join(joined.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("region", "id", "n", "s", "fp", F.coalesce("component", "id").alias("label")), "jaccard-named")
         open_ones = named.groupBy("region").agg(F.count_distinct("label").alias("left")).where("left > 1").select("region")
         big = store(big.join(open_ones, "region", "left_semi"), "jaccard-open")
         if big.isEmpty():
@@ -354,11 +372,11 @@ def jaccard_links(members: DataFrame, percent: int = 85, leaf: int = LEAF_DOCUME
         parted = store(big.join(spread, "region").join(held, "region").select("region", "n", ((F.col("m") <= SPREAD * F.col("n")) & (F.col("most") <= 0.75 * F.col("n"))).alias("parts_well")), "jaccard-parted")
         dense = join_unique(named, parted.where(~F.col("parts_well")).select("region"), ["region"], big)
         if not parted.where(~F.col("parts_well")).isEmpty():
-            found.append(store(_block_links(store(dense, "jaccard-dense"), percent, block), "jaccard-block-links"))
+            found.append(store(_block_links(store(dense, "jaccard-dense"), percent, block, radius), "jaccard-block-links"))
         if parted.where("parts_well").isEmpty():
             break
         moved = into.join(parted.where("parts_well").select(F.col("region").alias("_r")), F.col("region") == F.col("_r")).select("region", "id", "part")
-        members = store(moved.join(named, ["region", "id"]).select(F.col("part").alias("region"), "id", "n", "s", "label"), "jaccard-parts")
+        members = store(moved.join(named, ["region", "id"]).select(F.col("part").alias("region"), "id", "n", "s", "fp", "label"), "jaccard-parts")
     else:
         raise RuntimeError(f"regions did not become small in {most_levels} levels")
     return _union(found) if found else members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
@@ -371,7 +389,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _block_links(members: DataFrame, percent: int, block: int) -> DataFrame:
+def _block_links(members: DataFrame, percent: int, block: int, radius: int) -> DataFrame:
     """Links between the documents outside a region's largest label and all others of the region: both sides are dealt to
     blocks, and each pair of blocks is one task's work."""
     counts = members.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -379,17 +397,18 @@ def _block_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     facts = main.select("region", "main", F.ceil(F.col("all") / block).cast("int").alias("_all"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("_few"))
     dealt = join_unique(members, facts, ["region"], main.select("region", F.col("all").alias("n")))
     draw = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.col(n), F.lit(1))).cast("int")
-    few = dealt.where("label <> main").select("region", "id", "label", "n", "s", draw(4, "_few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"), F.lit(True).alias("side"))
-    all_ = dealt.where("_few > 0").select("region", "id", "label", "n", "s", F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("i"), draw(5, "_all").alias("j"), F.lit(False).alias("side"))
+    few = dealt.where("label <> main").select("region", "id", "label", "n", "s", "fp", draw(4, "_few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"), F.lit(True).alias("side"))
+    all_ = dealt.where("_few > 0").select("region", "id", "label", "n", "s", "fp", F.explode(F.sequence(F.lit(0), F.col("_few") - 1)).alias("i"), draw(5, "_all").alias("j"), F.lit(False).alias("side"))
 
     def compare(pdf):
+        import numpy as np
         import pandas as pd
 
         few, rest = pdf[pdf["side"]], pdf[~pdf["side"]]
         if not len(few) or not len(rest):
             return _frame([])
         both = pd.concat([few, rest])
-        return _frame(links_within(both["id"].to_numpy(), both["label"].to_numpy(), both["n"], list(map(_unpacked, both["s"])), percent, few=len(few)))
+        return _frame(links_within(both["id"].to_numpy(), both["label"].to_numpy(), both["n"], list(map(_unpacked, both["s"])), percent, len(few), both["fp"].to_numpy().view(np.uint64), radius))
 
     return few.unionByName(all_).groupBy("region", "i", "j").applyInPandas(compare, "a long, b long")
 
@@ -408,9 +427,16 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, text: str
     """
     stored = store(classes_of(docs, words, text, key), "jaccard-classes")
     found = components(jaccard_links(regioned(docs, stored, words, percent, text), percent, leaf, leaf_shingles, pivots, block))
-    classes = store(stored.where("class is not null").groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "jaccard-reps")
+    linked = grouped(stored.where("class is not null"), found, key).select(key, "n_shingles", "component_id")
+    return linked.unionByName(stored.where("class is null").select(key, "n_shingles", F.col(key).alias("component_id")))
+
+
+def grouped(stored: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Stored rows with component_id: the least key of their class's component in `found` (id, component). Rows without a
+    class are one class of their own."""
+    rows = stored.withColumn("class", F.coalesce("class", F.lit(-1)))
+    classes = store(rows.groupBy("class").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "jaccard-reps")
     named = store(classes.join(found, F.col("class") == F.col("id"), "left").select("class", "rep", F.coalesce("component", "class").alias("component")), "jaccard-components")
     least = store(named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "jaccard-least")
     of = store(join_unique(named, least.select("component", "component_id"), ["component"], least).select("class", "component_id"), "jaccard-of")
-    linked = join_unique(stored.where("class is not null"), of, ["class"], classes).select(key, "n_shingles", "component_id")
-    return linked.unionByName(stored.where("class is null").select(key, "n_shingles", F.col(key).alias("component_id")))
+    return join_unique(rows, of, ["class"], classes)

@@ -9,18 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm import jaccard
 from plumbline.operators.graph import components
 from plumbline.operators.joins import join_unique
 from plumbline.workspace import store
 
 #: Buckets of up to so many distinct fingerprints are compared inside one row; larger ones in blocks of BLOCK.
 SMALL, BLOCK = 48, 4096
-#: Pairs of a document that are compared in one task.
-PAIRS = 1000
-#: Minimum hashes of a sketch, those that two sets must share to be compared (0.8 similar ones share 109 on average, with a
-#: standard deviation of 4), best partners that a document is compared with in a large bucket, and documents of a
-#: fingerprint that are all compared with those of another.
-SLOTS, SHARED_SLOTS, BEST, FEW = 128, 90, 2, 8
 #: Multiplier that scatters the bit positions over the codewords (2**64 divided by the golden ratio).
 SCATTER = 0x9E3779B97F4A7C15
 
@@ -48,8 +43,8 @@ def _signed(x: int) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool = True, text: str = "text", key: str = "doc_id", shingle_words: int = 0) -> DataFrame:
     """key and `fp` (the 64 bits as a signed long) of each whole text. Without `repeats` each shingle counts once.
 
-    With `shingle_words`, also `shingles`, the distinct 32-bit hashes of the text's shingles of so many words, and `sketch`,
-    SLOTS minimum hashes of them, two bits each.
+    With `shingle_words`, also n_shingles and class: how many distinct shingles of so many words it has, and the name of their
+    set (null without words).
     """
 
     def batch_of(batches: Iterator) -> Iterator:
@@ -73,25 +68,16 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, repeats: bool
                 n += len(block)
             return _signed(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
-        factors = np.random.default_rng(seed).integers(1, 2**32, SLOTS, np.uint32) | np.uint32(1)
-
-        def sketch(hashes) -> bytes:
-            least = np.full(SLOTS, 2**32 - 1, np.uint32)
-            for i in range(0, len(hashes), 4096):
-                mixed = hashes[i : i + 4096, None] * factors
-                least = np.minimum(least, (mixed ^ mixed >> np.uint32(15)).min(0))
-            bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
-            return (bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6).tobytes()
-
         for batch in batches:
-            splits = [(t or "").encode("utf-8").lower().split() for t in batch.column(1).to_pylist()]  # bytes: A-Z only, and ASCII white space only
+            texts = batch.column(1).to_pylist()
+            splits = [(t or "").encode("utf-8").lower().split() for t in texts]  # bytes: A-Z only, and ASCII white space only
             out = [batch.column(0), pa.array(map(fingerprint, splits), pa.int64())]
             if shingle_words:
-                sets = [np.unique(hashed(s, shingle_words).astype(np.uint32)) if s else np.zeros(0, np.uint32) for s in splits]
-                out += [pa.array([x.view(np.int32) for x in sets], pa.list_(pa.int32())), pa.array(map(sketch, sets), pa.binary())]
+                sets = jaccard.shingle_sets(texts, shingle_words)
+                out += [pa.array(map(len, sets), pa.int64()), pa.array(map(jaccard.class_of, sets), pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())] + ([T.StructField("shingles", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.BinaryType())] if shingle_words else [])
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("fp", T.LongType())] + ([T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())] if shingle_words else [])
     names = [f.name for f in fields]
     return docs.select(key, text).mapInArrow(batch_of, T.StructType(fields))
 
@@ -206,114 +192,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, radius: int
     return join_unique(prints, of, ["fp"], classes).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float, key: str) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose shingle sets have a Jaccard similarity of `similarity` or more, stored.
-
-    The shingles of a key with many pairs are dealt over salts, one for each PAIRS pairs, so that no task holds a hub.
-    """
-    per_key = store(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "near-hubs")
-    salted = join_unique(pairs, per_key.select("a", F.ceil(F.col("n") / PAIRS).cast("int").alias("salts")), ["a"], per_key).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    needed = pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
-    held = store(shingled.join(needed, F.col(key) == F.col("_k")).select("_k", "shingles"), "near-shingles")
-    of_a = held.join(per_key, F.col("_k") == F.col("a")).select("a", "shingles", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PAIRS).cast("int") - 1)).alias("salt"))
-    both = salted.join(of_a.hint("merge"), ["a", "salt"]).select("a", "b", F.col("shingles").alias("_sa")).join(held.hint("merge"), F.col("b") == F.col("_k"))
-    shared = F.size(F.array_intersect("_sa", "shingles"))
-    either = F.size("_sa") + F.size("shingles") - shared
-    return store(both.where((shared >= F.lit(similarity) * either)).select("a", "b"), "near-similar")
-
-
-def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, similarity: float = 0.8, shingle_words: int = 5, seed: int = 42, text: str = "text", key: str = "doc_id", small: int = SMALL, block: int = BLOCK, few: int = FEW) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 1, radius: int = 6, repeats: bool = False, percent: int = 80, shingle_words: int = 5, seed: int = 42, text: str = "text", key: str = "doc_id", small: int = SMALL, block: int = BLOCK, **leaves: int) -> DataFrame:
     """Per document: key and component (least key reachable over links, itself included). Two documents are linked if
-    their fingerprints differ in at most `radius` bits and the sets of their `shingle_words`-word shingles have a Jaccard
-    similarity of `similarity` or more; every link is confirmed on the whole sets.
-
-    Keys must be unique and not null. The covering masks give the candidates: documents of one fingerprint are compared
-    with its first one and with each other, then those of different fingerprints. In buckets of up to `small`, and fingerprints of up
-    to SMALL documents, all pairs within the radius are compared. In larger ones, where pairs would grow with the square, a document is compared with the
-    BEST of them by their sketches, and groups that this leaves apart by their best pair: the pairs left out are those
-    that sketches put below others of the same documents. Of a fingerprint with more than `few` documents, one of each group
-    that is confirmed among them stands for it, so a link that only another of the group has to a different fingerprint is
-    not looked for. Texts without words are alike; repeated rows have keys of their own; no
+    their fingerprints differ in at most `radius` bits and the sets of their `shingle_words`-word shingles share at least
+    `percent` of their union. Every link is confirmed on the sets before groups form, and none is passed over.
+
+    Keys must be unique and not null. Documents of equal sets are one class. Only classes without too many shingles of
+    their own can have links (jaccard.open_classes); the covering masks link the fingerprints of these, and what that joins is
+    an area. Classes of an area that share one of their rarest shingles may be linked: regions of these are joined exactly
+    (jaccard.jaccard_links, which takes `leaves`). Texts without words are alike; repeated rows have keys of their own; no
     rows give no rows; other columns are not read.
     """
     prints = store(fingerprints(docs, words, seed, repeats, text, key, shingle_words), "near-prints")
-    classes = store(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "near-classes")
-    nodes = prints.select(F.col(key).alias("id"), "fp", "sketch")
-    several = store(join_unique(nodes, classes.where("n > 1").select("fp", "rep", "n"), ["fp"], classes), "near-several")
-    with_first = several.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    in_class = store(_best_pairs(several.select(F.lit(-1).alias("t"), F.col("fp").alias("key"), "n", "id", "fp", "sketch").where("n > 2"), radius, 0, block).union(with_first).distinct(), "near-class-pairs")
-    alike = similar_pairs(in_class, prints, similarity, key)
-    # who stands for a fingerprint: all of few documents, else the first of each group among its own
-    group = components(alike)
-    first = several.where(F.col("n") > few).join(group.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").select("id", "fp", "sketch")
-    alone = nodes.join(classes.where(F.col("n") <= few).select(F.col("fp").alias("_fp")), F.col("fp") == F.col("_fp"), "left_semi")
-    standing = store(alone.unionByName(first), "near-standing")
-    shared = buckets(classes.select("fp"), radius, block)
-    of = lambda side: standing.select(F.col("fp").alias(side), F.col("id").alias(f"_{side}"))
-    near = small_bucket_pairs(shared, radius, small).distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    large = shared.where(F.col("n") > small).select("t", "key", "n", F.col("fp").alias("_fp")).join(standing, F.col("fp") == F.col("_fp")).drop("_fp")
-    apart = _best_pairs(large, radius, small, block)
-    between = store(near.union(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    found = components(alike.union(similar_pairs(between, prints, similarity, key)))
-    return nodes.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("id").alias(key), F.coalesce("component", "id").alias("component"))
-
-
-def _best_pairs(bucketed: DataFrame, radius: int, small: int, block: int) -> DataFrame:
-    """Pairs (a, b), a < b, of ids in buckets of more than `small` (t, key, n, id, fp, sketch): for each id the BEST others
-    within the radius by what their sketches share, and the best pair between groups that these leave apart."""
+    by_class = store(prints.where("class is not null").groupBy("class").agg(F.min("fp").alias("fp")), "near-classes")
 
-    def compare(pdf):
-        import numpy as np
-        import pandas as pd
+    def areas(opened: DataFrame) -> DataFrame:
+        fps = store(opened.join(by_class, F.col("id") == F.col("class")).select("id", "fp"), "near-open")
+        found = store(components(links(fps.select("fp").distinct(), radius, small, block)), "near-areas").withColumnRenamed("id", "_fp")
+        named = fps.select("fp").distinct().join(found, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("component", "fp").alias("area"))
+        return join_unique(fps, store(named, "near-area-names"), ["fp"])
 
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, fps = pdf["id"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(ids), -1)
-        root = np.arange(len(ids))
-        ones = np.uint64(0x5555555555555555)
-
-        def agreement(i: int):
-            """What each id's sketch shares with that of i; 0 where it is too little, or the fingerprint too far."""
-            x = sketches ^ sketches[i]
-            equal = SLOTS - np.bitwise_count((x | x >> np.uint64(1)) & ones).sum(1, dtype=np.int32)
-            equal[(equal < SHARED_SLOTS) | (np.bitwise_count(fps ^ fps[i]) > radius)] = 0
-            equal[i] = 0
-            return equal
-
-        found: set = set()
-
-        def link(i: int, j: int) -> None:
-            found.add((min(i, j), max(i, j)))
-            if root[i] != root[j]:
-                root[root == max(root[i], root[j])] = min(root[i], root[j])
-
-        if len(ids) <= SMALL:  # few enough for all pairs
-            for i in range(len(ids)):
-                for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) + i + 1).tolist():
-                    link(i, j)
-        reach = np.zeros(len(ids), bool)
-        for i in range(len(ids) if len(ids) > SMALL else 0):
-            equal = agreement(i)
-            best = np.argpartition(-equal, BEST)[:BEST] if len(ids) > BEST else np.arange(len(ids))
-            reach[i] = np.count_nonzero(equal) > BEST
-            for j in best[equal[best] > 0].tolist():
-                link(i, j)
-        while True:  # the best pair that leaves each group
-            leaving: dict = {}
-            for i in np.flatnonzero(reach).tolist():
-                equal = agreement(i)
-                equal[root == root[i]] = 0
-                j = int(equal.argmax())
-                if equal[j] == 0:
-                    reach[i] = False
-                elif equal[j] > leaving.get(root[i], (0, 0, 0))[0]:
-                    leaving[root[i]] = (int(equal[j]), i, j)
-            if not leaving:
-                break
-            for _, i, j in leaving.values():
-                link(i, j)
-        pairs = sorted(found)
-        return pd.DataFrame({"a": [ids[i] for i, _ in pairs], "b": [ids[j] for _, j in pairs]}, dtype=ids.dtype)
-
-    kind = dict(bucketed.dtypes)["id"]
-    return _units(bucketed, small, block, "id", "fp", "sketch").groupBy("t", "key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
+    members = jaccard.regioned(docs, prints, shingle_words, percent, text, areas)
+    found = components(jaccard.jaccard_links(members, percent, radius=radius, **leaves))
+    return jaccard.grouped(prints, found, key).select(key, F.col("component_id").alias("component"))
