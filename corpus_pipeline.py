@@ -17,8 +17,8 @@ from plumbline.llm._common import read
 from plumbline.workspace import store
 
 #: The near-duplicate stage: candidates by fingerprints of distinct words that differ in so many bits at most, confirmed by
-#: the Jaccard similarity of five-word shingles.
-NEAR_RADIUS, SIMILARITY, SHINGLE_WORDS = 6, 0.8, 5
+#: the Jaccard similarity of five-word shingles, in percent.
+NEAR_RADIUS, SIMILARITY, SHINGLE_WORDS = 6, 80, 5
 #: Targets of the mix, as multiples of each domain's expected tokens. Good text is wanted a tenth more often, so that the rate
 #: of a document that is surely good does not fall below 1.
 TARGETS = {"good": 1.1, "poor": 1.0, "toxic": 0.0}
@@ -64,7 +64,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: that with the smallest doc_id, a null one only alone."""
     rows = keyed(docs, "last")
-    grouped = simhash.similar_groups(rows, radius=NEAR_RADIUS, similarity=SIMILARITY, shingle_words=SHINGLE_WORDS, key="row_key")
+    grouped = simhash.similar_groups(rows, radius=NEAR_RADIUS, percent=SIMILARITY, shingle_words=SHINGLE_WORDS, key="row_key")
     return decided(rows, grouped.where("row_key <> component").select("row_key"), "stage-near", "left_anti").select(*COLUMNS)
 
 
