@@ -8,11 +8,40 @@ from pyspark.sql import functions as F
 from plumbline.operators.joins import HOT
 from plumbline.workspace import store
 
+#: Links that one task joins at once; more go by rounds.
+LOCAL = 10_000
+
+
+def _joined_at_once(edges: DataFrame) -> DataFrame:
+    """(id, component) of at most LOCAL links, as components() gives them."""
+
+    def join(parts):
+        import pandas as pd
+
+        near: dict = {}
+
+        def root(x):
+            while (up := near.setdefault(x, x)) != x:
+                near[x] = x = near[up]
+            return x
+
+        for pdf in parts:
+            for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+                a, b = root(a), root(b)
+                near[max(a, b)] = min(a, b)
+        found = [(x, r) for x in list(near) if (r := root(x)) != x]
+        if found:
+            yield pd.DataFrame(found, columns=["id", "component"])
+
+    kind = dict(edges.dtypes)["a"]
+    return edges.coalesce(1).mapInPandas(join, f"id {kind}, component {kind}")
+
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(id, component) for every id in edges (a, b) but the least of its group; component is the least id reachable.
 
-    Each id hands its neighbours to the least one near it until nothing changes. Every round is written to the shared
+    Each id hands its neighbours to the least one near it until nothing changes; LOCAL links or fewer are joined by one task at
+    once. Every round is written to the shared
     folder; nothing but one count and one hash reaches the driver. Links of an id to itself add nothing. An id near more
     than one in HOT of all ends meets its least neighbour by broadcast (there are less than HOT such ids), so that no task
     holds a hub's neighbours.
@@ -38,6 +67,8 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     current = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     seen = mark(current)
+    if seen[0] <= LOCAL:
+        return store(_joined_at_once(current), "components")
     for _ in range(most_rounds):
         current = store(star(current, True, 2 * seen[0]), "components")
         current = store(star(current, False, 2 * current.count()), "components")
