@@ -16,7 +16,9 @@ from plumbline.workspace import store
 BUCKET_SHINGLES, LEAF_SHINGLES = 1_000_000, 500_000
 #: Documents of a region that is joined within one task, pivots of a larger one, and documents of a block of it.
 LEAF_DOCUMENTS, PIVOTS, BLOCK = 512, 16, 512
-#: A shingle that so many different texts of one batch hold is counted there, and not sent on with each of them.
+#: Characters of text that are dealt at once.
+PART_CHARS = 6_000_000
+#: A shingle that so many different texts of one part of a batch hold is counted there, and not sent on with each of them.
 HEAVY = 32
 #: Windows that replicate a region's documents more often than this do not part it.
 SPREAD = 3
@@ -79,11 +81,23 @@ def _unpacked(packed: bytes):
 DEALT = "side int, bucket int, owners binary, shingles binary, counts binary"
 
 
+def _parts(texts: list) -> Iterator[list]:
+    """The texts in runs of PART_CHARS characters or a single longer one."""
+    start, n = 0, 0
+    for i, t in enumerate(texts):
+        own = len(t or "")
+        if i > start and n + own > PART_CHARS:
+            yield texts[start:i]
+            start, n = i, 0
+        n += own
+    yield texts[start:]
+
+
 def _deal(docs: DataFrame, words: int, buckets: int, text: str) -> DataFrame:
     """The shingles of every class, dealt to buckets by hash.
 
-    A batch gives a row for each bucket: owners (classes), shingles, and counts (the class's shingles, times 256, and how many
-    of them share another's name). Of a shingle that HEAVY classes of the batch or more hold, the bucket gets only a mark (owner -1), and
+    A part of a batch gives a row for each bucket: owners (classes), shingles, and counts (the class's shingles, times 256, and how many
+    of them share another's name). Of a shingle that HEAVY classes of the part or more hold, the bucket gets only a mark (owner -1), and
     the classes themselves (side 1, by class) are told that they have it.
     """
 
@@ -91,8 +105,8 @@ def _deal(docs: DataFrame, words: int, buckets: int, text: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            found = {c: s for s in shingle_sets(batch.column(0).to_pylist(), words) if (c := class_of(s)) is not None}
+        for part in (p for batch in batches for p in _parts(batch.column(0).to_pylist())):
+            found = {c: s for s in shingle_sets(part, words) if (c := class_of(s)) is not None}
             if not found:
                 continue
             names = [np.unique(s >> np.uint64(16)) for s in found.values()]
