@@ -12,8 +12,8 @@ from plumbline.operators.graph import components
 from plumbline.operators.joins import join_unique
 from plumbline.workspace import store
 
-#: Shingles of one bucket of the first dealing, and of one batch of leaves.
-BUCKET_SHINGLES, LEAF_SHINGLES = 1_000_000, 500_000
+#: Shingles of one bucket of the first dealing (fewer buckets repeat the names of documents less), and of one batch of leaves.
+BUCKET_SHINGLES, LEAF_SHINGLES = 2_500_000, 500_000
 #: Documents of a region that is joined within one task, pivots of a larger one, and documents of a block of it.
 LEAF_DOCUMENTS, PIVOTS, BLOCK = 512, 16, 512
 #: Characters of text that are dealt at once.
