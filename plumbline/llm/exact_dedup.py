@@ -120,18 +120,29 @@ def snapshot(grouped: DataFrame, tag: str = "snapshot") -> tuple[DataFrame, Data
     return frozen, store(filters, f"{tag}-filters"), buckets
 
 
+def sliced(incoming: DataFrame, buckets: int) -> tuple[DataFrame, int]:
+    """The incoming groups with their bucket and a slice of it, and the number of slices: as many as leave about
+    BUCKET_KEYS rows in a slice of a bucket, however small the snapshot is against what comes in."""
+    slices = max(1, -(-incoming.count() // (buckets * BUCKET_KEYS)))
+    return _bucketed(incoming, buckets).withColumn("slice", F.pmod(F.xxhash64("key64", F.lit(1)), F.lit(slices)).cast("int")), slices
+
+
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The incoming groups that the snapshot's filters cannot rule out."""
+    """The incoming groups that the snapshot's filters cannot rule out. A bucket's filter goes to each slice of the bucket:
+    about nine bits for each digest that comes in. `incoming` should be stored, as it is counted first."""
+    rows, slices = sliced(incoming, buckets)
+    extra = ["key64", "bucket", "slice"]
 
     def test(left, right):
         import numpy as np
 
         if not len(left) or not len(right):
-            return left.iloc[:0].drop(columns=["key64", "bucket"])
-        return left[may_contain(right["filter"].iloc[0], left["key64"].to_numpy().view(np.uint64))].drop(columns=["key64", "bucket"])
+            return left.iloc[:0].drop(columns=extra)
+        return left[may_contain(right["filter"].iloc[0], left["key64"].to_numpy().view(np.uint64))].drop(columns=extra)
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in incoming.schema)
-    return _bucketed(incoming, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(test, kept)
+    each = filters.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return rows.groupBy("bucket", "slice").cogroup(each.groupBy("bucket", "slice")).applyInPandas(test, kept)
 
 
 def dedup_batch(earlier: DataFrame, batch: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
