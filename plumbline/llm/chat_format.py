@@ -14,6 +14,8 @@ OPEN, NAMED, CLOSE, BETWEEN = "<s>[ROLE]", "[/ROLE]", "</s>", "[PART]"
 CONTROL = r"/?(?:s>|(?:ROLE|INST|PART|SYS)\]|(?:IMAGE|AUDIO|DOCUMENT):)"
 #: Tokens that one unit of a part expands to: an image's patches, a second of audio, a page of a document.
 UNIT_TOKENS = {"image": 1, "audio": 25, "document": 512}
+#: Code points that a formatted string is cut into before spans are taken from it.
+CUT = 1024
 PART = "struct<kind:string,text:string,ref:string,units:bigint>"
 
 
@@ -75,27 +77,56 @@ def format_chats(turns: DataFrame, conversation: str = "conv_id", turn: str = "t
     return out.withColumn("n_expanded", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]))
 
 
-def read_chats(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Read formatted strings back: turns as (role, text, parts), and the learned texts under the loss mask, unescaped.
+def _bind(value: Column, body) -> Column:
+    """body of the struct `value`, which is computed once; inside a lambda a column may be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Parts are (kind, text, ref): marks and placeholders inside texts are escaped, so those that are not are real. `text` is
-    the turn's text parts, one after the other.
-    """
-    pieces = F.expr(f"filter(split(formatted, '{CLOSE}'), p -> p <> '')")
-    placeholder = rf"^\[({'|'.join(k.upper() for k in UNIT_TOKENS)}):[0-9]+\]$"
 
-    def part(place: Column):
-        def one(p: Column, i: Column) -> Column:
-            kind = F.lower(F.regexp_extract(p, placeholder, 1))
-            ref = F.get(F.filter("attachments", lambda a: (a["turn_place"] == place) & (a["part_place"] == i)), F.lit(0))["ref"]
-            return F.when(kind != "", F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"), ref.alias("ref"))).otherwise(F.struct(F.lit("text").alias("kind"), unescape(p).alias("text"), F.lit(None).cast("string").alias("ref")))
+def _under(blocks: Column, start: Column, length: Column) -> Column:
+    """`length` code points from `start` of a string that is given in blocks of CUT: only the blocks in reach are read."""
+    first = F.floor(start / CUT).cast("int")
+    last = F.greatest(first, F.floor((start + length - 1) / CUT).cast("int"))
+    near = F.array_join(F.transform(F.sequence(first, last), lambda i: F.coalesce(F.get(blocks, i), F.lit(""))), "")
+    return F.substring(near, (start - first * CUT + 1).cast("int"), length.cast("int"))
 
-        return one
 
-    def turn(p: Column, place: Column) -> Column:
-        halves = F.split(p, r"\[/ROLE\]", 2)
-        return F.struct(unescape(F.regexp_replace(halves[0], r"^<s>\[ROLE\]", "")).alias("role"), F.transform(F.split(halves[1], r"\[PART\]", -1), part(place)).alias("parts"))
+def read_chats(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """Read formatted strings back: turns as (role, text, parts), and the learned texts under the loss mask, unescaped.
 
-    turns = F.transform(F.transform(pieces, turn), lambda t: F.struct(t["role"].alias("role"), F.array_join(t["parts"]["text"], "").alias("text"), t["parts"].alias("parts")))
-    learned = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.select(conversation, turns.alias("turns"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    Parts are (kind, text, ref): marks and placeholders inside texts are escaped, so those that are not are real, and the
+    n-th of them is the n-th attachment. `text` is the turn's text parts, one after the other. The string is split once, and
+    cut into blocks once for the mask, so the work is linear in a conversation's length and turns.
+    """
+    placeholder = rf"^\[({'|'.join(k.upper() for k in UNIT_TOKENS)}):[0-9]+\]$"
+    files = lambda parts: F.size(F.filter(parts, lambda p: p.rlike(placeholder)))
+
+    def halves(p: Column) -> Column:
+        named = F.split(p, r"\[/ROLE\]", 2)
+        return F.struct(unescape(F.regexp_replace(named[0], r"^<s>\[ROLE\]", "")).alias("role"), F.split(named[1], r"\[PART\]", -1).alias("given"))
+
+    def counted(t: Column) -> Column:
+        return F.struct(t["role"].alias("role"), t["given"].alias("given"), files(t["given"]).alias("n"))
+
+    raw = F.transform(F.transform(F.expr(f"filter(split(formatted, '{CLOSE}'), p -> p <> '')"), halves), counted)
+    # attachments before each turn, and before each part of a turn
+    before_turns = F.expr(running("transform(_raw, t -> t.n)", "{a} + {b}", 0, "r"))
+    kinds = ", ".join(f"'{k.upper()}'" for k in UNIT_TOKENS)
+    flags = f"transform(t.given, p -> if(regexp_extract(p, r'{placeholder}', 1) IN ({kinds}), 1, 0))"
+    numbered = F.expr(f"transform(_raw, t -> named_struct('role', t.role, 'given', t.given, 'n', t.n, 'ends', {running(flags, '{a} + {b}', 0, 'q')}))")
+
+    def read(v: Column) -> Column:
+        def turn(t: Column, end: Column) -> Column:
+            def one(p: Column, upto: Column) -> Column:
+                kind = F.lower(F.regexp_extract(p, placeholder, 1))
+                ref = F.get(v["files"], end - t["n"] + upto - 1)["ref"]
+                return F.when(kind != "", F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"), ref.alias("ref"))).otherwise(F.struct(F.lit("text").alias("kind"), unescape(p).alias("text"), F.lit(None).cast("string").alias("ref")))
+
+            return F.struct(t["role"].alias("role"), F.zip_with(t["given"], t["ends"], one).alias("parts"))
+
+        return F.transform(F.zip_with(v["turns"], v["ends"], turn), lambda t: F.struct(t["role"].alias("role"), F.array_join(t["parts"]["text"], "").alias("text"), t["parts"].alias("parts")))
+
+    turns = _bind(F.struct(numbered.alias("turns"), before_turns.alias("ends"), F.sort_array("attachments").alias("files")), read)
+    blocks = F.expr(f"regexp_extract_all(formatted, r'(?s).{{1,{CUT}}}', 0)")
+    learned = _bind(F.struct(blocks.alias("blocks"), F.col("loss_mask").alias("mask")), lambda v: F.transform(v["mask"], lambda s: unescape(_under(v["blocks"], s["start"], s["length"]))))
+    # _raw is named by several expressions, so Spark computes it once, in a projection of its own
+    return formatted.withColumn("_raw", raw).select(conversation, turns.alias("turns"), learned.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
