@@ -49,9 +49,8 @@ NOT_PHONES = (
 #: Positions of a candidate's features: 0 generator, 1 to 4 its form, 5 what it touches, 6 cue, 7 and 8 sizes of the last
 #: two groups of digits, 9 whether the form alone could be something else.
 N_FEATURES, CUE, BARE = 10, 6, 9
-FORM = (0, 1, 3, 4, 7, 8, BARE)
 #: Boosting: trees, their step, and the precision that a threshold must reach on labelled candidates held out from the trees.
-TREES, STEP, PRECISION, LEAST = 24, 0.4, 0.98, 20
+TREES, DEPTH, STEP, PRECISION, LEAST = 40, 3, 0.4, 0.98, 20
 def spans(text: str, pattern: str, likely: str) -> Column:
     """Leftmost, non-overlapping matches in the column `text`, if `likely` is found, as an array of (start, end, s, before,
     after): code points, end exclusive, and the texts up to the match before and after. Linear in the text and, but for
@@ -173,7 +172,8 @@ def described(generator: int, s: Column, before: Column, after: Column) -> tuple
 def candidates(matches: list[str], plant: str, base: str) -> Column:
     """What the generators propose, by start: array of (start, end, ord, known, other, f). `matches` are the columns of the
     generators' spans. `known`: overlaps a base span; `other`: does not, and has a form or context that is known not to
-    be personal; `f`: format and context features. The first one is the planted one (start and end -1), which is known."""
+    be personal; `f`: format and context features. The first ones are the planted decoy (start and end -2), which is `other`,
+    and the planted candidate (-1), which is known."""
 
     def of(generator: int, kind: str):
         def one(m: Column) -> Column:
@@ -182,7 +182,7 @@ def candidates(matches: list[str], plant: str, base: str) -> Column:
 
         return one
 
-    mine = lambda g: F.expr(f"transform(filter(array({plant}), p -> p.g = {g}), p -> named_struct('start', -1, 'end', -1, 's', p.s, 'before', p.before, 'after', p.after))")
+    mine = lambda g: F.expr(f"transform(filter({plant}, p -> p.g = {g}), p -> named_struct('start', p.at, 'end', p.at, 's', p.s, 'before', p.before, 'after', p.after))")
     parts = [F.transform(F.concat(mine(g), m), of(g, kind)) for g, ((kind, _, _), m) in enumerate(zip(GENERATORS, matches))]
     return F.sort_array(F.concat(*parts))
 
@@ -196,14 +196,15 @@ def _held_against(cands: str, base: str) -> Column:
     nexts = running(f"reverse(transform(m.every, x -> if(x.side = 0, x.start, {far})))", "least({a}, {b})", far, "q")
     reach = f"zip_with({ends}, reverse({nexts}), (e, n) -> named_struct('e', e, 'n', n))"
     held = f"filter(zip_with(m.every, {reach}, (x, r) -> named_struct('side', x.side, 'known', r.e > x.start OR r.n < x.end)), x -> x.side = 1)"
-    swept = f"zip_with(m.c, {held}, (c, h) -> named_struct('start', c.start, 'end', c.end, 'ord', c.ord, 'known', h.known OR c.start < 0, 'other', NOT h.known AND c.start >= 0 AND c.other, 'f', c.f))"
+    swept = f"zip_with(m.c, {held}, (c, h) -> named_struct('start', c.start, 'end', c.end, 'ord', c.ord, 'known', c.start = -1 OR c.start >= 0 AND h.known, 'other', c.start = -2 OR c.start >= 0 AND NOT h.known AND c.other, 'f', c.f))"
     every = f"array_sort(concat(transform(v.b, {row(0)}), transform(v.c, {row(1)})))"
     return F.expr(bound(bound(swept, "m", every=every, c="v.c"), "v", c=cands, b=base))
 
 
 def planted(text: Column) -> Column:
-    """One synthetic candidate for each text, set into a place of the text: (g, s, before, after). Its generator and form go by
-    the text's hash. Forms that could be something else stand behind a cue, as in life."""
+    """Two synthetic candidates for each text, each set into a place of the text: (g, at, s, before, after). One is personal
+    (at -1), one is a lookalike that is not (at -2). Their generators and forms go by the text's hash. Forms that could be
+    something else stand behind a cue, as in life."""
     draw = lambda i: F.xxhash64(text, F.lit(i))
     number = lambda i, n: F.lpad(F.pmod(draw(i), F.lit(10**n)).cast("string"), n, "0")
     octet = lambda i: F.pmod(draw(i), F.lit(256)).cast("string")
@@ -230,20 +231,53 @@ def planted(text: Column) -> Column:
         (4, key, F.substring(digest, 1, 40)),
         (4, key, F.substring(digest, 1, 32)),
         (4, key, F.regexp_replace(F.base64(F.unhex(digest)), "=", "")),
+        (4, "password: ", F.substring(F.base64(F.unhex(digest)), 1, 20)),
+        (4, key, digest),
+    )
+    failing = F.concat(stem, F.pmod(F.substring(card, 16, 1).cast("int") + 1 + F.pmod(draw(9), F.lit(9)), F.lit(10)).cast("string"))
+    groups = lambda sign, *sizes: F.concat_ws(sign, *[number(20 + i, n) for i, n in enumerate(sizes)])
+    day = F.concat_ws("-", F.lit("2024"), *[F.lpad((F.pmod(draw(i), F.lit(12)) + 1).cast("string"), 2, "0") for i in (30, 31)])
+    decoys = (
+        (0, "met ", F.concat(F.lit("us (at) "), word(1))),
+        (0, "follow ", F.concat(F.lit("all @"), word(2), F.lit(".example"))),
+        (1, "order no. ", groups("-", 3, 3, 4)),
+        (1, "order ", F.concat(F.lit("("), number(3, 3), F.lit(") "), groups("-", 3, 4))),
+        (1, "ticket ", F.concat(F.lit("0049 "), groups(" ", 3, 7))),
+        (1, none, F.concat(day, F.lit(" "), number(4, 2))),
+        (1, none, groups(" ", 2, 2, 2, 2)),
+        (1, none, groups(".", 3, 3, 3)),
+        (1, "ISBN ", F.concat(F.lit("978-3-"), groups("-", 4, 3, 1))),
+        (1, none, number(3, 9)),
+        (2, "version ", F.concat_ws("[.]", F.lit("203"), *map(octet, (3, 4, 5)))),
+        (2, "section ", F.concat_ws(".", F.lit("10"), *map(octet, (3, 4, 5)))),
+        (2, none, groups(".", 1, 1, 2, 1)),
+        (3, none, F.concat_ws(".", *[F.substring(failing, at, 4) for at in (1, 5, 9, 13)])),
+        (3, none, F.concat_ws("  ", *[F.substring(failing, at, 4) for at in (1, 5, 9, 13)])),
+        (3, none, groups("-", 4, 3, 5)),
+        (4, "commit = ", F.substring(digest, 1, 40)),
+        (4, "sha256: ", digest),
+        (4, 'id: "', F.substring(digest, 1, 32)),
+        (4, 'etag = "', F.regexp_replace(F.base64(F.unhex(digest)), "=", "")),
+        (4, key, F.translate(F.substring(digest, 1, 24), "0123456789", "ghijklmnop")),
+        (4, key, F.translate(F.substring(digest, 1, 48), "0123456789", "ghijklmnop")),
+        (4, key, F.rpad(F.lit(""), 24, "_-=")),
     )
     n = F.char_length(text)
-    context = F.rtrim(F.substring(text, F.pmod(draw(0), F.greatest(n.cast("long"), F.lit(1))).cast("int") + 1, F.lit(CONTEXT)))
-    drawn = F.array(*[F.struct(F.lit(g).alias("g"), s.alias("s"), F.lit(cue).alias("cue")) for g, cue, s in forms])
     after = F.array(*map(F.lit, (" ", ". ", ", ", ")", '"')))
-    one = F.get(drawn, F.pmod(draw(6), F.lit(len(forms))).cast("int"))
-    return F.struct(one["g"].alias("g"), one["s"].alias("s"), F.concat(context, F.lit(" "), one["cue"]).alias("before"), F.get(after, F.pmod(draw(8), F.lit(5)).cast("int")).alias("after"))
+
+    def drawn(at: int, forms: tuple, seed: int) -> Column:
+        context = F.rtrim(F.substring(text, F.pmod(draw(seed), F.greatest(n.cast("long"), F.lit(1))).cast("int") + 1, F.lit(CONTEXT)))
+        one = F.get(F.array(*[F.struct(F.lit(g).alias("g"), x.alias("s"), F.lit(cue).alias("cue")) for g, cue, x in forms]), F.pmod(draw(seed + 6), F.lit(len(forms))).cast("int"))
+        return F.struct(one["g"].alias("g"), F.lit(at).alias("at"), one["s"].alias("s"), F.concat(context, F.lit(" "), one["cue"]).alias("before"), F.get(after, F.pmod(draw(seed + 8), F.lit(5)).cast("int")).alias("after"))
+
+    return F.array(drawn(-2, decoys, 50), drawn(-1, forms, 0))
 
 
 Pattern = tuple[tuple[int, ...], int, int]
 
 
 def boost(patterns: list[Pattern], trees: int = TREES, step: float = STEP) -> list:
-    """Gradient-boosted trees of depth two, on logistic loss, over (features, n, n_positive).
+    """Gradient-boosted trees of depth DEPTH, on logistic loss, over (features, n, n_positive).
 
     Returns a bias and trees; a tree is (feature, most, left, right), where left and right are a value or such a tree.
     """
@@ -273,7 +307,7 @@ def boost(patterns: list[Pattern], trees: int = TREES, step: float = STEP) -> li
     grown: list = []
     for _ in range(trees if patterns and 0 < good < n else 0):
         odds = [1 / (1 + math.exp(-s)) for s in score]
-        tree = grow(list(range(len(patterns))), [p[2] - p[1] * q for p, q in zip(patterns, odds)], [p[1] * q * (1 - q) for p, q in zip(patterns, odds)], 2)
+        tree = grow(list(range(len(patterns))), [p[2] - p[1] * q for p, q in zip(patterns, odds)], [p[1] * q * (1 - q) for p, q in zip(patterns, odds)], DEPTH)
         grown.append(tree)
         score = [s + predict(tree, p[0]) for s, p in zip(score, patterns)]
     return [bias, *grown]
@@ -305,13 +339,8 @@ def threshold(model: list, patterns: list[Pattern], precision: float = PRECISION
     return chosen
 
 
-def _support(f: tuple[int, ...]) -> tuple[int, ...]:
-    """What must have been seen to be personal: the form, with its cue where the form alone could be something else."""
-    return (*(f[i] for i in FORM), f[CUE] if f[BARE] else 0)
-
-
 def accepted(fitting: list[Pattern], held_out: list[Pattern], every: list[tuple[int, ...]], least: int = LEAST) -> list[tuple[int, ...]]:
-    """Those of the patterns `every` that score as high as the threshold, in a form known to be personal `least` times.
+    """Those of the patterns `every` that score as high as the threshold.
 
     fitting and held_out are (features, n, n_positive) of labelled candidates, of two halves of the texts: the trees are
     fitted on one, the threshold is calibrated on the other. What the base rules miss is no negative, and takes nothing
@@ -319,10 +348,7 @@ def accepted(fitting: list[Pattern], held_out: list[Pattern], every: list[tuple[
     """
     model = boost(fitting)
     limit = threshold(model, held_out, least=max(1, least // 2))
-    seen: dict[tuple[int, ...], int] = {}
-    for f, _, good in [*fitting, *held_out]:
-        seen[form] = seen.get(form := _support(f), 0) + good
-    return [f for f in every if score_of(model, f) >= limit and seen.get(_support(f), 0) >= least]
+    return [f for f in every if score_of(model, f) >= limit]
 
 
 def _code(f):
@@ -335,9 +361,10 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     Base spans always stay. Generators propose further spans of the base kinds in forms that no base rule takes, and
     secrets (long tokens behind a word for them). Boosted trees learn to select from labels of three sources: candidates
     that a base rule confirms; synthetic ones in the missed forms, one planted into a place of each text; and, as
-    negatives, forms and contexts known not to be personal (order numbers, dates, versions, failed Luhn, mentions, plain
-    words). The rest is unlabelled. Half of the texts fit the trees, the other half calibrates the threshold. A candidate
-    is added above it, in a form seen often enough, if it overlaps no base span and no added one that begins before.
+    negatives, lookalikes planted likewise (order numbers, dates, versions, failed Luhn, hashes) and candidates in forms and
+    contexts that are seldom personal. The rest is unlabelled. Half of the texts fit the trees, the other half calibrates
+    the threshold, which alone decides: a candidate that scores as high is added, whatever its label, if it overlaps no
+    base span and no added one that begins before.
     all_spans is an array of (start, ord, end, kind); spans joins it as kind:start:end.
 
     A null or empty text has no spans (the digest is that of the empty string); null keys and repeated rows are treated
@@ -351,13 +378,13 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     proposed = read.select(key, "base", candidates([f"_m{g}" for g in range(len(GENERATORS))], "_p", "base").alias("_c"), "half")
     found = store(proposed.select(key, "base", _held_against("_c", "base").alias("cands"), "half"), "pii")
     total = lambda c: F.sum(F.col(f"c.{c}").cast("long")).alias(c)
-    counted = found.select("half", F.explode("cands").alias("c")).groupBy("half", "c.f").agg(F.count(F.lit(1)).alias("n"), total("known"), total("other")).collect()
+    counted = found.select("half", F.explode("cands").alias("c")).groupBy("half", "c.f").agg(total("known"), total("other"), F.count_if((F.col("c.start") >= 0) & ~F.col("c.known")).alias("open")).collect()
     known = lambda h: sorted((tuple(r["f"]), r["known"] + r["other"], r["known"]) for r in counted if r["half"] == h and r["known"] + r["other"])
-    open_ones = sorted({tuple(r["f"]) for r in counted if r["n"] > r["known"] + r["other"]})
+    open_ones = sorted({tuple(r["f"]) for r in counted if r["open"]})
     codes = [_code(f) for f in accepted(known(0), known(1), open_ones)]
     added = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     if codes:
-        picked = F.filter("cands", lambda c: ~c["known"] & ~c["other"] & _code([c["f"][i].cast("long") for i in range(N_FEATURES)]).isin(codes))
+        picked = F.filter("cands", lambda c: (c["start"] >= 0) & ~c["known"] & _code([c["f"][i].cast("long") for i in range(N_FEATURES)]).isin(codes))
         names = F.array(*map(F.lit, KINDS))
         added = F.sort_array(F.transform(picked, lambda c: F.struct(c["start"], c["ord"], c["end"], F.get(names, c["ord"]).alias("kind"))))
     before = running("transform(v.a, x -> x.end)", "greatest({a}, {b})", 0, "r")
