@@ -11,6 +11,7 @@ from plumbline.operators.payloads import Contract, Field, Together, broken_paylo
 from plumbline.plans.offers import table
 from plumbline.plans.queries import _event_stream, query
 from plumbline.sources import publish
+from plumbline.streaming.late import correct_windows, corrected_windows
 from plumbline.workspace import shared_dir
 
 CONTRACT = Contract(
@@ -75,3 +76,16 @@ def q_stream_land_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         write = stream.writeStream.foreachBatch(publish.land_once(root, "event_id", "ts")).option("checkpointLocation", f"{root}/state-{run}")
         write.trigger(availableNow=True).start().awaitTermination()
     return publish.landed(spark, root, stream.schema).groupBy("event_id").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, sum(round(value, 0)) AS total FROM events GROUP BY 1, 2")
+def q_stream_late_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the events as they land, one in ten only after all the others: the totals are those of the batch."""
+    root = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round("value", 0).alias("value"), "event_id")
+    for late in (False, True):
+        events.where((F.col("event_id") % 10 == 0) == F.lit(late)).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    write = stream.writeStream.foreachBatch(correct_windows(root, "ts", "event_type", "value", "6 hours", 86_400))
+    write.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return corrected_windows(spark, root, "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")

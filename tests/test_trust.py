@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.payloads import broken_payloads
 from plumbline.plans.trust import CONTRACT
 from plumbline.sources import publish
+from plumbline.streaming.late import correct_windows, corrected_windows, late_rows
 
 
 def walked(payloads):
@@ -129,3 +130,38 @@ def test_a_replayed_stream_lands_nothing_twice(spark, tmp_path):
     assert whole() == want
     run("b", 3)  # from the beginning, in other batches
     assert whole() == want
+
+
+def test_late_rows_correct_their_windows(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i, i * 60, "hot" if rnd.random() < 0.4 else f"k{i % 7}", i % 13) for i in range(6000)]
+    late = {i for i, *_ in rows if rnd.random() < 0.1}
+    for b in range(4):  # each file has its own time, and the late rows of the one before the last
+        part = [r for r in rows if r[0] // 1500 == b and r[0] not in late or r[0] // 1500 == b - 2 and r[0] in late]
+        part += [r for r in rows if b == 3 and r[0] // 1500 >= 2 and r[0] in late] + ([(-1, None, "hot", 5)] if b == 1 else [])
+        spark.createDataFrame(part, "id long, at long, k string, x int").select("id", F.timestamp_seconds("at").alias("ts"), "k", "x").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    root = f"file://{tmp_path}/out"
+    land, died = correct_windows(root, "ts", "k", "x", "1 hour", 3600), []
+
+    def write(batch, number):
+        if number == 2 and not died:
+            died.append(number)
+            raise RuntimeError("killed")
+        land(batch, number)
+        land(batch, number)  # a batch that comes again is passed over
+
+    def run():
+        stream = spark.readStream.schema("id long, ts timestamp, k string, x int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception, match="killed"):
+        run()
+    run()
+    want = {}
+    for _, at, k, x in rows:
+        n, total = want.get((at // 3600, k), (0, 0))
+        want[(at // 3600, k)] = (n + 1, total + x)
+    got = corrected_windows(spark, root, "k").withColumn("h", F.unix_seconds("start") / 3600).collect()
+    assert {(int(r["h"]), r["k"]): (r["n"], r["total"]) for r in got} == want
+    side = {r["id"] for r in late_rows(spark, root).collect()}
+    assert {i for i in late if i < 3000} <= side and -1 in side and sum(r["n_late"] for r in got) == len(side) - 1 > 200
