@@ -50,7 +50,7 @@ NOT_PHONES = (
 #: two groups of digits, 9 whether the form alone could be something else.
 N_FEATURES, CUE, BARE = 10, 6, 9
 #: Boosting: trees, their step, and the precision that a threshold must reach on labelled candidates held out from the trees.
-TREES, DEPTH, STEP, PRECISION, LEAST = 40, 3, 0.4, 0.98, 20
+TREES, DEPTH, STEP, PRECISION, BAND, LEAST = 40, 3, 0.4, 0.98, 0.9, 20
 def spans(text: str, pattern: str, likely: str) -> Column:
     """Leftmost, non-overlapping matches in the column `text`, if `likely` is found, as an array of (start, end, s, before,
     after): code points, end exclusive, and the texts up to the match before and after. Linear in the text and, but for
@@ -325,15 +325,22 @@ def score_of(model: list, features: tuple[int, ...]) -> float:
 
 def threshold(model: list, patterns: list[Pattern], precision: float = PRECISION, least: int = LEAST) -> float:
     """The least score such that, of all labelled candidates scored as high or higher, `precision` are known to be personal
-    data, with `least` of them known at least; infinite if there is none."""
+    data, with `least` of them known at least; infinite if there is none. Scores are passed from the highest in bands of
+    `least` candidates or more, and none is passed of which less than BAND is known: good ones above don't carry it."""
     by_score: dict[float, list[int]] = {}
     for f, n, good in patterns:
         row = by_score.setdefault(score_of(model, f), [0, 0])
         row[0], row[1] = row[0] + n, row[1] + good
-    all_n = all_good = 0
+    all_n = all_good = band_n = band_good = 0
     chosen = math.inf
     for score in sorted(by_score, reverse=True):
-        all_n, all_good = all_n + by_score[score][0], all_good + by_score[score][1]
+        n, good = by_score[score]
+        all_n, all_good, band_n, band_good = all_n + n, all_good + good, band_n + n, band_good + good
+        if band_n < least:
+            continue
+        if band_good < BAND * band_n:
+            break
+        band_n = band_good = 0
         if all_good >= least and all_good >= precision * all_n:
             chosen = score
     return chosen
