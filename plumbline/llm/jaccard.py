@@ -96,9 +96,9 @@ def _parts(texts: list) -> Iterator[list]:
 def _deal(docs: DataFrame, words: int, buckets: int, text: str) -> DataFrame:
     """The shingles of every class, dealt to buckets by hash.
 
-    A part of a batch gives a row for each bucket: owners (classes), shingles, and counts (the class's shingles, times 256, and how many
-    of them share another's name). Of a shingle that HEAVY classes of the part or more hold, the bucket gets only a mark (owner -1), and
-    the classes themselves (side 1, by class) are told that they have it.
+    A part of a batch gives a row for each bucket: owners (classes) and shingles. Of a shingle that HEAVY classes of the part or more
+    hold, the bucket gets only a mark (owner -1), and the classes themselves (side 1, by class) are told that they have it. Counts (the
+    class's shingles, times 256, and how many of them share another's name) go to each class once (side 2, by class).
     """
 
     def batch_of(batches: Iterator) -> Iterator:
@@ -110,25 +110,26 @@ def _deal(docs: DataFrame, words: int, buckets: int, text: str) -> DataFrame:
             if not found:
                 continue
             names = [np.unique(s >> np.uint64(16)) for s in found.values()]
-            owners = np.repeat(np.fromiter(found, np.int64), [len(s) for s in names])
-            counts = [len(s) * 256 + min(255, len(s) - len(own)) for s, own in zip(found.values(), names)]
-            totals = np.repeat(np.asarray(counts, np.int64), [len(s) for s in names])
+            classes = np.fromiter(found, np.int64)
+            owners = np.repeat(classes, [len(s) for s in names])
+            counts = np.asarray([len(s) * 256 + min(255, len(s) - len(own)) for s, own in zip(found.values(), names)], np.int64)
             shingles = np.concatenate(names)
             distinct, inverse, n = np.unique(shingles, return_inverse=True, return_counts=True)
             heavy = n[inverse] >= HEAVY
             marks = distinct[n >= HEAVY]
             parts = [
-                (0, np.concatenate([owners[~heavy], np.full(len(marks), -1)]), np.concatenate([shingles[~heavy], marks]), np.concatenate([totals[~heavy], np.zeros(len(marks), np.int64)]), None),
-                (1, owners[heavy], shingles[heavy], totals[heavy], owners[heavy]),
+                (0, np.concatenate([owners[~heavy], np.full(len(marks), -1)]), np.concatenate([shingles[~heavy], marks]), None),
+                (1, owners[heavy], shingles[heavy], None),
+                (2, classes, None, counts),
             ]
             rows: list[list] = [[], [], [], [], []]
-            for side, o, s, t, by in parts:
-                at = (s if by is None else by).astype(np.int64) % buckets
+            for side, o, s, t in parts:
+                at = (o if side else s.astype(np.int64)) % buckets
                 order = np.argsort(at, kind="stable")
                 cuts = np.searchsorted(at[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[b] : cuts[b + 1]]
-                    for column, value in zip(rows, (side, b, o[own].tobytes(), _packed(s[own]), t[own].tobytes())):
+                    for column, value in zip(rows, (side, b, o[own].tobytes(), None if s is None else _packed(s[own]), None if t is None else t[own].tobytes())):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[2:]]], names=["side", "bucket", "owners", "shingles", "counts"])
 
@@ -142,32 +143,36 @@ def _joined(pdf, column: str, kind: str):
 
 
 def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
-    """What classes share, dealt to buckets by class: owners, shingles, counts and numbers of holders (heavy: 2**31 - 1)."""
+    """What classes share, dealt to buckets by class: owners, shingles and numbers of holders (heavy: 2**31 - 1); and their counts."""
 
     def count(pdf):
         import numpy as np
         import pandas as pd
 
-        owners, shingles, totals = _joined(pdf, "owners", "<i8"), _unpacked(b"".join(pdf["shingles"])), _joined(pdf, "counts", "<i8")
-        if pdf["side"].iloc[0] == 1:
+        side, owners = pdf["side"].iloc[0], _joined(pdf, "owners", "<i8")
+        if side == 2:
+            owners, at = np.unique(owners, return_index=True)
+            return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "owners": [owners.tobytes()], "shingles": [None], "counts": [_joined(pdf, "counts", "<i8")[at].tobytes()], "holders": [None]})
+        shingles = _unpacked(b"".join(pdf["shingles"]))
+        if side == 1:
             holders = np.full(len(owners), 2**31 - 1, np.int32)
         else:
             order = np.lexsort((owners, shingles))
-            owners, shingles, totals = owners[order], shingles[order], totals[order]
+            owners, shingles = owners[order], shingles[order]
             first = np.ones(len(owners), bool)
             first[1:] = (owners[1:] != owners[:-1]) | (shingles[1:] != shingles[:-1])
-            owners, shingles, totals = owners[first], shingles[first], totals[first]  # a class may come from several batches
+            owners, shingles = owners[first], shingles[first]  # a class may come from several batches
             _, at, n = np.unique(shingles, return_index=True, return_counts=True)
             marked = owners[at] == -1
             holders = np.repeat(np.where(marked, 2**31 - 1, n), n).astype(np.int32)
             keep = (holders > 1) & (owners >= 0)
-            owners, shingles, totals, holders = owners[keep], shingles[keep], totals[keep], holders[keep]
+            owners, shingles, holders = owners[keep], shingles[keep], holders[keep]
         to = owners % buckets
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts)).tolist()
         cut = lambda values, packed=bytes: [packed(values[order[cuts[b] : cuts[b + 1]]]) for b in used]
-        return pd.DataFrame({"bucket": np.asarray(used, np.int32), "owners": cut(owners), "shingles": cut(shingles, _packed), "counts": cut(totals), "holders": cut(holders)})
+        return pd.DataFrame({"bucket": np.asarray(used, np.int32), "owners": cut(owners), "shingles": cut(shingles, _packed), "counts": None, "holders": cut(holders)})
 
     return dealt.groupBy("side", "bucket").applyInPandas(count, "bucket int, owners binary, shingles binary, counts binary, holders binary")
 
@@ -186,17 +191,22 @@ def open_classes(shared: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        owners, shingles, counts, holders = _joined(pdf, "owners", "<i8"), _unpacked(b"".join(pdf["shingles"])), _joined(pdf, "counts", "<i8"), _joined(pdf, "holders", "<i4")
+        told = pdf[pdf["counts"].notna()]
+        classes, at = np.unique(_joined(told, "owners", "<i8"), return_index=True)
+        counts = _joined(told, "counts", "<i8")[at]
+        pdf = pdf[pdf["counts"].isna()]
+        owners, shingles, holders = _joined(pdf, "owners", "<i8"), _unpacked(b"".join(pdf["shingles"])), _joined(pdf, "holders", "<i4")
         # a shingle may be told twice, by its bucket and by a batch: then it is heavy
         order = np.lexsort((-holders.astype(np.int64), shingles, owners))
-        owners, shingles, counts, holders = owners[order], shingles[order], counts[order], holders[order]
+        owners, shingles, holders = owners[order], shingles[order], holders[order]
         keep = np.ones(len(owners), bool)
         keep[1:] = (owners[1:] != owners[:-1]) | (shingles[1:] != shingles[:-1])
-        owners, shingles, counts, holders = owners[keep], shingles[keep], counts[keep], holders[keep]
+        owners, shingles, holders = owners[keep], shingles[keep], holders[keep]
         order = np.lexsort((shingles, holders, owners))
-        owners, shingles, counts = owners[order], shingles[order], counts[order]
-        _, at, held = np.unique(owners, return_index=True, return_counts=True)
-        n, met = counts[at] >> 8, counts[at] & 255
+        owners, shingles = owners[order], shingles[order]
+        ids, at, held = np.unique(owners, return_index=True, return_counts=True)
+        own = counts[np.searchsorted(classes, ids)]
+        n, met = own >> 8, own & 255
         room = n - least_overlap(n, percent) + 1 - (n - met - held)  # what shingles of its own leave of the window
         rows = np.flatnonzero(room > 0).tolist()
         cut = lambda i, k: shingles[at[i] : at[i] + k]
