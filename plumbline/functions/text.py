@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,3 +146,39 @@ def decode_references(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All named and numeric character references; Spark has no built-in for them."""
     for batch in values:
         yield batch.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def decomposed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Compatibility decomposition (NFKD); Spark has no built-in for it."""
+    for batch in values:
+        yield batch.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def signal(value: Column) -> Column:
+    """Text as date rules read it: decomposed, without marks, with plain dashes and single spaces, in lower case."""
+    plain = F.regexp_replace(decomposed(text_of(value)), r"[\u0300-\u036f]", "")
+    return F.lower(collapse(F.regexp_replace(F.regexp_replace(plain, "\u00df", "ss"), r"[\u2010-\u2015\u2212]", "-")))
+
+
+def repair_surrogates(payload: Column) -> Column:
+    """JSON text in which escapes of half a character, which parsers turn into question marks, stand for U+FFFD.
+
+    Escaped pairs and escaped backslashes stay. One pass from match to match, possessive, so long payloads take neither
+    stack nor backtracking.
+    """
+    hexes, high, low = "[0-9a-fA-F]{2}", r"\\u[dD][89abAB]", r"\\u[dD][c-fC-F]"
+    whole = rf"[^\\]++|\\[^u]|\\u(?![dD][89a-fA-F]{hexes})|{high}{hexes}{low}{hexes}"
+    return F.regexp_replace(text_of(payload), rf"(?s)\G((?:{whole})*+)\\u[dD][89a-fA-F]{hexes}", r"$1\\ufffd")
+
+
+def cut_graphemes(value: Column, most: int) -> Column:
+    """The longest start of the text that has at most `most` code points and ends where a grapheme cluster ends.
+
+    Clusters are those of the JVM's `\\X`. Where a cluster ends depends on what stands before and on the next code point
+    alone, so one code point more than `most` is read, and the last cluster of these goes. A first cluster longer than `most` leaves
+    an empty text.
+    """
+    text = text_of(value)
+    clusters = F.regexp_extract_all(F.substring(text, 1, most + 1), F.lit(r"\X"), F.lit(0))
+    return F.when(F.char_length(text) <= most, text).otherwise(F.substring(text, F.lit(1), F.lit(most + 1) - F.char_length(F.element_at(clusters, -1))))

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from plumbline.plans import records, timing, trust  # noqa: F401  (they register their queries)
+from plumbline.plans import records, texts, timing, trust  # noqa: F401  (they register their queries)
 from plumbline.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
