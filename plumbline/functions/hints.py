@@ -17,7 +17,11 @@ ENDS = ("gültig bis", "gueltig bis", "einlösbar bis", "einloesbar bis", "aktio
 OTHERS = ("aktualisiert", "stand", "zuletzt", "veröffentlicht", "veroeffentlicht", "reisezeitraum", "updated", "published", "posted")
 #: Characters between a date and its phrase at most.
 REACH = 60
-DATE = rf"\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{2,4}}(?!\d)|\d{{1,2}}\.?\s+(?:{'|'.join(w for ws in MONTH_WORDS for w in ws)})\b(?:\s+\d{{4}}\b)?|\d{{1,2}}\.\d{{1,2}}(?!\d)\.?"
+# Days and months that the calendar has (29.2. in any year): a version 4.0. or a part of an address is no date.
+_DAY = r"(?:0?[1-9]|[12]\d|3[01])"
+_DAY_MONTH = r"(?:(?:0?[1-9]|1\d|2\d){0}(?:0?[1-9]|1[0-2])|30{0}(?:0?[13-9]|1[0-2])|31{0}(?:0?[13578]|1[02]))"
+_BARE = rf"{_DAY_MONTH.replace('{0}', '[.]')}(?!\.?\d)"
+DATE = rf"(?=\d)(?<!\d)(?<!\d\.)(?:\d{{4}}-(?:0?[1-9]|1[0-2])-{_DAY}(?!\d)|{_DAY_MONTH.replace('{0}', '[./]')}[./](?:\d{{4}}|\d{{2}})(?!\.?\d)|{_DAY}\.?\s+(?:{'|'.join(w for ws in MONTH_WORDS for w in ws)})\b(?:\s+\d{{4}}\b)?|{_BARE}\.?)"
 #: Ranks of what a page says of a date.
 EXPLICIT, BROAD = 1, 2
 EVIDENCE = {EXPLICIT: "explicit-phrase", BROAD: "broad-token"}
@@ -33,27 +37,32 @@ def _words(phrases: Sequence[str]) -> str:
 def nearest(text: Column, ends: Sequence[str] = ENDS, others: Sequence[str] = OTHERS, reach: int = REACH) -> Column:
     """The date in a text that stands nearest to a phrase for an end, in one sentence and at most `reach` characters away, as
     (rank, distance, at, day, phrase): the phrase may come before or after; a date that a word of `others` introduces is
-    none. Of equally near ones the first counts. Without such a pair it is the first date, with rank BROAD; without a
-    date, or text, null. Each token moves a state of fixed size, so the work is linear in the text and its dates and phrases.
+    none. Of equally near ones the first counts. Without such a pair it is the first date, with rank BROAD, where 5.6 counts
+    only with its second point or a year; without a date, or text, null. Each token is read once and moves a state of fixed
+    size, so the work is linear in the text and its dates and phrases.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     phrase, other = rf"(?<!\p{{L}}){_words(ends)}(?!\p{{L}})", rf"(?<!\p{{L}}){_words(others)}(?!\p{{L}})"
-    token = rf"(?s)({DATE}|{phrase}|{other}|\p{{L}}+|\d+|.)"
+    token = rf"(?s)({DATE}|{phrase}|{other}|\p{{L}}+|\d+|[^\p{{L}}\d.!?;\n]+|.)"
     null, none = F.lit(None).cast("int"), F.lit(None).cast("string")
 
     def found(rank: int, distance: Column, at: Column, day: Column, said: Column) -> Column:
         return F.struct(F.lit(rank).alias("rank"), distance.alias("distance"), at.alias("at"), day.alias("day"), said.alias("phrase")).cast(_FOUND)
 
-    def step(s: Column, t: Column) -> Column:
+    def read(t: Column) -> Column:
+        kind = F.when(t.rlike(r"^\d"), F.when(t.rlike(rf"^(?:{DATE})$"), F.when(t.rlike(rf"^{_BARE}$"), "bare").otherwise("date")).otherwise("")).when(t.isin(*".!?;\n"), "stop").when(t.rlike(rf"^{_words(ends)}$"), "phrase").when(t.rlike(rf"^{_words(others)}$"), "other").otherwise("")
+        return F.struct(t.alias("t"), kind.alias("kind"))
+
+    def step(s: Column, token: Column) -> Column:
+        t, kind = token["t"], token["kind"]
         at, end = s["at"], s["at"] + F.char_length(t)
-        is_date, is_phrase, is_other = t.rlike(rf"^(?:{DATE})$"), t.rlike(rf"^{_words(ends)}$"), t.rlike(rf"^{_words(others)}$")
-        stop = t.rlike(r"^[.!?;\n]$")
+        is_date, is_phrase, is_other, stop = kind.isin("date", "bare"), kind == "phrase", kind == "other", kind == "stop"
         before = at - s["phrase_end"]
         after = at - s["date_end"]
         pair = (
             F.when(is_date & ~s["other"] & (before <= reach), found(EXPLICIT, before, at, t, s["phrase"]))
             .when(is_phrase & (after <= reach), found(EXPLICIT, after, s["date_at"], s["day"], t))
-            .when(is_date, found(BROAD, null, at, t, none))
+            .when(kind == "date", found(BROAD, null, at, t, none))
         )
         better = pair.isNotNull() & (s["best"].isNull() | (pair["rank"] < s["best"]["rank"]) | (pair["rank"] == EXPLICIT) & (s["best"]["rank"] == EXPLICIT) & (pair["distance"] < s["best"]["distance"]))
         # a date waits for a phrase after it, unless it has one or is another's
@@ -71,7 +80,7 @@ def nearest(text: Column, ends: Sequence[str] = ENDS, others: Sequence[str] = OT
         ).cast(_STATE)
 
     zero = F.struct(F.lit(0).alias("at"), null.alias("phrase_end"), none.alias("phrase"), null.alias("date_end"), null.alias("date_at"), none.alias("day"), F.lit(False).alias("other"), F.lit(None).cast(_FOUND).alias("best")).cast(_STATE)
-    return bound(low, lambda x: F.when(x.rlike(DATE), F.aggregate(F.regexp_extract_all(x, F.lit(token), 1), zero, step)["best"]))
+    return bound(low, lambda x: F.when(x.rlike(DATE), F.aggregate(F.transform(F.regexp_extract_all(x, F.lit(token), 1), read), zero, step)["best"]))
 
 
 def page_dates(html: Column, today: Column) -> Column:

@@ -102,3 +102,15 @@ def test_nearest_pairs(spark):
 def test_page_dates(spark, page, evidence, day):
     got = spark.range(1).select(hints.page_dates(F.lit(page).cast("string"), F.lit(str(TODAY)).cast("date")).alias("h")).first()["h"]
     assert (got["evidence"], got["day"] and str(got["day"])) == (evidence, day)
+
+
+@pytest.mark.parametrize("title", ["Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "Host 17.65.244.232 und 4.5.60.7", "so 65.3", "so 10.3", "am 30.2. nie", "4711-55-99", "1.2.199"])
+def test_numbers_that_are_no_dates(spark, title):
+    page = f"<title>{title}</title><p>Zuletzt aktualisiert am 3.7.2026</p>"
+    got = spark.range(1).select(hints.page_dates(F.lit(page), F.lit(str(TODAY)).cast("date")).alias("h")).first()["h"]
+    assert (got["evidence"], got["zone"], str(got["day"])) == ("broad-token", "text", "2026-07-03")
+
+
+@pytest.mark.parametrize(("text", "day"), [("endet am 10.3", "10.3"), ("endet am 31.12.", "31.12."), ("12.4.-20.4.2026", "12.4."), ("29.2.2028.", "29.2.2028"), ("(1/2/26)", "1/2/26")])
+def test_short_dates(spark, text, day):
+    assert spark.range(1).select(hints.nearest(F.lit(text)).alias("n")).first()["n"]["day"] == day
