@@ -11,9 +11,11 @@ from plumbline.workspace import store
 
 #: Ranges of row numbers that the history of a contested record is cut into.
 RANGES = 64
+#: Rows of a group that one task passes over at most; larger groups go by rounds.
+AT_ONCE = 50_000
 
 
-def greedy_records(rows: DataFrame, row_no: str, keys: Column, most_rounds: int = 200) -> DataFrame:
+def greedy_records(rows: DataFrame, row_no: str, keys: Column, most_rounds: int = 200, at_once: int = AT_ONCE) -> DataFrame:
     """(row_no, record): the record that each row joins, named by its first row, if rows come by `row_no`, a unique number.
 
     A row joins the record that the first of its keys that is known stands for, else it begins one. The record takes the
@@ -21,7 +23,9 @@ def greedy_records(rows: DataFrame, row_no: str, keys: Column, most_rounds: int
     key stands for depends on who came last, and the result on the order of rows. `keys` is an array of strings in order of
     precedence; null and empty ones do not count, and a row without keys is a record of its own.
 
-    It is found by rounds in place of a pass. While one record only holds a key, the key stands for it from its first row
+    Rows that no chain of shared keys connects do not meet, so each group of connected rows (`components`) is merged by itself:
+    one of at most `at_once` rows by the pass, in whatever task it falls, with no more in memory than its keys; larger ones by
+    rounds, in which no task holds a group. While one record only holds a key, the key stands for it from its first row
     on, so a row follows that first row, and records are the trees of a forest (`components`). Keys that several records hold
     are contested: there, from the records of the last round, the one that was last joined before the row counts. What a row
     does follows from the rows before it alone, so a round that changes nothing has the records of the pass; each round
@@ -32,6 +36,45 @@ def greedy_records(rows: DataFrame, row_no: str, keys: Column, most_rounds: int
     held = store(held, "greedy-keys")
     firsts = store(held.groupBy("key").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n")), "greedy-firsts")
     known = store(join_unique(held, firsts.select("key", "first"), ["key"], firsts), "greedy-known")
+    groups = components(known.where("first < r").select(F.col("r").alias("a"), F.col("first").alias("b")))
+    groups = store(base.join(groups, F.col("r") == F.col("id"), "left").select("r", "keys", F.coalesce("component", "r").alias("group")), "greedy-groups")
+    large = store(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once).select(F.col("group").alias("_group")), "greedy-large")
+    of_large = lambda how: groups.join(large, F.col("group") == F.col("_group"), how)
+    small = _by_pass(of_large("left_anti"))
+    if not large.isEmpty():
+        rest = store(of_large("left_semi").select("r"), "greedy-rest")
+        known = store(known.join(rest.withColumnRenamed("r", "_r"), F.col("r") == F.col("_r"), "left_semi"), "greedy-known")
+        small = small.unionByName(_by_rounds(rest, known, most_rounds))
+    return small.select(F.col("r").alias(row_no), "record")
+
+
+def _by_pass(grouped: DataFrame) -> DataFrame:
+    """(r, record) of rows (r, keys, group), each group in one task. Of the records that hold a key, the one joined last has it."""
+
+    def one_pass(parts):
+        import pandas as pd
+
+        group, holders, last = None, {}, {}
+        for part in parts:
+            records = []
+            for r, g, keys in zip(part["r"].tolist(), part["group"].tolist(), part["keys"].tolist()):
+                if g != group:
+                    group, holders, last = g, {}, {}
+                keys = [k for k in keys if k] if keys is not None else []
+                known = next((holders[k] for k in keys if k in holders), None)
+                record = max(known, key=last.__getitem__) if known else r
+                for k in keys:
+                    holders.setdefault(k, set()).add(record)
+                last[record] = r
+                records.append(record)
+            yield pd.DataFrame({"r": part["r"], "record": records})
+
+    kind = dict(grouped.dtypes)["r"]
+    return grouped.repartition("group").sortWithinPartitions("group", "r").mapInPandas(one_pass, f"r {kind}, record {kind}")
+
+
+def _by_rounds(base: DataFrame, known: DataFrame, most_rounds: int) -> DataFrame:
+    """(r, record) by rounds over the rows `base` (r) and their keys `known` (r, p, key, first)."""
     before, follows = None, known.where("first < r").select("r", "p", F.col("first").alias("at"))
     for _ in range(most_rounds):
         least = follows.groupBy("r").agg(F.min_by("at", "p").alias("b")).select(F.col("r").alias("a"), "b")
@@ -52,7 +95,7 @@ def greedy_records(rows: DataFrame, row_no: str, keys: Column, most_rounds: int
         follows = store(calm.unionByName(winners), "greedy-follows")
     else:
         raise RuntimeError(f"records did not settle in {most_rounds} rounds")
-    return record.select(F.col("r").alias(row_no), "record")
+    return record
 
 
 def _last_joined(asked: DataFrame, record: DataFrame) -> DataFrame:

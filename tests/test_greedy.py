@@ -55,6 +55,21 @@ def test_a_chain_and_a_hot_key(spark):
     assert {r["n"]: r["record"] for r in greedy.greedy_records(df, "n", F.col("keys")).collect()} == one_pass(chain + hot)
 
 
+@pytest.mark.parametrize("at_once", [0, 300])
+def test_groups_by_rounds_and_by_passes(spark, at_once):
+    """Groups above the limit go by rounds, others by a pass: the result is the same."""
+    rows = list(enumerate(drawn(2, 700, 2))) + [(1000 + i, [f"h{i % 40}", f"v{i % 7}"]) for i in range(400)] + [(2000 + i, [f"x{i // 3}"]) for i in range(90)]
+    df = spark.createDataFrame(rows, "n long, keys array<string>").repartition(5)
+    assert {r["n"]: r["record"] for r in greedy.greedy_records(df, "n", F.col("keys"), at_once=at_once).collect()} == one_pass(rows)
+
+
+def test_small_groups_take_no_rounds(spark):
+    """Keys that change hands row after row are settled by a pass: no round is left to take."""
+    rows = [(100 * g + i, [f"{g}h{i // 2}" if i % 3 else f"{g}v{i % 5}", f"{g}v{i * i % 5}"]) for g in range(50) for i in range(100)]
+    df = spark.createDataFrame(rows, "n long, keys array<string>")
+    assert {r["n"]: r["record"] for r in greedy.greedy_records(df, "n", F.col("keys"), most_rounds=0).collect()} == one_pass(rows)
+
+
 def test_merged_rows(spark):
     rows = [(1, "a", None, 2, None), (2, "b", None, 5, "x"), (3, "a", "b", 5, "y"), (4, "z", None, 1, None)]
     df = spark.createDataFrame(rows, "n long, k string, l string, score int, note string")
