@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores
+from plumbline.workspace import store
 
 
 def rate(n: Column, total: Column) -> Column:
@@ -14,12 +15,12 @@ def rate(n: Column, total: Column) -> Column:
 
 
 def source_health(rows: DataFrame, source: str, signature: str, vienna: Column, food: Column, promo: Column, fresh: Column, url: Column, quality: Column) -> DataFrame:
-    """Per source: counts, rates and the five scores. Signatures are counted over all sources first; the maxima that the
-    coverage score needs come from the few rows per source, not from the table."""
+    """Per source: counts, rates and the five scores. Signatures are counted by source, and over all sources by a window on
+    these counts; rows without a signature do not count. The few rows per source are stored, so that the maxima that the
+    coverage score needs do not read the table again."""
     flag = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    shared = rows.groupBy(signature, source).agg(F.count(F.lit(1)).alias("n"), flag(vienna).alias("vienna"), flag(food).alias("food"), flag(promo).alias("promo"), flag(fresh).alias("fresh"), flag(url.isNull() | (url == "")).alias("no_url"), F.sum(quality).alias("quality"))
-    spread = rows.groupBy(signature).agg(F.count(F.lit(1)).alias("n_all"))
-    joined = shared.join(spread, signature)
+    shared = rows.where(F.col(signature).isNotNull()).groupBy(signature, source).agg(F.count(F.lit(1)).alias("n"), flag(vienna).alias("vienna"), flag(food).alias("food"), flag(promo).alias("promo"), flag(fresh).alias("fresh"), flag(url.isNull() | (url == "")).alias("no_url"), F.sum(quality).alias("quality"))
+    joined = shared.withColumn("n_all", F.sum("n").over(Window.partitionBy(signature)))
     stats = joined.groupBy(source).agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("n_distinct"),
@@ -29,6 +30,7 @@ def source_health(rows: DataFrame, source: str, signature: str, vienna: Column,
     )
     of = lambda name, n: rate(F.col(n), F.col("total")).alias(name)
     stats = stats.select("*", of("unique_rate", "n_unique"), of("vienna_rate", "vienna"), of("food_rate", "food"), of("promo_rate", "promo"), of("fresh_rate", "fresh"), of("missing_url_rate", "no_url"), of("duplicate_rate", "n_repeated"), F.round(F.col("quality") / F.col("total"), 4).alias("avg_quality"))
+    stats = store(stats, "source-health")
     most = stats.agg(*[F.max(c).alias(f"max_{c}") for c in ("total", "n_unique", "fresh")])
     scored = stats.join(F.broadcast(most)).select("*", scores.health(F.col).alias("health"), scores.mission(F.col).alias("mission"), scores.coverage(F.col).alias("coverage"), scores.precision(F.col).alias("precision"))
     return scored.withColumn("weight", scores.weight(F.col)).drop("max_total", "max_n_unique", "max_fresh", "quality")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The moment that the queries take for now.
@@ -17,11 +17,12 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, with a page's URL, an event as its publication, a label as its quality, an order's priority."""
+def offers(spark: SparkSession, sf_dir: str, **early: Column) -> DataFrame:
+    """One row per document, with a page's URL, an event as its publication, a label as its quality, an order's priority.
+    `early` columns are computed from a document before it is joined, so that a text of which only they are used does not travel."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     n_pages = pages.agg(F.count(F.lit(1)).alias("n_pages"))
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(n_pages)).withColumn("page_id", F.col("doc_id") % F.col("n_pages"))
+    docs = table(spark, sf_dir, "documents").withColumns(early).join(F.broadcast(n_pages)).withColumn("page_id", F.col("doc_id") % F.col("n_pages"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("pub_date"), "user_id", "event_type")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.substring("o_orderpriority", 1, 1).cast("long").alias("priority"))
@@ -39,6 +40,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.lit("2024-01-31").cast("date"), (F.col("doc_id") % 61 - 30).cast("int")).alias("expires"),
         (F.coalesce("quality", F.lit(0)) * 60 + F.least("n_chars", F.lit(4000)) / 100.0).cast("double").alias("quality_score"),
         "priority",
+        *early,
     )
 
 

@@ -556,7 +556,7 @@ SELECT * EXCLUDE (quality), {_clamp_sql('health * 0.28 + mission * 0.32 + covera
 @query(_HEALTH_SQL)
 def q_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: per-source statistics and scores."""
-    rows = offers(spark, sf_dir).withColumn("sig", F.md5(F.col("description").cast("binary")))
+    rows = offers(spark, sf_dir, sig=F.md5(F.col("text").cast("binary")))
     return stats.source_health(rows, "source", "sig", F.col("category") == "de", F.col("type").isin("view", "click"), F.col("type") == "purchase", F.col("pub_date") >= F.lit("2024-01-24").cast("timestamp"), F.col("url"), F.col("quality_score"))
 
 

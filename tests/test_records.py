@@ -61,3 +61,18 @@ def test_the_window_of_owners_moves_on(spark):
     rest = spark.createDataFrame([("o1",)], "owner string")
     turns = [{r["owner"] for r in reviews.owners_to_verify(rows, "owner", "at", rest, 3, turn, 5).collect()} for turn in range(3)]
     assert all({"o0", "o2", "o3"} <= t and len(t) == 8 and "o1" not in t for t in turns) and len(set().union(*turns)) > 8
+
+
+def test_source_health_reads_rows_once_and_moves_no_texts(spark, monkeypatch):
+    """The table is read for one stored result, and no join carries texts to it."""
+    from plumbline.operators import stats
+    from plumbline.plans.queries import QUERIES
+
+    plans, store = [], stats.store
+    of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(stats, "store", lambda df, tag: (plans.append(of(df)), store(df, tag))[1])
+    assert "md5(" not in of(QUERIES["q_source_health"](spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 1
+    lines = plans[0].splitlines()
+    digest = next(i for i, line in enumerate(lines) if "md5(" in line)
+    assert any("Join" in line for line in lines[:digest]) and not any("text#" in line for line in lines[:digest])
