@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dates, ids, rules, scores, text, urls
 from plumbline.operators import contracts, dedup, joins, rank, stats, validity
 from plumbline.plans.offers import AS_OF, OFFERS_SQL, as_of, offers, table
-from plumbline.sources import landed, sinks
+from plumbline.sources import landed, publish, sinks
 from plumbline.workspace import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,15 +677,26 @@ def _drained(stream: DataFrame, tag: str, keys: list[str] | None = None) -> Data
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*").select(*stream.columns)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
-    """The events as they land: in so many files by time, one a micro-batch."""
+#: Files of a landed part at most; a file stream lists 10,000 files ahead and should find some parts among them.
+MOST_FILES = 1000
+
+
+def _event_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """The events as they land: in so many parts by time (events without a time in the first), one a micro-batch.
+
+    A part is written by the tasks that read it, so it has as many files as tasks found rows of it. A file stream takes files
+    in the order in which they landed, equally many a micro-batch: a part of fewer files is filled up with empty ones.
+    """
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    bounds = events.selectExpr(f"percentile_approx(unix_timestamp(ts), array({', '.join(str(i / files) for i in range(1, files))})) AS b").first()["b"] or []
-    part = sum((F.unix_timestamp("ts") > b).cast("int") for b in bounds) if bounds else F.lit(0)
-    for i in range(files):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    bounds = events.selectExpr(f"percentile_approx(unix_timestamp(ts), array({', '.join(str(i / parts) for i in range(1, parts))})) AS b").first()["b"] or []
+    part = F.coalesce(sum((F.unix_timestamp("ts") > b).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
+    files = min(max(events.rdd.getNumPartitions(), 1), MOST_FILES)
+    events.where("false").coalesce(1).write.parquet(f"{path}-empty")
+    for i in range(parts):
+        events.where(part == i).coalesce(files).write.mode("append").parquet(path)
+        publish.fill_up(spark, f"{path}-empty", path, (i + 1) * files)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

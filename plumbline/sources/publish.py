@@ -30,6 +30,14 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(n for s in fc.util().listStatus(path(folder)) if not (n := s.getPath().getName()).startswith("."))
 
 
+def fill_up(spark: SparkSession, empty: str, folder: str, n: int) -> None:
+    """Copy the one Parquet file of the folder `empty` into another folder until that has n of them."""
+    fc, path = _files(spark, folder)
+    held = lambda at: [x for x in names(spark, at) if x.endswith(".parquet")]
+    for _ in range(n - len(held(folder))):
+        fc.util().copy(path(f"{empty}/{held(empty)[0]}"), path(f"{folder}/empty-{uuid.uuid4().hex}.parquet"))
+
+
 def claim(spark: SparkSession, folder: str, name: str, text: str = "") -> bool:
     """Make folder/name with this text, whole or not at all; False if it is there already. The text is written beside it and
     renamed, which the file system does atomically and without overwriting."""

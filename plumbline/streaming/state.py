@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # How long ids stay known, how long a claim may take at most and at least, and the decay of counters.
 SEEN, CLAIM_TTL_S, CLAIM_LEAST_S, DECAY = "7 days", 7 * 86400, 15, 0.75
+#: Buckets of keys whose states are kept together.
+BUCKETS = 4096
 
 
 def first_seen(events: DataFrame, key: list[str], time: str, keep: str = SEEN) -> DataFrame:
@@ -23,25 +26,40 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: st
     return events.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
-def decayed_counters(runs: DataFrame, key: str, order: str, value: str, factor: float = DECAY) -> DataFrame:
+def _bucket(key: str, buckets: int) -> Column:
+    """Keys share the state of their bucket, as a call of Python for each key costs more than all of its rows; null has its own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("_bucket")
+
+
+def decayed_counters(runs: DataFrame, key: str, order: str, value: str, factor: float = DECAY, buckets: int = BUCKETS) -> DataFrame:
     """After each batch, per key: runs so far and the decayed sum, in which each run counts `factor` times the next.
 
-    Runs come in the order of `order` from batch to batch; within a batch each Arrow frame is folded on its own, as a run's
-    weight needs only its rank in the batch, so that a hot key's frames need not be in memory together.
+    Runs come in the order of `order` (null first) from batch to batch; a run without a value adds nothing. The state is one
+    row for each of `buckets` hash buckets of keys, which must stay the same as long as the stream lives: a batch calls
+    Python once for each bucket it touches and rewrites that bucket's counters, two numbers and the key each.
+    Its runs are folded as arrays, so of a hot key a batch holds three values a run.
     """
 
-    def step(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, recent = state.get if state.exists else (0, 0.0)
-        ordered: list = []  # (order, value) pairs, two numbers a run
-        for frame in frames:
-            ordered.extend(zip(frame[order].tolist(), frame[value].tolist()))
-        for _, x in sorted(ordered):
-            n, recent = n + 1, recent * factor + float(x)
-        state.update((n, recent))
-        yield pd.DataFrame({key: [key_values[0]], "runs": [n], "recent": [recent]})
-
-    kind = dict(runs.dtypes)[key]
-    return runs.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, runs long, recent double", "n long, recent double", "update", GroupStateTimeout.NoTimeout)
+    def step(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, n, recent = state.get if state.exists else ([], [], [])
+        known = dict(zip(keys, zip(n, recent)))
+        rows = pd.concat(list(frames), ignore_index=True).sort_values([order, value], na_position="first")
+        codes, found = pd.factorize(rows[key], use_na_sentinel=False)
+        counts, by_key = np.bincount(codes), np.argsort(codes, kind="stable")
+        age = np.repeat(np.cumsum(counts), counts) - 1 - np.arange(len(rows))
+        sums = np.bincount(codes[by_key], weights=rows[value].to_numpy()[by_key] * factor ** age.astype(float))
+        found = [None] if bucket[0] < 0 else found.tolist()
+        for k, more, add in zip(found, counts.tolist(), sums.tolist()):
+            n_k, recent_k = known.get(k, (0, 0.0))
+            known[k] = (n_k + more, recent_k * factor**more + add)
+        state.update((list(known), [c for c, _ in known.values()], [r for _, r in known.values()]))
+        yield pd.DataFrame({key: found, "runs": [known[k][0] for k in found], "recent": [known[k][1] for k in found]})
+
+    kinds = dict(runs.dtypes)
+    whole = kinds[order] in ("tinyint", "smallint", "int", "bigint")  # pandas has no null among integers
+    ordered = F.coalesce(F.col(order).cast("long"), F.lit(-(2**63)).cast("long")) if whole else F.col(order)
+    narrow = runs.select(_bucket(key, buckets), key, ordered.alias(order), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value))
+    return narrow.groupBy("_bucket").applyInPandasWithState(step, f"{key} {kinds[key]}, runs long, recent double", f"keys array<{kinds[key]}>, n array<long>, recent array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def claims(events: DataFrame, token: str, kind: str, at: str, inviter: str, visitor: str, time: str, late: str = "1 hour") -> DataFrame:

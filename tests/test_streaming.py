@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,41 @@ def test_windows(spark, files):
         key = (r["start"], r["event_type"])
         total[key] = max(total.get(key, 0), r["n"])
     assert sum(total.values()) == spark.read.parquet(files).count()
+
+
+def batched(spark, at, batches, schema, run):
+    """Runs `run` on a stream that brings each list of rows as a micro-batch; all that is emitted, in order, and the rows of state at the end."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+    out = []
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    q = run(source).writeStream.outputMode("update").foreachBatch(lambda df, n: out.append([tuple(r) for r in df.collect()])).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return out, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_decayed_counters_of_many_keys_take_one_state_a_bucket(spark, tmp_path):
+    rnd = random.Random(3)
+    keys = [None, *range(2**60, 2**60 + 300)]
+    batches = [[(rnd.choice(keys) if rnd.random() < 0.7 else 5, rnd.choice([None, b * 2**58 + i]) if i % 50 == 0 else b * 2**58 + i, rnd.choice([None, 1.0, 7.0, 30.0])) for i in range(800)] for b in range(3)]
+    got, held = batched(spark, str(tmp_path / "in"), batches, "k long, o long, x double", lambda s: state.decayed_counters(s, "k", "o", "x", buckets=16))
+    want = {}
+    for batch, emitted in zip(batches, got):
+        for k, _, x in sorted(batch, key=lambda r: (r[1] is not None, r[1] or 0, -1 if r[2] is None else r[2])):
+            n, recent = want.get(k, (0, 0.0))
+            want[k] = (n + 1, recent * state.DECAY + (x or 0.0))
+        assert {k: (n, pytest.approx(recent)) for k, n, recent in emitted} == {k: want[k] for k in {r[0] for r in batch}}
+    assert held <= 17  # a state for each key before
+
+
+def test_a_landed_part_has_many_files_and_is_one_batch(spark, tmp_path):
+    from plumbline.plans.queries import _event_stream
+
+    at = str(tmp_path / "sf")
+    spark.range(3000).selectExpr("id AS event_id", "CASE WHEN id > 0 THEN timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) END AS ts").repartitionByRange(5, "event_id").write.parquet(f"{at}/events.parquet")
+    out = []
+    source = _event_stream(spark, at)
+    source.select("event_id", F.input_file_name()).writeStream.foreachBatch(lambda df, n: out.append(df.collect())).trigger(availableNow=True).start().awaitTermination(180)
+    assert sorted(r[0] for b in out for r in b) == list(range(3000))  # with the event that has no time, which was left out before
+    assert len(out) == 3 and max(len({r[1] for r in b}) for b in out) > 1
+    assert all(max(r[0] for r in a) < min(r[0] for r in b) for a, b in zip(out, out[1:]))
