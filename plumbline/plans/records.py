@@ -10,6 +10,7 @@ from plumbline.operators import rank, retention, reviews, summaries, validity
 from plumbline.plans.offers import AS_OF, OFFERS_SQL, as_of, offers, table
 from plumbline.plans.queries import _drained, _event_stream, query
 from plumbline.sources import landed
+from plumbline.workspace import store
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -436,6 +437,7 @@ def q_stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.streaming.state import claims
 
     firsts = table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("first")).withColumnRenamed("user_id", "_u")
+    firsts = store(firsts, "first-signups")  # each micro-batch reads it
     kinds = F.when(F.col("event_type") == "signup", "start").otherwise("complete")
     stream = _event_stream(spark, sf_dir).where("event_type in ('signup', 'purchase')").join(firsts, F.col("user_id") == F.col("_u")).where((F.col("event_type") == "purchase") | (F.col("ts") == F.col("first")))
     moves = stream.select(F.col("user_id"), kinds.alias("kind"), F.unix_timestamp("ts").alias("at"), F.lit("a").alias("inviter"), F.lit("b").alias("visitor"), "ts")

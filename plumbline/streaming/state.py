@@ -62,41 +62,46 @@ def decayed_counters(runs: DataFrame, key: str, order: str, value: str, factor:
     return narrow.groupBy("_bucket").applyInPandasWithState(step, f"{key} {kinds[key]}, runs long, recent double", f"keys array<{kinds[key]}>, n array<long>, recent array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def claims(events: DataFrame, token: str, kind: str, at: str, inviter: str, visitor: str, time: str, late: str = "1 hour") -> DataFrame:
+def claims(events: DataFrame, token: str, kind: str, at: str, inviter: str, visitor: str, time: str, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """start makes a claim pending; complete, at least CLAIM_LEAST_S and at most CLAIM_TTL_S later, completes it once.
 
     `at` is in epoch seconds, `time` is the same moment as event time. Emits (token, status, started, completed) when a
-    claim's status changes. A visitor cannot claim an invitation of their own; what comes again changes nothing. A token's
-    state goes once the watermark is CLAIM_TTL_S past its last move; a claim that is pending then is emitted as expired.
+    claim's status changes. A visitor cannot claim an invitation of their own; what comes again changes nothing, nor does
+    what has no moment. A token goes once the watermark is CLAIM_TTL_S past its last move; a claim that is pending then is
+    emitted as expired. The state is one row for each of `buckets` hash buckets of tokens, as in decayed_counters; it times
+    out when the first of its tokens does.
     """
 
-    def row(key_values: tuple, status: str, started: int, completed: int) -> pd.DataFrame:
-        return pd.DataFrame({token: [key_values[0]], "status": [status], "started": [started], "completed": [completed]})
-
-    def step(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, completed = state.get if state.exists else (-1, -1)
-        if state.hasTimedOut:
+    def step(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, started, completed, due = state.get if state.exists else ([], [], [], [])
+        known = dict(zip(tokens, zip(started, completed, due)))
+        mark, before = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True).sort_values(at, kind="stable")
+            of = [None] * len(rows) if bucket[0] < 0 else rows[token].tolist()
+            for t, move, when, own in zip(of, rows[kind].tolist(), rows[at].tolist(), rows["_own"].tolist()):
+                start, done, _ = known.get(t, (-1, -1, 0))
+                before.setdefault(t, (start, done))
+                if not own and move == "start" and done < 0 and (start < 0 or when - start > CLAIM_TTL_S):
+                    start = int(when)
+                elif not own and move == "complete" and start >= 0 and done < 0 and CLAIM_LEAST_S <= when - start <= CLAIM_TTL_S:
+                    done = int(when)
+                known[t] = (start, done, max((max(start, done, 0) + CLAIM_TTL_S) * 1000, mark) + 1)
+        told = [(t, "completed" if known[t][1] >= 0 else "pending", *known[t][:2]) for t, was in before.items() if known[t][:2] != was]
+        told += [(t, "expired", start, done) for t, (start, done, last) in known.items() if last < mark and start >= 0 and done < 0]
+        known = {t: x for t, x in known.items() if x[2] >= mark}
+        if known:
+            state.update((list(known), *([x[i] for x in known.values()] for i in range(3))))
+            state.setTimeoutTimestamp(min(x[2] for x in known.values()))
+        elif state.exists:
             state.remove()
-            if started >= 0 and completed < 0:
-                yield row(key_values, "expired", started, completed)
-            return
-        before = (started, completed)
-        rows = pd.concat(list(frames)).sort_values(at, kind="stable")
-        for r in rows.to_dict("records"):
-            if r[inviter] == r[visitor]:
-                continue
-            if r[kind] == "start" and completed < 0 and (started < 0 or r[at] - started > CLAIM_TTL_S):
-                started = int(r[at])
-            elif r[kind] == "complete" and started >= 0 and completed < 0 and CLAIM_LEAST_S <= r[at] - started <= CLAIM_TTL_S:
-                completed = int(r[at])
-        state.update((started, completed))
-        state.setTimeoutTimestamp(max((max(started, completed, 0) + CLAIM_TTL_S) * 1000, state.getCurrentWatermarkMs()) + 1)
-        if (started, completed) != before:
-            yield row(key_values, "completed" if completed >= 0 else "pending", started, completed)
-
-    columns = list(dict.fromkeys([token, kind, at, inviter, visitor, time]))
+        yield pd.DataFrame(told, columns=[token, "status", "started", "completed"])
+
+    own = F.col(inviter).eqNullSafe(F.col(visitor)).alias("_own")
     key_kind = dict(events.dtypes)[token]
-    return events.select(*columns).withWatermark(time, late).groupBy(token).applyInPandasWithState(step, f"{token} {key_kind}, status string, started long, completed long", "started long, completed long", "update", GroupStateTimeout.EventTimeTimeout)
+    columns = list(dict.fromkeys([token, kind, at, time]))
+    moves = events.withWatermark(time, late).where(F.col(at).isNotNull()).select(_bucket(token, buckets), *columns, own)
+    return moves.groupBy("_bucket").applyInPandasWithState(step, f"{token} {key_kind}, status string, started long, completed long", f"tokens array<{key_kind}>, started array<long>, completed array<long>, due array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooling(failures: DataFrame, source: str, at: str, hours: int) -> DataFrame:

@@ -94,6 +94,40 @@ def test_decayed_counters_of_many_keys_take_one_state_a_bucket(spark, tmp_path):
     assert held <= 17  # a state for each key before
 
 
+def test_claims_of_many_tokens_take_one_state_a_bucket(spark, tmp_path):
+    rnd = random.Random(4)
+    day, tokens = 86400, [None, *(f"t{i}" for i in range(200))]
+
+    def move(b):
+        at = b * 6 * day + rnd.randrange(6 * day)
+        return (rnd.choice(tokens), rnd.choice(["start", "complete", "complete", "view"]), at, "a", rnd.choice("abcd"))
+
+    batches = [[move(b) for _ in range(150)] for b in range(5)]
+    run = lambda s: state.claims(s.withColumn("ts", F.timestamp_seconds("at")), "token", "kind", "at", "inviter", "visitor", "ts", buckets=16)
+    got, held = batched(spark, str(tmp_path / "in"), batches, "token string, kind string, at long, inviter string, visitor string", run)
+    known, mark = {}, 0
+    for batch, emitted in zip([*batches, []], [*got, []]):
+        told, live = [], {r[0] for r in batch}
+        for t in live:
+            was = start, done = known.get(t, (-1, -1, 0))[:2]
+            for _, kind, at, inviter, visitor in sorted((r for r in batch if r[0] == t), key=lambda r: r[2]):
+                if inviter != visitor and kind == "start" and done < 0 and (start < 0 or at - start > state.CLAIM_TTL_S):
+                    start = at
+                elif inviter != visitor and kind == "complete" and start >= 0 > done and state.CLAIM_LEAST_S <= at - start <= state.CLAIM_TTL_S:
+                    done = at
+            known[t] = (start, done, max((max(start, done, 0) + state.CLAIM_TTL_S) * 1000, mark) + 1)
+            told += [(t, "completed" if done >= 0 else "pending", start, done)] if (start, done) != was else []
+        for t in [t for t, x in known.items() if t not in live and x[2] < mark]:
+            start, done, _ = known.pop(t)
+            told += [(t, "expired", start, done)] if start >= 0 > done else []
+        if batch:
+            assert sorted(map(str, emitted)) == sorted(map(str, told))
+            mark = max(mark, (max(r[2] for r in batch) - 3600) * 1000)
+        else:
+            assert sorted(map(str, sum(got[len(batches):], []))) == sorted(map(str, told)) and any("expired" in str(r) for r in told)
+    assert held <= 17  # a state for each token before
+
+
 def test_a_landed_part_has_many_files_and_is_one_batch(spark, tmp_path):
     from plumbline.plans.queries import _event_stream
 
