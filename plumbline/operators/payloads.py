@@ -56,6 +56,12 @@ def _value(item: str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(item, path, kind)
 
 
+def _held(payload: str, items: str, path: str) -> Column:
+    """The values at `path` that the items of the list at `items` have, as an array."""
+    each = F.transform(F.try_variant_get(payload, items, "array<variant>"), lambda x: F.try_variant_get(x, path, "string"))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
 def _breaches(f: Field) -> list[Column]:
     raw = _value("item", f.path, "variant")
     missing = raw.isNull() | F.is_variant_null(raw)
@@ -73,12 +79,12 @@ def broken_payloads(rows: DataFrame, key: str, payload: str, contract: Contract)
     `payload` is JSON text and `key` names it uniquely. Text that is no JSON (null too) breaks 'json' at '$'; a list that is
     missing breaks 'missing' at its path; a total that differs from the number of items, or is none, breaks 'total'. Fields
     break 'missing' (absent or JSON null), 'type', or a test by its name; of values that may come once, all but the first
-    (by key, then place) break 'repeated'. Each payload is parsed once and read by path; values that repeat are found by
-    one aggregation whose result the rows meet by join_unique, so that a value that a third of all items hold fills no task.
-    No rows give no rows.
+    (by key, then place) break 'repeated'. Each payload is parsed once and read by path; of its items what they break and
+    the values that are compared are kept. Values that repeat are found by one aggregation whose result the rows meet by
+    join_unique, so that a value that a third of all items hold fills no task; of what is compared within a payload only
+    payloads take part that have a repeated or a clashing value, which their row tells by itself. No rows give no rows.
     """
     parsed = store(rows.select(key, F.try_parse_json(payload).alias("v")), "payloads")
-    items = store(exploded(parsed, key, contract.items), "payload-items")
     named = lambda below: F.concat(F.lit(f"{contract.items}["), F.col("place").cast("string"), F.lit("]"), below).alias("path")
 
     n_items = F.size(F.try_variant_get("v", contract.items, "array<variant>"))
@@ -93,18 +99,27 @@ def broken_payloads(rows: DataFrame, key: str, payload: str, contract: Contract)
     each = [b for f in contract.fields for b in _breaches(f)]
     get = lambda path, kind="string": _value("item", path, kind)
     each += [F.when(~F.coalesce(t.test(get), F.lit(True)), F.struct(F.lit(t.path[1:]).alias("below"), F.lit(t.rule).alias("rule"))) for t in contract.together]
+    compared = list(dict.fromkeys([*contract.unique, *contract.unique_overall, *(a[0] for a in contract.apart)]))
+    own = [F.size(F.array_distinct(_held("v", contract.items, p))) < F.size(_held("v", contract.items, p)) for p in contract.unique]
+    own += [F.arrays_overlap(_held("v", contract.items, p), _held("v", other, other_path)) for p, other, other_path, _ in contract.apart]
+    flags = [F.coalesce(x, F.lit(False)).alias(f"_own_{i}") for i, x in enumerate(own)]
+    flagged = parsed.select(key, *flags, F.try_variant_get("v", contract.items, "array<variant>").alias("_items"))
+    items = flagged.select(key, *[f"_own_{i}" for i in range(len(own))], F.posexplode("_items").alias("place", "item"))
+    found = [F.array_compact(F.array(*each)).alias("_broken")] if each else []
+    items = store(items.select(key, "place", *[f"_own_{i}" for i in range(len(own))], *found, *[_value("item", p).alias(f"_value_{i}") for i, p in enumerate(compared)]), "payload-items")
     if each:
-        out = out.union(items.select(key, "place", F.explode(F.array_compact(F.array(*each))).alias("b")).select(key, named(F.col("b.below")), "b.rule"))
-
-    for path, scope in [*((p, [key]) for p in contract.unique), *((p, []) for p in contract.unique_overall)]:
-        held = store(items.select(key, "place", _value("item", path).alias("_value")).where("_value IS NOT NULL"), "payload-values")
-        on = [*scope, "_value"]
-        counts = store(held.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "place")).alias("_first")), "payload-counts")
-        met = join_unique(held, counts.where("n > 1").select(*on, "_first"), on, counts.select(*on, "n"))
+        out = out.union(items.select(key, "place", F.explode("_broken").alias("b")).select(key, named(F.col("b.below")), "b.rule"))
+
+    values = lambda path, which=F.lit(True): items.where(which).select(key, "place", F.col(f"_value_{compared.index(path)}").alias("_value")).where("_value IS NOT NULL")
+    scopes = [*((p, [key], F.col(f"_own_{i}")) for i, p in enumerate(contract.unique)), *((p, [], F.lit(True)) for p in contract.unique_overall)]
+    for path, scope, which in scopes:
+        held, on = values(path, which), [*scope, "_value"]
+        repeated = held.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "place")).alias("_first")).where("n > 1")
+        repeated = store(repeated, "payload-repeated")
+        met = join_unique(held, repeated.select(*on, "_first"), on, repeated.select(*on, "n"))
         out = out.union(met.where(F.struct(key, "place") != F.col("_first")).select(key, named(F.lit(path[1:])), F.lit("repeated")))
 
-    for path, other, other_path, rule in contract.apart:
-        held = store(items.select(key, "place", _value("item", path).alias("_value")).where("_value IS NOT NULL"), "payload-values")
+    for i, (path, other, other_path, rule) in enumerate(contract.apart, len(contract.unique)):
         others = store(exploded(parsed, key, other).select(key, _value("item", other_path).alias("_value")).where("_value IS NOT NULL").distinct(), "payload-others")
-        out = out.union(join_unique(held, others, [key, "_value"]).select(key, named(F.lit(path[1:])), F.lit(rule)))
+        out = out.union(join_unique(values(path, F.col(f"_own_{i}")), others, [key, "_value"]).select(key, named(F.lit(path[1:])), F.lit(rule)))
     return out

@@ -72,6 +72,20 @@ def test_payload_contract_equals_a_plain_walk(spark):
     assert broken_payloads(spark.createDataFrame([], "k long, p string"), "k", "p", CONTRACT).count() == 0
 
 
+def test_payloads_without_repeats_or_clashes_of_their_own_are_not_compared(spark, monkeypatch):
+    from plumbline.operators import payloads
+
+    met = []
+    real = payloads.join_unique
+    monkeypatch.setattr(payloads, "join_unique", lambda rows, *rest, **more: met.append(rows.count()) or real(rows, *rest, **more))
+    deal = lambda i, serial: {"id": i, "serial": serial, "amount": 3000, "flag": "N", "quantity": 1, "evidence": {"line": 1}}
+    given = [(k, json.dumps({"total": 2, "deals": [deal("a", f"s{k}"), deal("b", f"t{k}")], "rejected": [{"id": "z"}]})) for k in range(50)]
+    given += [(50, json.dumps({"total": 3, "deals": [deal("a", "u"), deal("a", "s7"), deal(None, "w")], "rejected": []})), (51, json.dumps({"total": 1, "deals": [deal("z", "x")], "rejected": [{"id": "z"}, {"id": "z"}]}))]
+    got = broken_payloads(spark.createDataFrame(given, "k long, p string"), "k", "p", CONTRACT).collect()
+    assert sorted(map(tuple, got)) == sorted(walked(given)) and len(got) == 4
+    assert met == [2, 104, 1]  # 103, 104 and 103 before
+
+
 def test_readers_keep_the_old_version_until_the_last_step(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/feed"
     with pytest.raises(LookupError):
