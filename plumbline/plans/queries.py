@@ -679,22 +679,32 @@ def _drained(stream: DataFrame, tag: str, keys: list[str] | None = None) -> Data
 
 #: Files of a landed part at most; a file stream lists 10,000 files ahead and should find some parts among them.
 MOST_FILES = 1000
+#: Rows that are worth a task of their own when they are dealt out.
+TASK_ROWS = 100_000
 
 
 def _event_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
     """The events as they land: in so many parts by time (events without a time in the first), one a micro-batch.
 
-    A part is written by the tasks that read it, so it has as many files as tasks found rows of it. A file stream takes files
-    in the order in which they landed, equally many a micro-batch: a part of fewer files is filled up with empty ones.
+    A part is written by the tasks that read it, so it has as many files as tasks found rows of it. Where all rows lie in
+    fewer tasks than could work on them, as in a table of few row groups, a part is dealt out first: its files are what the
+    tasks of the stream read. A file stream takes files in the order in which they landed, equally many a micro-batch: a
+    part of fewer files is filled up with empty ones.
     """
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    bounds = events.selectExpr(f"percentile_approx(unix_timestamp(ts), array({', '.join(str(i / parts) for i in range(1, parts))})) AS b").first()["b"] or []
+    share = ", ".join(str(i / parts) for i in range(1, parts))
+    found = events.select("ts", F.spark_partition_id().alias("t")).selectExpr(f"percentile_approx(unix_timestamp(ts), array({share})) AS b", "count(*) AS n", "size(collect_set(t)) AS tasks").first()
+    bounds = found["b"] or []
     part = F.coalesce(sum((F.unix_timestamp("ts") > b).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    files = min(max(events.rdd.getNumPartitions(), 1), MOST_FILES)
+    tasks = min(spark.sparkContext.defaultParallelism, found["n"] // TASK_ROWS, MOST_FILES)
+    few = found["tasks"] < tasks
+    files = tasks if few else min(max(events.rdd.getNumPartitions(), 1), MOST_FILES)
     events.where("false").coalesce(1).write.parquet(f"{path}-empty")
     for i in range(parts):
-        events.where(part == i).coalesce(files).write.mode("append").parquet(path)
+        rows = events.where(part == i)
+        rows = rows.repartition(files, *rows.columns) if few else rows.coalesce(files)
+        rows.write.mode("append").parquet(path)
         publish.fill_up(spark, f"{path}-empty", path, (i + 1) * files)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 

@@ -73,7 +73,7 @@ def q_stream_land_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/once-{uuid.uuid4().hex}"
     stream = _event_stream(spark, sf_dir)
     for run in range(2):
-        write = stream.writeStream.foreachBatch(publish.land_once(root, "event_id", "ts")).option("checkpointLocation", f"{root}/state-{run}")
+        write = stream.writeStream.foreachBatch(publish.land_once(root, "event_id", "ts", reread=True)).option("checkpointLocation", f"{root}/state-{run}")
         write.trigger(availableNow=True).start().awaitTermination()
     return publish.landed(spark, root, stream.schema).groupBy("event_id").agg(F.min("user_id").alias("user_id"), F.count(F.lit(1)).alias("n"))
 

@@ -108,23 +108,26 @@ def landed(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def land_once(root: str, key: str, time: str, keep: str = "30 days") -> Callable[[DataFrame, int], None]:
+def land_once(root: str, key: str, time: str, keep: str = "30 days", reread: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that lands each id once, also if the stream starts again from an older checkpoint or from none.
 
     A batch's rows are held against the noted rows from `keep` before its first to `keep` after its last (pushed down to the
     files), not against its number, as a replay may cut batches elsewhere. Of rows with one id in a batch the earliest
     stays. Rows are written under a name of their own and noted by one atomic step, so a batch that dies has landed nothing.
     An id that comes again more than `keep` after is a new event. Rows without an id or a time are landed each time: nothing
-    tells them apart. One stream writes a root at a time.
+    tells them apart. One stream writes a root at a time. A batch is kept while it lands, as it is read for its first and
+    last times and again for its rows; with `reread`, for streams that only read files, it is read anew from these, of which
+    the times alone cost little.
     """
 
     def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         commit = f"{number:012d}-{uuid.uuid4().hex}"
         path = f"{root}/rows/{commit}"
-        batch.persist()
-        first, last = batch.agg(F.min(time), F.max(time)).first()
+        if not reread:
+            batch.persist()
         known = landed(spark, root, batch.schema)
+        first, last = batch.agg(F.min(time), F.max(time)).first() if names(spark, f"{root}/commits") else (None, None)
         if first is not None:
             span = F.expr(f"INTERVAL {keep}")
             known = known.where(F.col(time).between(F.lit(first) - span, F.lit(last) + span))
@@ -134,6 +137,7 @@ def land_once(root: str, key: str, time: str, keep: str = "30 days") -> Callable
         fresh = once.join(known.select(F.col(key).alias("_known")), F.col(key) == F.col("_known"), "left_anti")
         fresh.unionByName(batch.where(~told)).write.parquet(path)
         claim(spark, f"{root}/commits", commit)
-        batch.unpersist()
+        if not reread:
+            batch.unpersist()
 
     return land

@@ -139,3 +139,26 @@ def test_a_landed_part_has_many_files_and_is_one_batch(spark, tmp_path):
     assert sorted(r[0] for b in out for r in b) == list(range(3000))  # with the event that has no time, which was left out before
     assert len(out) == 3 and max(len({r[1] for r in b}) for b in out) > 1
     assert all(max(r[0] for r in a) < min(r[0] for r in b) for a, b in zip(out, out[1:]))
+
+
+def test_rows_of_one_row_group_land_in_files_of_several_tasks(spark, tmp_path):
+    from plumbline.plans.queries import _event_stream
+
+    at = str(tmp_path / "sf")
+    spark.range(300_000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts").coalesce(1).write.parquet(f"{at}/events.parquet")
+    out = []
+    count = lambda df, n: out.append(df.groupBy(F.input_file_name().alias("file")).agg(F.count("ts").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last")).collect())
+    _event_stream(spark, at).writeStream.foreachBatch(count).trigger(availableNow=True).start().awaitTermination(180)
+    assert len(out) == 3 and sum(r["n"] for b in out for r in b) == 300_000
+    assert all(len(b) == 3 and max(r["n"] for r in b) < 50_000 for b in out)  # one file held all of a part before
+    assert all(max(r["last"] for r in a) < min(r["first"] for r in b) for a, b in zip(out, out[1:]))
+
+
+def test_a_part_without_rows_lands_as_a_batch_of_empty_files(spark, tmp_path):
+    from plumbline.plans.queries import _event_stream
+
+    at = str(tmp_path / "sf")
+    spark.range(500).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts").repartition(4).write.parquet(f"{at}/events.parquet")
+    out = []
+    _event_stream(spark, at).writeStream.foreachBatch(lambda df, n: out.append(df.count())).trigger(availableNow=True).start().awaitTermination(180)
+    assert out == [500, 0, 0]
